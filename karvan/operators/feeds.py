@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from karvan.operators import skew
 from karvan.operators.pricing import counts_for_headline
+from karvan.params import HOT_KEY_ROWS
 
 
 def aggregate_offer_view(offers: DataFrame, currency: str = "IRT") -> DataFrame:
@@ -18,32 +20,24 @@ def aggregate_offer_view(offers: DataFrame, currency: str = "IRT") -> DataFrame:
     )
 
 
-def sitemap_shards(products: DataFrame, shard_size: int = 50_000) -> DataFrame:
-    """Published, live products in priority order, cut into numbered shards.
+def sitemap_shards(
+    products: DataFrame, shard_size: int = 50_000, hot_rows: int = HOT_KEY_ROWS
+) -> DataFrame:
+    """Published, live products by (priority desc, uid), cut into numbered shards.
 
-    A global row number without a single-task window: range partition by the order,
-    count rows per partition, add the counts before. ``products`` needs ``priority``.
+    The whole table is one ordered group, so past ``hot_rows`` products it is cut by
+    priority and the first characters of the uid, which follow the order.
     """
-    live = products.where("is_published AND NOT is_retired")
-    # Buckets over the priority are the chunks: offset of a bucket + place in it.
-    bucket = F.xxhash64("product_uid") % 64
-    level = live.withColumn("__p", F.col("priority")).withColumn("__b", F.abs(bucket))
-    inner = Window.partitionBy("__p", "__b").orderBy("product_uid")
-    counts = level.groupBy("__p", "__b").agg(F.count(F.lit(1)).alias("n"))
-    before = (
-        Window.orderBy(F.desc("__p"), "__b").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    # One row per (priority, bucket): the window below sees only that summary.
-    offsets = counts.withColumn("__off", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    placed = level.withColumn("__in", F.row_number().over(inner)).join(offsets, ["__p", "__b"])
-    position = F.col("__off") + F.col("__in")
+    live = products.where("is_published AND NOT is_retired").withColumn("__all", F.lit(1))
+    lead = [F.ascii(F.substring("product_uid", i, 1)) for i in (1, 2, 3)]
+    prefix = lead[0] * 65536 + lead[1] * 256 + lead[2]
+    chunk = -F.col("priority").cast("long") * (1 << 24) + prefix
+    order = [F.desc("priority"), F.asc("product_uid")]
+    placed = skew.ordinal_in_key(live, ["__all"], order, "position", chunk, hot_rows)
     return placed.select(
-        "product_uid",
-        "slug",
-        "lastmod",
-        position.alias("position"),
-        F.floor((position - 1) / shard_size).alias("shard"),
-    )
+        "product_uid", "slug", "lastmod", "position",
+        F.floor((F.col("position") - 1) / shard_size).alias("shard"),
+    )
 
 
 def landing_hubs(products: DataFrame) -> DataFrame:

@@ -40,10 +40,10 @@ add_view(
     "seller_scored",
     """
   SELECT seller_key, is_panel, new_tier AS tier,
-    round(least(greatest(0e0, least(1e0, raw)), CASE new_tier WHEN 'new' THEN 0.45e0 WHEN 'standard' THEN 0.8e0
+    round_even(least(greatest(0e0, least(1e0, raw)), CASE new_tier WHEN 'new' THEN 0.45e0 WHEN 'standard' THEN 0.8e0
       WHEN 'trusted' THEN 1e0 ELSE 0.15e0 END), 4) AS trust_score,
-    CASE WHEN price_observations >= 10 THEN round(pa, 4) END AS price_accuracy,
-    CASE WHEN stock_observations >= 10 THEN round(sa, 4) END AS stock_accuracy
+    CASE WHEN price_observations >= 10 THEN round_even(pa, 4) END AS price_accuracy,
+    CASE WHEN stock_observations >= 10 THEN round_even(sa, 4) END AS stock_accuracy
   FROM (SELECT *, CASE WHEN tier_override IS NOT NULL THEN tier_override WHEN tier = 'suspended' THEN 'suspended'
       WHEN seen < 10 THEN 'new' WHEN seen >= 50 AND pa >= 0.9e0 AND sa >= 0.9e0 THEN 'trusted' ELSE 'standard' END AS new_tier,
     (0.4e0 * pa + 0.3e0 * sa + 0.1e0 * CAST(is_panel AS INT)

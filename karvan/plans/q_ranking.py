@@ -15,7 +15,7 @@ add_view(
     "price_state seller_trust",
     f"""
   SELECT *, CAST(floor(greatest(0e0, least(1e0, trust_score)) / 0.05e0 + 1e-9) AS BIGINT) AS trust_band,
-    round((0.2e0 * price_score + 0.15e0 * stock_score + 0.05e0 * freshness_score) / (0.2e0 + 0.15e0 + 0.05e0), 6) AS secondary
+    round_even((0.2e0 * price_score + 0.15e0 * stock_score + 0.05e0 * freshness_score) / (0.2e0 + 0.15e0 + 0.05e0), 6) AS secondary
   FROM (SELECT *, CASE WHEN price_toman IS NULL THEN 0e0 WHEN lo = hi THEN 1e0 ELSE (hi - price_toman) / CAST(hi - lo AS DOUBLE) END AS price_score,
       CASE stock_status WHEN 'in_stock' THEN 1e0 WHEN 'unknown' THEN 0.5e0 ELSE 0e0 END AS stock_score,
       pow(0.5e0, greatest(0e0, epoch(TIMESTAMP '{v.AS_OF}' - occurred_at) / 86400e0) / 7e0) AS freshness_score
@@ -26,8 +26,8 @@ add_view(
     "ranked_offers",
     "scored_offers",
     """
-  SELECT *, row_number() OVER (PARTITION BY product_uid ORDER BY trust_band DESC, secondary DESC, offer_uid) AS rank_position,
-    round(trust_band * 0.05e0 + secondary * 0.05e0, 6) AS rank_score FROM scored_offers""",
+  SELECT *, row_number() OVER (PARTITION BY product_uid ORDER BY trust_band DESC, secondary DESC, offer_uid) AS rank_position
+    FROM scored_offers""",
 )
 
 
@@ -48,12 +48,12 @@ def ranked(spark, d):
 @query(
     "rank_offers",
     "ranked_offers",
-    """SELECT product_uid, offer_uid, seller_key, price_toman, stock_status, trust_band, rank_position, rank_score FROM ranked_offers""",
+    """SELECT product_uid, offer_uid, seller_key, price_toman, stock_status, trust_band, rank_position, secondary FROM ranked_offers""",
 )
 def rank_offers(spark, d):
     return ranked(spark, d).select(
         "product_uid", "offer_uid", "seller_key", "price_toman", "stock_status", "trust_band",
-        "rank_position", "rank_score",
+        "rank_position", "secondary",
     )
 
 

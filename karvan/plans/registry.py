@@ -11,7 +11,7 @@ from karvan.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+_ORACLES: dict[str, tuple[list[str], str]] = {}
 
 
 def query(name: str, views: str = "", sql: str | None = None) -> Callable[[Query], Query]:
@@ -27,7 +27,12 @@ def query(name: str, views: str = "", sql: str | None = None) -> Callable[[Query
             raise ValueError(f"query {name} registered twice")
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_views(views.split(), sql)
+            _ORACLES[name] = (views.split(), sql)
         return fn
 
     return register
+
+
+def oracles() -> dict[str, str]:
+    """Complete SQL per key; composed late because views may live in any module."""
+    return {name: with_views(names, sql) for name, (names, sql) in _ORACLES.items()}
