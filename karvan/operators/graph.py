@@ -56,8 +56,9 @@ def constrained_components(
     """Components over scored edges in which no forbidden pair ends up together.
 
     The result is that of taking edges best first and skipping each that would join a
-    forbidden pair. Done in parallel: an edge that is the best valid one for both of its
-    clusters cannot be affected by any other merge, so all such edges are taken at once.
+    forbidden pair, done in parallel. Two kinds of edges cannot be affected by any other
+    merge and are taken at once each round: the best edge of a cluster that is in no
+    forbidden pair, and an edge that is the best valid one for both of its clusters.
     Only components that hold a forbidden pair enter the loop.
 
     ``edges``: a, b, score. ``cannot_link``: a, b.
@@ -88,21 +89,22 @@ def constrained_components(
             .join(forbidden, ["ca", "cb"], "left_anti")
             .select(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y"), "score", "tie")
         )
-        rank = F.struct("score", "tie")
-        best_pair = live.groupBy("x", "y").agg(F.max(rank).alias("r"))
-        ends = best_pair.select(F.explode(F.array("x", "y")).alias("c"), "r")
-        best = ends.groupBy("c").agg(F.max("r").alias("top"))
-        mutual = (
-            best_pair.join(best.select(F.col("c").alias("x"), F.col("top").alias("tx")), "x")
-            .join(best.select(F.col("c").alias("y"), F.col("top").alias("ty")), "y")
-            .where("r = tx AND r = ty")
-            .select(F.col("y").alias("cluster"), F.col("x").alias("into"))
+        live = cut_lineage(
+            live.groupBy("x", "y").agg(F.max(F.struct("score", "tie")).alias("r"))
         )
-        mutual = cut_lineage(mutual)
-        if mutual.isEmpty():
+        ends = live.select(F.explode(F.array("x", "y")).alias("c"), F.struct("r", "x", "y").alias("e"))
+        best = ends.groupBy("c").agg(F.max("e").alias("e"))
+        free = best.join(forbidden.select(F.col("ca").alias("c")).distinct(), "c", "left_anti")
+        mutual = best.groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+        chosen = free.select("e").unionByName(mutual.select("e")).select("e.x", "e.y").distinct()
+        chosen = cut_lineage(chosen)
+        if chosen.isEmpty():
             break
+        merged = connected_components(chosen, "x", "y").withColumnRenamed("node", "cluster")
         label = cut_lineage(
-            label.join(mutual, "cluster", "left").select("node", F.coalesce("into", "cluster").alias("cluster"))
+            label.join(merged, "cluster", "left").select(
+                "node", F.coalesce("component", "cluster").alias("cluster")
+            )
         )
     else:
         raise RuntimeError("constrained merging did not settle")

@@ -8,6 +8,8 @@ numbers, brands, grades or pack sizes), which is what keeps hot blocks linear.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -173,16 +175,18 @@ def block_embedding(
     ``vectors``: id, embedding.
     """
     distinct = vectors.groupBy("embedding").agg(F.min("id").alias("id"))
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dims))
-    keys = []
-    for t in range(tables):
-        code = F.lit(0)
-        for b in range(bits):
-            plane = F.array(*[F.lit(float(x)) for x in planes[t, b]])
-            side = F.aggregate(F.zip_with("embedding", plane, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-            code = code * 2 + (side > 0).cast("int")
-        keys.append(F.struct(F.lit(t).alias("t"), code.alias("c")))
-    hashed = distinct.select("id", "embedding", F.explode(F.array(*keys)).alias("k"))
+    planes = np.random.default_rng(seed).standard_normal((tables, bits, dims)).round(6).tolist()
+    # One constant-folded literal instead of thousands of expression nodes.
+    constant = F.from_json(F.lit(json.dumps(planes)), "array<array<array<double>>>")
+
+    def side(plane: Column) -> Column:
+        dot = F.aggregate(F.zip_with("embedding", plane, lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
+        return F.when(dot > 0, "1").otherwise("0")
+
+    codes = F.transform(
+        constant, lambda table, i: F.concat_ws(":", i.cast("string"), F.array_join(F.transform(table, side), ""))
+    )
+    hashed = distinct.select("id", "embedding", F.explode(codes).alias("k"))
     left = hashed.select("k", F.col("id").alias("a"), F.col("embedding").alias("ea"))
     right = hashed.select("k", F.col("id").alias("b"), F.col("embedding").alias("eb"))
     pairs = left.join(right, "k").where("a < b").dropDuplicates(["a", "b"])
@@ -289,11 +293,10 @@ def pair_score() -> Column:
 
 def decision_ladder(features: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:
     """merge / reject / review per pair, with the step that decided."""
-    # Written once: the ladder below refers to both many times, and a filter on its
-    # result would otherwise drag a copy of every feature through each reference.
-    judged = cut_lineage(
-        features.withColumn("score", pair_score()).withColumn("judge", pair_rule_judge())
-    )
+    # Written once: the ladder refers to the features many times, and Catalyst would
+    # otherwise copy each feature's whole expression into every reference.
+    stored = cut_lineage(features)
+    judged = stored.withColumn("score", pair_score()).withColumn("judge", pair_rule_judge())
     exact = (F.col("number_match") == "exact") & F.col("pack_match")
     one_brand_missing = F.col("a_brand").isNull() != F.col("b_brand").isNull()
     wall = F.col("a_brand").isNotNull() & F.col("b_brand").isNotNull() & ~F.col("brand_match")
