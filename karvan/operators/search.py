@@ -116,8 +116,9 @@ def hashed_embedding(texts: DataFrame, key: str, text: str, dims: int = 384) ->
     """
     clean = F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " ")))
     padded = F.concat(F.lit("  "), F.col("__t"), F.lit("  "))
+    # A zero-width match per position: linear, where substring() would rescan the text.
     grams = F.transform(
-        F.sequence(F.lit(1), F.length(padded) - 3), lambda i: F.concat(F.lit("c:"), F.substring(padded, i, F.lit(4)))
+        F.regexp_extract_all(padded, F.lit("(?s)(?=(.{4}))"), F.lit(1)), lambda g: F.concat(F.lit("c:"), g)
     )
     words = F.transform(F.filter(F.split("__t", " "), lambda w: w != ""), lambda w: F.concat(F.lit("w:"), w))
     features = texts.withColumn("__t", clean).select(key, F.explode(F.concat(words, grams)).alias("f"))
@@ -163,13 +164,15 @@ def inverted_index(documents: DataFrame, p: SearchParams = SearchParams()) -> Da
         (F.array("title"), p.title_weight), (F.col("title_variants"), p.variants_weight),
         (F.array("brand"), p.brand_weight), (F.col("part_type_synonyms"), p.synonyms_weight),
     ]
-    parts = [
-        F.transform(
-            F.filter(F.flatten(F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: F.split(F.lower(v), " +"))), lambda w: w != ""),
-            lambda w, weight=weight: F.struct(w.alias("token"), F.lit(weight).alias("weight")),
+
+    def entries(values: Column, weight: int) -> Column:
+        filled = F.filter(values, lambda v: v.isNotNull())
+        words = F.flatten(F.transform(filled, lambda v: F.split(F.lower(v), " +")))
+        return F.transform(
+            F.filter(words, lambda w: w != ""), lambda w: F.struct(w.alias("token"), F.lit(weight).alias("weight"))
         )
-        for values, weight in fields
-    ]
+
+    parts = [entries(values, weight) for values, weight in fields]
     rows = documents.select("product_uid", F.explode(F.concat(*parts)).alias("e")).select("product_uid", "e.*")
     return rows.groupBy("token", "product_uid").agg(F.max("weight").alias("weight"))
 

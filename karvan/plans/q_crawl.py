@@ -47,7 +47,7 @@ def runs(spark, d):
     """A crawl run per source and ship day: attempted and parsed lines."""
     e = v.price_events(spark, d)
     return e.groupBy(F.col("seller_key").alias("source"), F.col("occurred_at").alias("measured_at")).agg(
-        F.count(F.lit(1)).alias("attempted"), F.count_if("line_no < 5").alias("parsed_ok")
+        F.count(F.lit(1)).alias("attempted"), F.count_if(F.col("line_no") < 5).alias("parsed_ok")
     )
 
 

@@ -138,7 +138,7 @@ add_view(
     """
   SELECT product_uid, token, max(w) AS weight FROM (
     SELECT product_uid, unnest(string_split(lower(title), ' ')) AS token, 8 AS w FROM sdocs
-    UNION ALL SELECT product_uid, unnest(string_split(lower(unnest(title_variants)), ' ')), 5 FROM sdocs
+    UNION ALL SELECT product_uid, unnest(flatten(list_transform(title_variants, lambda t: string_split(lower(t), ' ')))), 5 FROM sdocs
     UNION ALL SELECT product_uid, brand, 3 FROM sdocs UNION ALL SELECT product_uid, unnest(part_type_synonyms), 4 FROM sdocs) WHERE token <> '' GROUP BY product_uid, token""",
 )
 add_view(
@@ -385,8 +385,8 @@ def facet_counts(spark, d):
     "sdocs",
     """
   WITH q AS (SELECT DISTINCT user_id AS query_id, CASE user_id % 4 WHEN 0 THEN 'mod' WHEN 1 THEN 'pn10' || (user_id % 9) WHEN 2 THEN 'pro' ELSE 'RING' END AS prefix FROM events),
-  w AS (SELECT product_uid, offer_count, unnest(string_split(lower(title), ' ')) AS w, 8 AS weight FROM sdocs UNION ALL SELECT product_uid, offer_count, lower(unnest(part_numbers)), 6 FROM sdocs
-    UNION ALL SELECT product_uid, offer_count, unnest(string_split(lower(unnest(title_variants)), ' ')), 5 FROM sdocs),
+  w AS (SELECT product_uid, offer_count, unnest(string_split(lower(title), ' ')) AS w, 8 AS weight FROM sdocs UNION ALL SELECT product_uid, offer_count, unnest(list_transform(part_numbers, lambda t: lower(t))), 6 FROM sdocs
+    UNION ALL SELECT product_uid, offer_count, unnest(flatten(list_transform(title_variants, lambda t: string_split(lower(t), ' ')))), 5 FROM sdocs),
   h AS (SELECT query_id, product_uid, offer_count, max(weight) AS weight FROM q JOIN w ON starts_with(w, lower(prefix)) GROUP BY ALL)
   SELECT query_id, product_uid, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, offer_count DESC, product_uid) AS position FROM h QUALIFY position <= 10""",
 )

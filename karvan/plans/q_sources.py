@@ -51,7 +51,7 @@ def read_topic(spark, d):
     "contract_split",
     "offer_events",
     """
-  SELECT CASE WHEN event_id >= 'f' THEN 'dead' ELSE 'good' END AS outcome, CASE WHEN price_toman = 0 AND event_id >= 'f' THEN 'price_toman,stock_status' WHEN event_id >= 'f' THEN 'stock_status' WHEN price_toman = 0 THEN 'price_toman' ELSE '' END AS reason, count(*) AS n
+  SELECT CASE WHEN event_id >= 'f' OR price_toman = 0 THEN 'dead' ELSE 'good' END AS outcome, CASE WHEN price_toman = 0 AND event_id >= 'f' THEN 'price_toman,stock_status' WHEN event_id >= 'f' THEN 'stock_status' WHEN price_toman = 0 THEN 'price_toman' ELSE '' END AS reason, count(*) AS n
   FROM offer_events WHERE substr(event_id, 1, 2) > '01' GROUP BY ALL""",
 )
 def contract_split(spark, d):
