@@ -9,9 +9,6 @@ MODULES = (
 
 
 def load_all() -> None:
+    """Import every module; importing registers its queries."""
     for name in MODULES:
-        try:
-            import_module(f"karvan.plans.{name}")
-        except ModuleNotFoundError as exc:
-            if exc.name != f"karvan.plans.{name}":
-                raise
+        import_module(f"karvan.plans.{name}")

@@ -173,8 +173,8 @@ def repeat_fingerprint(spark, d):
     "seller_velocity",
     "vel_walk hashed_clicks",
     """
-  SELECT c.seller_key, CAST(epoch(occurred_at) AS BIGINT) // 14400 AS bucket, arg_min(n, (occurred_at, click_id)) AS priority,
-    'billing-velocity:' || c.seller_key || ':' || (CAST(epoch(occurred_at) AS BIGINT) // 14400) AS request_uid
+  SELECT c.seller_key, epoch_us(occurred_at) // 14400000000 AS bucket, arg_min(n, (occurred_at, click_id)) AS priority,
+    'billing-velocity:' || c.seller_key || ':' || (epoch_us(occurred_at) // 14400000000) AS request_uid
   FROM vel_walk JOIN hashed_clicks c USING (click_id) WHERE n > 5 GROUP BY 1, 2""",
 )
 def seller_velocity(spark, d):

@@ -429,7 +429,7 @@ def query_click_join(spark, d):
 @query(
     "zero_result_report",
     "slog",
-    f"""SELECT 'q' || (user_id % 15) AS normalized_text, 'v' || (user_id % 4) AS vehicle_slug, '{{}}' AS filters, count(*) AS query_count, CAST(epoch(max(ts)) AS BIGINT) AS last_seen
+    f"""SELECT 'q' || (user_id % 15) AS normalized_text, 'v' || (user_id % 4) AS vehicle_slug, '{{}}' AS filters, count(*) AS query_count, epoch_us(max(ts)) // 1000000 AS last_seen
     FROM slog WHERE result_count = 0 AND ts >= TIMESTAMP '{v.CLICK_NOW}' - INTERVAL 7 DAY GROUP BY ALL""",
 )
 def zero_result_report(spark, d):
