@@ -55,28 +55,30 @@ def cdc_fragment(
     """
     keys = list(keys)
     chunk = skew.day_chunk(time)
+    hot = skew.find_hot(df, keys, hot_rows)
     lagged = skew.lag_in_key(
-        df, keys, [time, tie], {"__hash": fragment_hash, "__seen_at": time}, chunk, hot_rows, "__any"
+        df, keys, [time, tie], {"__hash": fragment_hash, "__seen_at": time}, chunk, seen="__any", hot=hot
     )
     changes = lagged.where(~F.col("__any") | ~F.col("__hash").eqNullSafe(F.col(fragment_hash)))
     ends = df.groupBy(*keys).agg(F.max(time).alias("__final"))
-    following = Window.partitionBy(*keys, skew.CHUNK).orderBy(F.col(time), F.col(tie))
-    chunked = skew.with_chunks(changes, keys, chunk, hot_rows)
+    following = skew.chunk_window(keys, hot).orderBy(F.col(time), F.col(tie))
+    chunked = skew.with_chunks(changes, keys, chunk, hot)
     nxt = chunked.withColumn("__end", F.lead("__seen_at").over(following))
-    heads = (
-        chunked.where(F.col(skew.CHUNK).isNotNull())
-        .groupBy(*keys, skew.CHUNK)
-        .agg(F.min_by("__seen_at", F.struct(time, tie)).alias("__head"))
-    )
-    carry = heads.select(
-        *keys,
-        skew.CHUNK,
-        F.lead("__head").over(Window.partitionBy(*keys).orderBy(skew.CHUNK)).alias("__carry"),
-    )
+    if hot is not None:
+        heads = (
+            chunked.where(F.col(skew.CHUNK).isNotNull())
+            .groupBy(*keys, skew.CHUNK)
+            .agg(F.min_by("__seen_at", F.struct(time, tie)).alias("__head"))
+        )
+        carry = heads.select(
+            *keys,
+            skew.CHUNK,
+            F.lead("__head").over(Window.partitionBy(*keys).orderBy(skew.CHUNK)).alias("__carry"),
+        )
+        nxt = nxt.join(carry, [*keys, skew.CHUNK], "left").withColumn("__end", F.coalesce("__end", "__carry"))
     return (
-        nxt.join(carry, [*keys, skew.CHUNK], "left")
-        .join(ends, keys)
-        .withColumn("last_seen_at", F.coalesce("__end", "__carry", "__final"))
+        nxt.join(ends, keys)
+        .withColumn("last_seen_at", F.coalesce("__end", "__final"))
         .select(*df.columns, "last_seen_at")
     )
 

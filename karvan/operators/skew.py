@@ -1,11 +1,11 @@
 """Ordered per-key work that stays parallel when one key is huge.
 
-A plain ``Window.partitionBy(key)`` puts a whole key in one task. Here a key with
-more than ``hot_rows`` rows is cut into chunks along its own sort order; each
-(key, chunk) is processed alone and only one small row per chunk is exchanged
-to stitch the pieces. Cold keys keep a single null chunk, so they pay one
-map-side-combined count and nothing else. The hot-key table holds at most
-``rows / hot_rows`` rows, which is what makes broadcasting it safe.
+A plain ``Window.partitionBy(key)`` puts a whole key in one task. Keys with more than
+``hot_rows`` rows are looked for first (one map-side-combined count; the result, at most
+rows / ``hot_rows`` keys, is written to the checkpoint folder). Without any, the plain
+window is the best plan and is used. Otherwise hot keys are cut into chunks along their
+own sort order; each (key, chunk) is processed alone and only one small row per chunk
+is exchanged to stitch the pieces, while cold keys keep a single null chunk.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from karvan.params import HOT_KEY_ROWS
+from karvan.session import cut_lineage
 
 CHUNK = "__chunk"
 
@@ -31,18 +32,31 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_KEY_ROWS) -
     )
 
 
-def with_chunks(
-    df: DataFrame, keys: Sequence[str], chunk: Column, hot_rows: int = HOT_KEY_ROWS
-) -> DataFrame:
-    """Add ``__chunk``: null for cold keys, ``chunk`` (a long) for hot ones."""
-    hot = hot_keys(df, keys, hot_rows).withColumn("__hot", F.lit(True))
+def find_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_KEY_ROWS) -> DataFrame | None:
+    """The hot keys as a small stored table, or None when there are none."""
+    hot = cut_lineage(hot_keys(df, keys, hot_rows))
+    return None if hot.isEmpty() else hot
+
+
+def with_chunks(df: DataFrame, keys: Sequence[str], chunk: Column, hot: DataFrame | None) -> DataFrame:
+    """Add ``__chunk``: null for cold keys, ``chunk`` (a long) for hot ones.
+
+    ``hot`` holds at most rows / hot_rows keys: that bound makes the broadcast safe.
+    """
+    if hot is None:
+        return df.withColumn(CHUNK, F.lit(None).cast("long"))
+    marked = hot.withColumn("__hot", F.lit(True))
     return (
-        df.join(F.broadcast(hot), list(keys), "left")
+        df.join(F.broadcast(marked), list(keys), "left")
         .withColumn(CHUNK, F.when(F.col("__hot"), chunk.cast("long")))
         .drop("__hot")
     )
 
 
+def chunk_window(keys: Sequence[str], hot: DataFrame | None):
+    return Window.partitionBy(*keys) if hot is None else Window.partitionBy(*keys, CHUNK)
+
+
 def day_chunk(ts: str | Column) -> Column:
     return F.floor(F.unix_micros(F.col(ts) if isinstance(ts, str) else ts) / F.lit(86_400_000_000))
 
@@ -56,6 +70,7 @@ def lag_in_key(
     hot_rows: int = HOT_KEY_ROWS,
     seen: str | None = None,
     collapse_ties: bool = False,
+    hot: DataFrame | None | str = "find",
 ) -> DataFrame:
     """``lag`` over ``order`` (ascending columns) for each ``{new name: column}``.
 
@@ -64,15 +79,22 @@ def lag_in_key(
     same shuffle (``chunk`` is a function of ``order[0]``, so ties share a chunk).
     """
     keys, order = list(keys), list(order)
-    chunked = with_chunks(df, keys, chunk, hot_rows)
+    if isinstance(hot, str):
+        hot = find_hot(df, keys, hot_rows)
+    chunked = with_chunks(df, keys, chunk, hot)
     packed = F.struct(*[F.col(src).alias(name) for name, src in values.items()])
-    window = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    window = chunk_window(keys, hot).orderBy(*order)
     rows = chunked
     if collapse_ties:
         rows = rows.withColumn("__next", F.lead(order[0]).over(window)).where(
             F.col("__next").isNull() | (F.col("__next") != F.col(order[0]))
         )
     rows = rows.withColumn("__prev", F.lag(packed).over(window))
+    out = [*df.columns, *[F.col(f"__prev.{name}").alias(name) for name in values]]
+    if seen:
+        out.append(F.col("__prev").isNotNull().alias(seen))
+    if hot is None:
+        return rows.select(*out)
     tails = (
         chunked.where(F.col(CHUNK).isNotNull())
         .groupBy(*keys, CHUNK)
@@ -86,9 +108,6 @@ def lag_in_key(
     joined = rows.join(carry, [*keys, CHUNK], "left").withColumn(
         "__prev", F.coalesce("__prev", "__carry")
     )
-    out = [*df.columns, *[F.col(f"__prev.{name}").alias(name) for name in values]]
-    if seen:
-        out.append(F.col("__prev").isNotNull().alias(seen))
     return joined.select(*out)
 
 
@@ -100,19 +119,20 @@ def prefix_sum_in_key(
     name: str,
     chunk: Column,
     hot_rows: int = HOT_KEY_ROWS,
+    hot: DataFrame | None | str = "find",
 ) -> DataFrame:
     """Sum of ``value`` over the rows strictly before this one.
 
     ``chunk`` must grow with the sort order (it may be coarser, never against it).
     """
     keys = list(keys)
-    chunked = with_chunks(df, keys, chunk, hot_rows).withColumn("__v", value)
-    window = (
-        Window.partitionBy(*keys, CHUNK)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    if isinstance(hot, str):
+        hot = find_hot(df, keys, hot_rows)
+    chunked = with_chunks(df, keys, chunk, hot).withColumn("__v", value)
+    window = chunk_window(keys, hot).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = chunked.withColumn("__local", F.coalesce(F.sum("__v").over(window), F.lit(0)))
+    if hot is None:
+        return rows.select(*df.columns, F.col("__local").alias(name))
     totals = (
         chunked.where(F.col(CHUNK).isNotNull())
         .groupBy(*keys, CHUNK)
@@ -132,9 +152,10 @@ def ordinal_in_key(
     name: str,
     chunk: Column,
     hot_rows: int = HOT_KEY_ROWS,
+    hot: DataFrame | None | str = "find",
 ) -> DataFrame:
     """``row_number`` without putting a hot key into one task."""
-    counted = prefix_sum_in_key(df, keys, order, F.lit(1).cast("long"), name, chunk, hot_rows)
+    counted = prefix_sum_in_key(df, keys, order, F.lit(1).cast("long"), name, chunk, hot_rows, hot)
     return counted.withColumn(name, F.col(name) + 1)
 
 
@@ -205,24 +226,23 @@ def anchored_windows(
 ) -> DataFrame:
     """Windows that open at a key's first event and close ``ttl`` later.
 
-    The next event at or after the close opens the next window. Neither
-    ``window()`` nor a RANGE frame can say this, because every window depends on
-    the one before. Adds ``window_start_us`` and ``window_ordinal`` (1 = opener
-    among equal-time rows is decided by the remaining columns' order given in ``ts``
-    ties, see callers).
+    The next event at or after the close opens the next window. Neither ``window()``
+    nor a RANGE frame can say this, because every window depends on the one before.
+    Adds ``window_start_us``; rows of equal time share their window.
     """
     keys = list(keys)
     ttl = ttl_seconds * 1_000_000
     width = max(chunk_seconds, 2 * ttl_seconds) * 1_000_000
     timed = df.withColumn("__us", F.unix_micros(F.col(ts)))
-    chunked = with_chunks(timed, keys, F.floor(F.col("__us") / F.lit(width)), hot_rows)
-    entries = _entry_states(chunked.where(F.col(CHUNK).isNotNull()), keys, ttl)
+    hot = find_hot(df, keys, hot_rows)
+    chunked = with_chunks(timed, keys, F.floor(F.col("__us") / F.lit(width)), hot)
     times = chunked.select(*keys, CHUNK, "__us").distinct()
-    prepared = (
-        times.join(entries, [*keys, CHUNK], "left")
-        .repartition(*[F.col(k) for k in keys], F.col(CHUNK))
-        .sortWithinPartitions(*keys, CHUNK, "__us")
-    )
+    if hot is None:
+        times = times.withColumn("__entry", F.lit(None).cast("long")).repartition(*[F.col(k) for k in keys])
+    else:
+        entries = _entry_states(chunked.where(F.col(CHUNK).isNotNull()), keys, ttl)
+        times = times.join(entries, [*keys, CHUNK], "left").repartition(*[F.col(k) for k in keys], F.col(CHUNK))
+    prepared = times.sortWithinPartitions(*keys, CHUNK, "__us")
     slim = prepared.select(
         F.to_json(F.struct(*keys, CHUNK)).alias("__k"), *keys, CHUNK, "__us", "__entry"
     )

@@ -218,6 +218,11 @@ def image_score(spark, d):
     )
 
 
+@query("completeness", "members", f"SELECT offer_uid, round({COMPLETE}, 6) AS completeness FROM members")
+def completeness(spark, d):
+    return members(spark, d).select("offer_uid", F.bround(catalog.completeness(), 6).alias("completeness"))
+
+
 @query(
     "product_title",
     "elected",

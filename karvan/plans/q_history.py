@@ -148,8 +148,14 @@ def smoothed_accuracy(spark, d):
     )
 
 
-PREVIOUS = """
-  SELECT t.*, substr(sha256(seller_key), 1, 1) < '8' AS moved FROM seller_trust t"""
+@query(
+    "domain_age_score",
+    "sellers",
+    """SELECT seller_key, round(CASE WHEN domain_age_days IS NULL THEN 0.5e0 ELSE least(1e0, domain_age_days / 730e0) END, 6) AS score FROM sellers""",
+)
+def domain_age_score(spark, d):
+    score = trust.domain_age_score(F.col("domain_age_days"), 0.5)
+    return v.sellers(spark, d).select("seller_key", F.bround(score, 6).alias("score"))
 
 
 @query(
