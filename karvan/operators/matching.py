@@ -278,7 +278,7 @@ def pair_rule_judge() -> Column:
 
 
 def pair_score() -> Column:
-    """Weighted features in [0, 1]; the weights are ours, the reference fixes none."""
+    """Weighted features in [0, 1]; the weights are ours, none are published."""
     price = F.when(F.col("price_log_ratio").isNull(), 0.5).otherwise(F.exp(-F.col("price_log_ratio")))
     return F.bround(
         F.lit(0.40) * F.col("title_jaccard")

@@ -111,8 +111,8 @@ def hashed_embedding(texts: DataFrame, key: str, text: str, dims: int = 384) ->
     """Words and character 4-grams in signed hash buckets, unit length.
 
     Rows are (key, bucket) sums after a map-side combine, so a long text never
-    occupies more than ``dims`` rows past the scan. sha256 replaces the reference's
-    digest, which Spark lacks; the construction is the same.
+    occupies more than ``dims`` rows past the scan. sha256 stands in for blake2b,
+    which Spark lacks; the construction is the same.
     """
     clean = F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " ")))
     padded = F.concat(F.lit("  "), F.col("__t"), F.lit("  "))

@@ -58,7 +58,7 @@ class FraudParams:
 
 @dataclass(frozen=True)
 class MatchParams:
-    # The reference documents only the shape of the ladder; levels are tunable.
+    # Only the shape of the ladder is published; the levels are tunable.
     high: float = 0.80
     low: float = 0.45
     judge_confidence: float = 0.70
