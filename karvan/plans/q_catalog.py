@@ -226,7 +226,7 @@ def completeness(spark, d):
 @query(
     "product_title",
     "elected",
-    "SELECT product_uid, title_normalized AS title, 0 AS title_tier FROM elected WHERE place = 1",
+    "SELECT product_uid, title_normalized AS title, CAST(0 AS BIGINT) AS title_tier FROM elected WHERE place = 1",
 )
 def product_title(spark, d):
     m = members(spark, d)
@@ -401,7 +401,7 @@ add_view(
       AND (a.part_type = b.part_type OR list_has_any(a.codes, b.codes))
     QUALIFY row_number() OVER (PARTITION BY a.product_uid ORDER BY b.updated_at DESC, b.product_uid) <= 32),
   t AS (SELECT *, CASE WHEN pt = part_type AND list_has_any(mv, vehicles) THEN 0 WHEN list_has_any(mc, codes) THEN 1 ELSE 2 END AS tier FROM pairs)
-  SELECT me AS product_uid, product_uid AS related_uid, tier, row_number() OVER (PARTITION BY me ORDER BY tier, click_count DESC, offer_count DESC, product_uid) AS position
+  SELECT me AS product_uid, product_uid AS related_uid, CAST(tier AS BIGINT) AS tier, row_number() OVER (PARTITION BY me ORDER BY tier, click_count DESC, offer_count DESC, product_uid) AS position
   FROM t QUALIFY position <= 8""",
 )
 def related_products(spark, d):

@@ -91,7 +91,7 @@ def trust_band(spark, d):
     "cheapest_badge",
     "ranked_offers",
     """
-  SELECT product_uid, offer_uid AS cheapest_offer_uid, grade FROM (SELECT *, CASE WHEN stock_status = 'in_stock' AND price_toman IS NOT NULL THEN 0
+  SELECT product_uid, offer_uid AS cheapest_offer_uid, CAST(grade AS BIGINT) AS grade FROM (SELECT *, CASE WHEN stock_status = 'in_stock' AND price_toman IS NOT NULL THEN 0
     WHEN price_toman IS NOT NULL THEN 1 ELSE 2 END AS grade FROM ranked_offers)
   QUALIFY row_number() OVER (PARTITION BY product_uid ORDER BY grade, CASE WHEN grade < 2 THEN price_toman ELSE rank_position END, offer_uid) = 1""",
 )
