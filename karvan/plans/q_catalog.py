@@ -203,7 +203,7 @@ def authenticity_dominant(spark, d):
     count(*) AS candidates_considered, 'scored' AS rule FROM elected GROUP BY product_uid""",
 )
 def elect_representative(spark, d):
-    return catalog.elect_representative(members(spark, d))
+    return catalog.elect_representative(cut_lineage(members(spark, d)))
 
 
 @query(
@@ -229,7 +229,7 @@ def completeness(spark, d):
     "SELECT product_uid, title_normalized AS title, CAST(0 AS BIGINT) AS title_tier FROM elected WHERE place = 1",
 )
 def product_title(spark, d):
-    m = members(spark, d)
+    m = cut_lineage(members(spark, d))
     return catalog.product_title(m, catalog.elect_representative(m))
 
 

@@ -9,6 +9,7 @@ from karvan.plans import views as v
 from karvan.plans.q_history import MEDIAN, seller_trust
 from karvan.plans.registry import query
 from karvan.plans.sqlviews import add_view
+from karvan.session import cut_lineage
 
 add_view(
     "scored_offers",
@@ -42,7 +43,8 @@ def rankable(spark, d):
 
 
 def ranked(spark, d):
-    return ranking.rank_offers(rankable(spark, d), v.as_of())
+    offers = cut_lineage(rankable(spark, d))  # read for the bounds and for the ranks
+    return ranking.rank_offers(offers, v.as_of())
 
 
 @query(
