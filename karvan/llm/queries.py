@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from karvan.llm import q_mixing
+from karvan.llm import q_mixing, q_scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": q_scoring.op1_toxicity,
+    "op2_url_filter": q_scoring.op2_url_filter,
     "op5_mixing": q_mixing.op5_mixing,
 }
 ORACLES: dict[str, str] = {
