@@ -36,3 +36,11 @@ def fit_logistic(rows: list[np.ndarray], y: np.ndarray, dims: int, *, steps: int
     full = np.zeros(dims, np.float32)
     full[used] = w
     return full, b
+
+
+def telling(rows: list[np.ndarray], y: np.ndarray, dims: int, *, least_rows: int, least_z: float) -> np.ndarray:
+    """Mask of features whose rows differ in ``y`` from the rest by ``least_z`` standard errors."""
+    ids, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    n, share = np.bincount(ids, minlength=dims), float(np.mean(y))
+    z = (np.bincount(ids, weights=y[owner], minlength=dims) - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-9))
+    return (n >= least_rows) & (np.abs(z) >= least_z)

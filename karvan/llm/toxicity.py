@@ -21,18 +21,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karvan.llm.common import held_out, text_column
-from karvan.llm.linear import fit_logistic, sigmoid
+from karvan.llm.linear import fit_logistic, sigmoid, telling
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Most labelled rows used for fitting, chosen by a digest of their id.
 SAMPLE_ROWS = 12_000
 DIMS = 1 << 18
 #: Lengths of the word stems used as features.
-STEMS = (4, 5)
-#: Lists the mined markers are dealt into; each list is one voter per kind.
-LISTS = 4
+STEMS = (4, 5, 6, 7)
+#: The most frequent stems among the markers are voters of their own.
+SINGLES = 24
 #: A marker occurs in at least so many toxic documents, nearly only there.
-MARKER_DOCS, MARKER_PURITY, MARKERS = 6, 0.95, 480
+MARKER_DOCS, MARKER_PURITY, MARKERS = 6, 0.95, 600
 #: A general lexicon; one voter by itself.
 LEXICON = "idiot moron stupid loser scum trash pathetic worthless disgusting clown dumb fool imbecile garbage filthy vermin hate kill".split()
 STYLE = (re.compile(r"[!?]{2,}"), re.compile(r"\b[^\W\d_]{2,}(?<![a-zà-ÿ])\b"), re.compile(r"[%$&*#]{3}"))
@@ -66,7 +66,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int) ->
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull())
     chosen = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` rows of two numbers
+    rows_in = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` rows of two numbers
+    return rows_in.dropDuplicates(["text"])  # copies are no further evidence
 
 
 def mine_markers(sample: DataFrame) -> list[str]:
@@ -86,12 +87,11 @@ def mine_markers(sample: DataFrame) -> list[str]:
 
 
 def voters(markers: list[str]) -> list[frozenset[str]]:
-    """Lexicon voters: the markers dealt by rank into lists, words apart from stems."""
-    lists = [frozenset(f"={w}" for w in LEXICON)]
-    for kind in ("=", *map(str, STEMS)):
-        own = [m for m in markers if m[0] == kind]
-        lists += [frozenset(own[i::LISTS]) for i in range(LISTS)]
-    return lists
+    """The general lexicon, one voter for each frequent stem, one list for each kind of the rest."""
+    shorter = set(markers)
+    stems = [m for m in markers if m[0] != "=" and f"{int(m[0]) - 1}{m[1:-1]}" not in shorter][:SINGLES]  # not those a shorter marker covers
+    rest = [m for m in markers if m not in set(stems)]
+    return [frozenset(f"={w}" for w in LEXICON), *(frozenset([m]) for m in stems), *(frozenset(m for m in rest if m[0] == k) for k in ("=", *map(str, STEMS)))]
 
 
 def votes_of(text: str, words: set[str], lists: list[frozenset[str]]) -> list[int]:
@@ -105,12 +105,14 @@ def votes_of(text: str, words: set[str], lists: list[frozenset[str]]) -> list[in
 class LabelModel:
     """P(votes, y) with one table per voter given y and the voter it depends on most.
 
-    ``accuracy[j]`` is P(vote j agrees with y); ``parent[j]`` the correlated voter (-1: none).
+    ``anchor`` holds the known label of some rows and -1 for all others; it ties the hidden label
+    to the meaning of the labels. ``accuracy[j]`` is P(vote j agrees with y), ``parent[j]`` the
+    correlated voter (-1: none).
     """
 
-    def __init__(self, votes: np.ndarray, start: np.ndarray, rounds: int = 25, floor: float = 0.02) -> None:
+    def __init__(self, votes: np.ndarray, start: np.ndarray, anchor: np.ndarray, rounds: int = 25, floor: float = 0.02) -> None:
         n, m = votes.shape
-        q = np.clip(np.asarray(start, float), 0.02, 0.98)
+        q = np.where(anchor >= 0, anchor, np.clip(start, 0.02, 0.98)).astype(float)
         one_hot = np.eye(3)[votes]
         for _ in range(rounds):
             w = np.stack([1 - q, q])
@@ -121,10 +123,10 @@ class LabelModel:
             self.tables = []
             for j, p in enumerate(self.parent):
                 counts = pair[:, p, j] if p >= 0 else np.repeat(single[:, j][:, None], 3, 1)
-                counts = counts + 0.5 * (single[:, j] + 1)[:, None] / (single[:, j].sum(-1) + 3)[:, None, None]  # back off to no parent
+                counts = counts + 0.1 * (single[:, j] + 0.1)[:, None] / (single[:, j].sum(-1) + 0.3)[:, None, None]  # back off to no parent
                 self.tables.append(counts / counts.sum(-1, keepdims=True))
             self.accuracy = np.array([(single[0, j, 0] + single[1, j, 1]) / max(single[:, j, :2].sum(), 1e-9) for j in range(m)])
-            q = self.posterior(votes)
+            q = np.where(anchor >= 0, anchor, self.posterior(votes))
 
     @staticmethod
     def _tree(pair: np.ndarray, single: np.ndarray, floor: float) -> list[int]:
@@ -167,17 +169,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[
                 words = words_of(text)
                 votes.append(votes_of(text, words, lists))
                 ids.append(sorted({i for w in words for i in feature_ids(w)}))
-            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.list_(pa.int8())), pa.array(ids, pa.list_(pa.int32())), batch.column("doc_id")], ["votes", "ids", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.list_(pa.int8())), pa.array(ids, pa.list_(pa.int32())), batch.column("y"), batch.column("doc_id")], ["votes", "ids", "y", "doc_id"])
 
-    seen = sample.mapInArrow(look, "votes array<tinyint>, ids array<int>, doc_id long").toArrow().sort_by("doc_id")
+    seen = sample.mapInArrow(look, "votes array<tinyint>, ids array<int>, y int, doc_id long").toArrow().sort_by("doc_id")
     if seen.num_rows == 0:
         return np.zeros(DIMS, np.float32), -3.0
-    votes = np.array(seen["votes"].to_pylist(), np.int64)
-    model = LabelModel(votes, np.where((votes[:, : len(lists)] == 1).any(1), 0.9, 0.05))
-    lengths, flat = np.array([len(x) for x in seen["ids"]]), np.concatenate([c.values.to_numpy() for c in seen["ids"].chunks])
-    common = np.bincount(flat, minlength=DIMS) >= 4  # features of fewer documents carry no weight
-    rows_ids = [x[common[x]] for x in np.split(flat, np.cumsum(lengths)[:-1])]
-    return fit_logistic(rows_ids, model.posterior(votes), DIMS, steps=60, rate=0.15, l2=1e-4)
+    votes, known = np.array(seen["votes"].to_pylist(), np.int64), seen["y"].to_numpy()
+    anchor = np.where(np.arange(len(known)) % 2 == 0, known, -1)  # half the labels; votes alone speak for the rest
+    q = LabelModel(votes, np.where((votes[:, : len(lists)] == 1).any(1), 0.9, 0.05), anchor).posterior(votes)
+    ids = [x.values.to_numpy() for x in seen["ids"].combine_chunks()]
+    return fit_posterior(ids, q)
+
+
+def fit_posterior(ids: list[np.ndarray], q: np.ndarray) -> tuple[np.ndarray, float]:
+    """The linear classifier, on features that tell the posterior labels apart."""
+    keep = telling(ids, q, DIMS, least_rows=MARKER_DOCS, least_z=6.0)
+    return fit_logistic([x[keep[x]] for x in ids], q, DIMS, steps=150, rate=0.1, l2=1e-5)
 
 
 def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "score") -> DataFrame:
