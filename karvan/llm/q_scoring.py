@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from karvan.llm.common import held_out, read
+from karvan.llm.html_text import extract_pages
 from karvan.llm.toxicity import score_toxicity
 from karvan.llm.toxicity import train as train_toxicity
 from karvan.llm.url_filter import judge_urls
@@ -21,3 +22,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_toxicity(docs, train_toxicity(docs, read(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract_pages(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")

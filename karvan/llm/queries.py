@@ -12,6 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": q_scoring.op1_toxicity,
     "op2_url_filter": q_scoring.op2_url_filter,
     "op5_mixing": q_mixing.op5_mixing,
+    "op10_html_text": q_scoring.op10_html_text,
 }
 ORACLES: dict[str, str] = {
     "op5_mixing": q_mixing.SQL,
