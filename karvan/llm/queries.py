@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from karvan.llm import q_mixing, q_scoring
+from karvan.llm import q_dedup, q_mixing, q_scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": q_scoring.op1_toxicity,
     "op2_url_filter": q_scoring.op2_url_filter,
+    "op3_substring_dedup": q_dedup.op3_substring_dedup,
     "op5_mixing": q_mixing.op5_mixing,
     "op10_html_text": q_scoring.op10_html_text,
 }
