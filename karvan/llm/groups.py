@@ -48,7 +48,7 @@ def rolling(h: np.ndarray, n: int, factor: np.uint64 = FACTORS[0]) -> np.ndarray
     """Hash of every run of ``n`` values: a polynomial in ``factor`` by repeated doubling."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
-    count, done, have, size, power, out = len(h) - n + 1, 0, h, 1, factor, None
+    count, done, have, size, power, out = len(h) - n + 1, 0, h, 1, np.array([factor]), None
     while True:
         if n & size:
             part = have[done : done + count]
