@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from karvan.llm.common import held_out, read
 from karvan.llm.html_text import extract_pages
+from karvan.llm.quality import score_quality
+from karvan.llm.quality import train as train_quality
 from karvan.llm.toxicity import score_toxicity
 from karvan.llm.toxicity import train as train_toxicity
 from karvan.llm.url_filter import judge_urls
@@ -27,3 +29,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return extract_pages(read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text, learned from the labels that are not held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, train_quality(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -13,6 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": q_scoring.op2_url_filter,
     "op3_substring_dedup": q_dedup.op3_substring_dedup,
     "op5_mixing": q_mixing.op5_mixing,
+    "op7_quality": q_scoring.op7_quality,
     "op8_near_dedup": q_dedup.op8_near_dedup,
     "op10_html_text": q_scoring.op10_html_text,
 }
