@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from karvan.llm import q_dedup, q_mixing, q_scoring
+from karvan.llm import q_dedup, q_mixing, q_scoring, q_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": q_scoring.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": q_mixing.op5_mixing,
     "op7_quality": q_scoring.op7_quality,
     "op8_near_dedup": q_dedup.op8_near_dedup,
+    "op9_embedding_dedup": q_vectors.op9_embedding_dedup,
     "op10_html_text": q_scoring.op10_html_text,
 }
 ORACLES: dict[str, str] = {
