@@ -22,7 +22,7 @@ from karvan.operators.graph import connected_components
 
 THRESHOLD = 0.98
 #: Vectors in a shard, queries in a block; both fit a task.
-SHARD, BLOCK = 16_384, 2_048
+SHARD, BLOCK = 16_384, 16_384
 #: First beam; queries audited by brute force in each block and the recall asked of them.
 BEAM, AUDIT, RECALL = 48, 128, 0.999
 INDEX = "label int, shard int, ids binary, rows binary, graph binary"
@@ -53,7 +53,7 @@ def _build(table: pa.Table) -> pa.Table:
     return pa.table({k: pa.array(v, pa.int32() if k in ("label", "shard") else pa.binary()) for k, v in row.items()})
 
 
-def _crowds(found: list[np.ndarray], full: list[int]) -> list[tuple[list[int], np.ndarray]]:
+def _crowds(found: list[np.ndarray], full: list[int], own_row: np.ndarray) -> list[tuple[list[int], np.ndarray]]:
     """Queries with full beams in groups that found a common row, with all rows a group found."""
     parent: dict[int, int] = {}
 
@@ -68,11 +68,11 @@ def _crowds(found: list[np.ndarray], full: list[int]) -> list[tuple[list[int], n
     groups: dict[int, list[int]] = {}
     for i in full:
         groups.setdefault(root(int(found[i][0])), []).append(i)
-    return [(own, np.unique(np.concatenate([found[i] for i in own]))) for own in groups.values()]
+    return [(own, np.unique(np.concatenate([own_row[own][own_row[own] >= 0], *(found[i] for i in own)]))) for own in groups.values()]
 
 
-def _links(graph: Graph, x: np.ndarray, q: np.ndarray, threshold: float) -> list[np.ndarray]:
-    """Rows of ``x`` linked with each query.
+def _links(graph: Graph, x: np.ndarray, q: np.ndarray, own_row: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """Rows of ``x`` linked with each query; ``own_row`` is a query's own row, -1 in another shard.
 
     A beam full of links has more behind it: such queries share what their neighbours' beams
     found, as far as their own similarity reaches. If the audit then misses links, beams double
@@ -93,7 +93,7 @@ def _links(graph: Graph, x: np.ndarray, q: np.ndarray, threshold: float) -> list
             for i, (row, hit) in enumerate(zip(ids, close, strict=True)):
                 found[part[i]] = row[hit]
             full += part[close[:, -1]].tolist()
-        for own, rows in _crowds(found, full):
+        for own, rows in _crowds(found, full, own_row):
             for a in range(0, len(own), 512):
                 near = units[own[a : a + 512]] @ graph.x[rows].T >= threshold - 1e-4
                 for i, hit in zip(own[a : a + 512], near, strict=True):
@@ -121,6 +121,8 @@ def _ask(threshold: float):
         graph = Graph.__new__(Graph)
         graph.x, (graph.entry, graph.layers) = _unit(x), pickle.loads(index["graph"][0].as_py())
         own = queries["vec_id"].to_numpy()
+        at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)  # the index is sorted by id
+        own_row = np.where(ids[at] == own, at, -1)
         parent: dict[int, int] = {}
 
         def root(v: int) -> int:
@@ -129,7 +131,7 @@ def _ask(threshold: float):
             return v
 
         count: dict[int, int] = {}
-        for me, rows in zip(own.tolist(), _links(graph, x, q, threshold), strict=True):
+        for me, rows in zip(own.tolist(), _links(graph, x, q, own_row, threshold), strict=True):
             others = ids[rows] != me
             count[me] = int(copies[rows][others].sum())
             for other in ids[rows][others].tolist():

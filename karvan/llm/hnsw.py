@@ -50,6 +50,10 @@ class Graph:
                     self._link(k, new[here], ids[here], sims[here])
                 at = ids[:, :1]
             done += len(new)
+        ground = self.layers[0]
+        for lost in np.flatnonzero(np.bincount(ground[ground >= 0], minlength=n) == 0).tolist():
+            if ground[lost, 0] >= 0:  # nobody points here: its nearest neighbour shall
+                ground[ground[lost, 0], -1] = lost
 
     def _link(self, k: int, new: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> None:
         adj = self.layers[k]

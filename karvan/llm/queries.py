@@ -13,6 +13,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filter": q_scoring.op2_url_filter,
     "op3_substring_dedup": q_dedup.op3_substring_dedup,
     "op5_mixing": q_mixing.op5_mixing,
+    "op6_topk": q_vectors.op6_topk,
     "op7_quality": q_scoring.op7_quality,
     "op8_near_dedup": q_dedup.op8_near_dedup,
     "op9_embedding_dedup": q_vectors.op9_embedding_dedup,
@@ -20,4 +21,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op5_mixing": q_mixing.SQL,
+    "op6_topk": q_vectors.TOPK_SQL,
 }
