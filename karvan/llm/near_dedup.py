@@ -8,8 +8,9 @@ weighted Jaccard similarity of the two sets.
 Identical texts are one document here and are joined again by class id at the end. Document
 frequencies count every distinct text of the corpus. A text can only be 0.8 similar to another
 if shingles of at least 0.8 of its weight occur in other texts; those without are settled.
-Inside a band bucket documents are compared with pivots (the smallest ids left), never in pairs:
-what no pivot explains goes on to the next round with new pivots, until nothing is left.
+Inside a band bucket documents are compared with pivots (the most central ones left: those whose
+shingles most texts share), never in pairs: what no pivot explains goes on to the next round with
+new pivots, until nothing is left.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: A pair of similarity 0.8 shares one of 10 bands of 3 samples with probability 0.9992.
 BANDS, ROWS = 10, 3
 SIDE = "g int, bucket int, fp binary, df binary"
-SIGNED = "doc_id long, bands array<long>, shingles binary, weights binary"
+SIGNED = "doc_id long, bands array<long>, shingles binary, weights binary, outlying double"
 
 
 def tf_idf(tf: np.ndarray, df: np.ndarray, n: int) -> np.ndarray:
@@ -141,15 +142,16 @@ def _sign(buckets: int, n: int, threshold: float) -> Callable[[pa.Table, pa.Tabl
             df = np.concatenate([unpack(d, np.uint32) for *_, d in rows])
             order = np.argsort(known, kind="stable")
             known, df = known[order], df[order]
-        ids, items, weights = [], [], []
+        ids, items, weights, outlying = [], [], [], []
         out: list[tuple] = []
 
         def flush() -> None:
             if ids:
                 starts = np.cumsum([0, *map(len, items)])[:-1]
                 bands = band_keys(np.concatenate(items), np.concatenate(weights), starts).view(np.int64)
-                out.extend((i, b.tolist(), pack_sorted(s), pack(w)) for i, b, s, w in zip(ids, bands, items, weights, strict=True))
-            ids.clear(), items.clear(), weights.clear()
+                out.extend((i, b.tolist(), pack_sorted(s), pack(w), o) for i, b, s, w, o in zip(ids, bands, items, weights, outlying, strict=True))
+            for kept in (ids, items, weights, outlying):
+                kept.clear()
 
         for doc_id, s, tf in _distinct(table, side):
             hit, at = found_in(bucket_key(s, buckets), known)
@@ -160,6 +162,7 @@ def _sign(buckets: int, n: int, threshold: float) -> Callable[[pa.Table, pa.Tabl
                 ids.append(doc_id)
                 items.append(s)
                 weights.append(w)
+                outlying.append(-float(np.log(np.where(hit, df[at], 1)).mean()))  # the source of many copies has the least
                 if sum(map(len, items)) > 100_000:
                     flush()
         flush()
@@ -173,12 +176,12 @@ def _copies(table: pa.Table) -> pa.Table:
 
 
 def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(a, b)`` -> ``(a, b, similarity)``: exact weighted Jaccard similarity of two stored sets."""
+    """``(a, b, buckets)`` with ``similarity``: exact weighted Jaccard similarity of two stored sets."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None, None)
         for batch in batches:
-            got = {n: batch.column(n).to_pylist() for n in ("a", "b", "sa", "wa", "sb", "wb")}
+            got = {n: batch.column(n).to_pylist() for n in ("a", "sa", "wa", "sb", "wb")}
             out = []
             for a, sa, wa, sb, wb in zip(got["a"], got["sa"], got["wa"], got["sb"], got["wb"], strict=True):
                 if last[0] != a:
@@ -187,23 +190,25 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 hit, at = found_in(s, last[1])
                 shared = float(np.minimum(w[hit], last[2][at[hit]]).sum(dtype=np.float64))
                 out.append(shared / (float(w.sum(dtype=np.float64)) + float(last[2].sum(dtype=np.float64)) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "similarity"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("buckets"), pa.array(out, pa.float64())], ["a", "b", "buckets", "similarity"])
 
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb"))
-    return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(compare, "a long, b long, similarity double")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "buckets", "sa", "wa", "sb", "wb").mapInArrow(compare, "a long, b long, buckets array<long>, similarity double")
 
 
 def _pivots(members: DataFrame, many: int) -> DataFrame:
-    """The smallest ids of every bucket that still has two documents."""
+    """The most central documents of every bucket that still has two: least outlying, then smallest id."""
+    place = F.struct("outlying", "doc_id")
     if many == 1:
-        return members.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "a")
-    by_id = Window.partitionBy("bucket").orderBy("doc_id")
-    return members.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= many).select("bucket", F.col("doc_id").alias("a"))
+        first = members.groupBy("bucket").agg(F.min(place).alias("pivot"), F.count(F.lit(1)).alias("n"))
+        return first.where("n > 1").select("bucket", "pivot")
+    ranked = members.withColumn("n", F.row_number().over(Window.partitionBy("bucket").orderBy("outlying", "doc_id")))
+    return ranked.where(F.col("n") <= many).select("bucket", place.alias("pivot"))
 
 
 def link_buckets(members: DataFrame, sets: DataFrame, threshold: float) -> list[DataFrame]:
-    """Verified links ``(bucket, a, b, similarity)`` of all pairs compared, one frame per round.
+    """Verified pairs ``(a, b, buckets, similarity)``, a the pivot, one frame per round.
 
     A round compares every document left in a bucket with the bucket's pivots. What a pivot
     links is settled and the pivots are done with; the rest goes on. Later rounds take more
@@ -212,13 +217,16 @@ def link_buckets(members: DataFrame, sets: DataFrame, threshold: float) -> list[
     rounds, many = [], 1
     while True:
         pivots = _pivots(members, many)
-        pairs = written(members.join(pivots, "bucket").where("doc_id > a").select("bucket", "a", F.col("doc_id").alias("b")), "near-pairs")
-        if pairs.isEmpty():
+        pairs = members.join(pivots, "bucket").where(F.struct("outlying", "doc_id") > F.col("pivot"))
+        once = pairs.groupBy(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b")).agg(F.collect_set("bucket").alias("buckets"))  # at most BANDS buckets a pair
+        judged = written(similarities(once, sets), "near-judged")
+        if judged.isEmpty():
             return rounds
-        judged = written(pairs.join(similarities(pairs.select("a", "b").distinct(), sets), ["a", "b"]).select("bucket", "a", "b", "similarity"), "near-judged")
         rounds.append(judged)
-        best = judged.groupBy("bucket", F.col("b").alias("doc_id")).agg(F.max("similarity").alias("s"))
-        members = written(best.where(F.col("s") < threshold).join(pivots, (best.bucket == pivots.bucket) & (F.col("doc_id") == F.col("a")), "left_anti").select("bucket", "doc_id"), "near-left")
+        best = judged.select(F.explode("buckets").alias("bucket"), F.col("b").alias("doc_id"), "similarity").groupBy("bucket", "doc_id").agg(F.max("similarity").alias("s"))
+        done = pivots.select("bucket", F.col("pivot.doc_id").alias("doc_id"))
+        left = best.where(F.col("s") < threshold).join(done, ["bucket", "doc_id"], "left_anti").select("bucket", "doc_id")
+        members = written(left.join(sets.select("doc_id", "outlying"), "doc_id").select("bucket", "doc_id", "outlying"), "near-left")
         many = min(many * 4, 64)
 
 
@@ -229,12 +237,14 @@ def _bridges(rounds: list[DataFrame], classes: DataFrame, sets: DataFrame, thres
     what it settled; asked only where the two are still in different components.
     """
     judged = reduce(DataFrame.unionByName, rounds)
-    settled = judged.where(F.col("similarity") >= threshold).select("bucket", "a", F.col("b").alias("d"))
-    close = judged.where((F.col("similarity") < threshold) & (F.col("similarity") >= 2 * threshold - 1)).select("bucket", "a", "b")
+    settled = judged.where(F.col("similarity") >= threshold).select(F.explode("buckets").alias("bucket"), "a", F.col("b").alias("d"))
+    close = judged.where((F.col("similarity") < threshold) & (F.col("similarity") >= 2 * threshold - 1))
     of = lambda name, as_: classes.select(F.col("node").alias(name), F.col("component").alias(as_))
-    apart = close.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("bucket", "a", "b")
+    apart = close.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    apart = apart.select(F.explode("buckets").alias("bucket"), "a", "b")
     pairs = apart.join(settled, ["bucket", "a"]).where("b <> d").select(F.least("b", "d").alias("a"), F.greatest("b", "d").alias("b")).distinct()
-    return similarities(pairs, sets).where(F.col("similarity") >= threshold).select("a", "b")
+    asked = pairs.withColumn("buckets", F.array().cast("array<long>"))
+    return similarities(asked, sets).where(F.col("similarity") >= threshold).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -258,8 +268,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     n = first.where("first = doc_id").count()
     sets = written(body.cogroup(copies.unionByName(counted).groupBy("g")).applyInArrow(_sign(buckets, n, threshold), SIGNED), "near-sets")
 
-    bands = sets.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    members = bands.select(F.xxhash64("band", "key").alias("bucket"), "doc_id").distinct()
+    bands = sets.select("doc_id", "outlying", F.posexplode("bands").alias("band", "key"))
+    members = bands.select(F.xxhash64("band", "key").alias("bucket"), "doc_id", "outlying")
     rounds = link_buckets(written(members, "near-members"), sets, threshold)
     if rounds:
         links = reduce(DataFrame.unionByName, rounds).where(F.col("similarity") >= threshold).select("a", "b").distinct()
