@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from karvan.llm.common import held_out, read
 from karvan.llm.html_text import extract_pages
+from karvan.llm.pieces import encode_texts
 from karvan.llm.quality import score_quality
 from karvan.llm.quality import train as train_quality
 from karvan.llm.toxicity import score_toxicity
@@ -36,3 +37,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_quality(docs, train_quality(docs, read(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text as piece ids, with the scores of its three best segmentations."""
+    return encode_texts(read(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])

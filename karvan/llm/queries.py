@@ -12,6 +12,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": q_scoring.op1_toxicity,
     "op2_url_filter": q_scoring.op2_url_filter,
     "op3_substring_dedup": q_dedup.op3_substring_dedup,
+    "op4_sentencepiece": q_scoring.op4_sentencepiece,
     "op5_mixing": q_mixing.op5_mixing,
     "op6_topk": q_vectors.op6_topk,
     "op7_quality": q_scoring.op7_quality,
