@@ -8,19 +8,18 @@ weighted Jaccard similarity of the two sets.
 Identical texts are one document here and are joined again by class id at the end. Document
 frequencies count every distinct text of the corpus. A text can only be 0.8 similar to another
 if shingles of at least 0.8 of its weight occur in other texts; those without are settled.
-Inside a band bucket documents are compared with pivots (the most central ones left: those whose
-shingles most texts share), never in pairs: what no pivot explains goes on to the next round with
-new pivots, until nothing is left.
+Inside a band bucket documents are compared with its pivot (the most central one, whose shingles
+most texts share). What no pivot explains is compared in blocks with what met the same pivot; a
+block emits a spanning forest of its links, never pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karvan.llm.common import WORD, mix64, written
@@ -30,6 +29,8 @@ from karvan.operators.graph import connected_components
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair of similarity 0.8 shares one of 10 bands of 3 samples with probability 0.9992.
 BANDS, ROWS = 10, 3
+#: Documents in a block where those left by a pivot are compared.
+BLOCK = 512
 SIDE = "g int, bucket int, fp binary, df binary"
 SIGNED = "doc_id long, bands array<long>, shingles binary, weights binary, outlying double"
 
@@ -175,8 +176,15 @@ def _copies(table: pa.Table) -> pa.Table:
     return _table(SIDE, [(table["g"][0].as_py(), -1, pack(table["doc_id"].to_numpy()), b"")])
 
 
+def _shared(sa: np.ndarray, wa: np.ndarray, sb: np.ndarray, wb: np.ndarray) -> float:
+    """Exact weighted Jaccard similarity of two sets."""
+    hit, at = found_in(sb, sa)
+    both = float(np.minimum(wb[hit], wa[at[hit]]).sum(dtype=np.float64))
+    return both / (float(wa.sum(dtype=np.float64)) + float(wb.sum(dtype=np.float64)) - both)
+
+
 def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``(a, b, buckets)`` with ``similarity``: exact weighted Jaccard similarity of two stored sets."""
+    """``(a, b)`` with ``similarity`` of the two stored sets."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None, None)
@@ -186,65 +194,104 @@ def similarities(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for a, sa, wa, sb, wb in zip(got["a"], got["sa"], got["wa"], got["sb"], got["wb"], strict=True):
                 if last[0] != a:
                     last = (a, unpack_sorted(sa, np.uint64), unpack(wa, np.float32))
-                s, w = unpack_sorted(sb, np.uint64), unpack(wb, np.float32)
-                hit, at = found_in(s, last[1])
-                shared = float(np.minimum(w[hit], last[2][at[hit]]).sum(dtype=np.float64))
-                out.append(shared / (float(w.sum(dtype=np.float64)) + float(last[2].sum(dtype=np.float64)) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("buckets"), pa.array(out, pa.float64())], ["a", "b", "buckets", "similarity"])
+                out.append(_shared(last[1], last[2], unpack_sorted(sb, np.uint64), unpack(wb, np.float32)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
     a = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"), F.col("weights").alias("wa"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"), F.col("weights").alias("wb"))
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "buckets", "sa", "wa", "sb", "wb").mapInArrow(compare, "a long, b long, buckets array<long>, similarity double")
-
-
-def _pivots(members: DataFrame, many: int) -> DataFrame:
-    """The most central documents of every bucket that still has two: least outlying, then smallest id."""
-    place = F.struct("outlying", "doc_id")
-    if many == 1:
-        first = members.groupBy("bucket").agg(F.min(place).alias("pivot"), F.count(F.lit(1)).alias("n"))
-        return first.where("n > 1").select("bucket", "pivot")
-    ranked = members.withColumn("n", F.row_number().over(Window.partitionBy("bucket").orderBy("outlying", "doc_id")))
-    return ranked.where(F.col("n") <= many).select("bucket", place.alias("pivot"))
-
-
-def link_buckets(members: DataFrame, sets: DataFrame, threshold: float) -> list[DataFrame]:
-    """Verified pairs ``(a, b, buckets, similarity)``, a the pivot, one frame per round.
-
-    A round compares every document left in a bucket with the bucket's pivots. What a pivot
-    links is settled and the pivots are done with; the rest goes on. Later rounds take more
-    pivots, so buckets of many unlike documents end soon.
-    """
-    rounds, many = [], 1
-    while True:
-        pivots = _pivots(members, many)
-        pairs = members.join(pivots, "bucket").where(F.struct("outlying", "doc_id") > F.col("pivot"))
-        once = pairs.groupBy(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b")).agg(F.collect_set("bucket").alias("buckets"))  # at most BANDS buckets a pair
-        judged = written(similarities(once, sets), "near-judged")
-        if judged.isEmpty():
-            return rounds
-        rounds.append(judged)
-        best = judged.select(F.explode("buckets").alias("bucket"), F.col("b").alias("doc_id"), "similarity").groupBy("bucket", "doc_id").agg(F.max("similarity").alias("s"))
-        done = pivots.select("bucket", F.col("pivot.doc_id").alias("doc_id"))
-        left = best.where(F.col("s") < threshold).join(done, ["bucket", "doc_id"], "left_anti").select("bucket", "doc_id")
-        members = written(left.join(sets.select("doc_id", "outlying"), "doc_id").select("bucket", "doc_id", "outlying"), "near-left")
-        many = min(many * 4, 64)
-
-
-def _bridges(rounds: list[DataFrame], classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links between a document near a pivot and the documents that pivot settled.
-
-    By the triangle inequality only documents within twice the distance of a pivot can link to
-    what it settled; asked only where the two are still in different components.
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "sa", "wa", "sb", "wb").mapInArrow(compare, "a long, b long, similarity double")
+
+
+def _block_links(sets: list[tuple[np.ndarray, np.ndarray]], left: list[int], right: list[int], threshold: float) -> Iterator[tuple[int, int]]:
+    """Linked pairs between two lists of sets; the sum of sqrt(w w') bounds the shared weight from above."""
+    rows = sorted({*left, *right})
+    item = np.concatenate([sets[r][0] for r in rows])
+    root = np.sqrt(np.concatenate([sets[r][1] for r in rows]))
+    owner = np.repeat(np.arange(len(rows)), [len(sets[r][0]) for r in rows])
+    names, column, count = np.unique(item, return_inverse=True, return_counts=True)
+    rank = np.cumsum(count > 1) - 1
+    keep = count[column] > 1
+    owner, column, root = owner[keep], rank[column[keep]], root[keep]
+    at = {r: i for i, r in enumerate(rows)}
+    li, ri = np.array([at[r] for r in left]), np.array([at[r] for r in right])
+    bound = np.zeros((len(left), len(right)), np.float32)
+    width = max(1, 8_000_000 // len(rows))
+    order = np.argsort(column, kind="stable")
+    owner, column, root = owner[order], column[order], root[order]
+    for start in range(0, int(rank[-1]) + 1 if len(rank) else 0, width):
+        a, b = np.searchsorted(column, (start, start + width))
+        dense = np.zeros((len(rows), width), np.float32)
+        dense[owner[a:b], column[a:b] - start] = root[a:b]
+        bound += dense[li] @ dense[ri].T
+    weight = np.array([sets[r][1].sum(dtype=np.float64) for r in rows])
+    total = weight[li][:, None] + weight[ri][None, :]
+    for i, j in zip(*np.nonzero(bound * (1 + 1e-5) >= threshold * (total - bound)), strict=True):
+        x, y = left[i], right[j]
+        if x != y and _shared(*sets[x], *sets[y]) >= threshold:
+            yield x, y
+
+
+def _compare_blocks(threshold: float) -> Callable[[pa.Table], pa.Table]:
+    """Rows of several blocks of pivots' groups -> links, one spanning forest per block pair."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("p", "ascending"), ("i", "ascending"), ("j", "ascending"), ("doc_id", "ascending")])
+        keys = list(zip(*(table[n].to_pylist() for n in ("p", "i", "j")), strict=True))
+        ids, own = table["doc_id"].to_pylist(), table["own"].to_pylist()
+        out: list[tuple] = []
+        at = 0
+        while at < len(keys):
+            end = at
+            while end < len(keys) and keys[end] == keys[at]:
+                end += 1
+            _, i, j = keys[at]
+            part = table.slice(at, end - at)
+            sets = [(unpack_sorted(s, np.uint64), unpack(w, np.float32)) for s, w in zip(part["shingles"].to_pylist(), part["weights"].to_pylist(), strict=True)]
+            left = [r for r in range(end - at) if own[at + r] == i]
+            right = [r for r in range(end - at) if own[at + r] == j]
+            parent = list(range(end - at))
+
+            def root(v: int, parent: list[int] = parent) -> int:
+                while parent[v] != v:
+                    parent[v] = v = parent[parent[v]]
+                return v
+
+            for x, y in _block_links(sets, left, right, threshold) if left and right else ():
+                if (u := root(x)) != (v := root(y)):
+                    parent[max(u, v)] = min(u, v)
+                    out.append((ids[at + x], ids[at + y]))
+            at = end
+        return _table("a long, b long", out)
+
+    return compare
+
+
+def link_buckets(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Verified links ``(a, b)`` that connect all linked documents of ``(bucket, doc_id, outlying)``.
+
+    Every document is compared with the pivot of each of its buckets: the most central document,
+    the least outlying, then the smallest id. Those a pivot links are settled by it. The others
+    are compared with all that met the same pivot, in blocks of bounded size that emit no more
+    than a spanning forest of their links.
     """
-    judged = reduce(DataFrame.unionByName, rounds)
-    settled = judged.where(F.col("similarity") >= threshold).select(F.explode("buckets").alias("bucket"), "a", F.col("b").alias("d"))
-    close = judged.where((F.col("similarity") < threshold) & (F.col("similarity") >= 2 * threshold - 1))
-    of = lambda name, as_: classes.select(F.col("node").alias(name), F.col("component").alias(as_))
-    apart = close.join(of("a", "ca"), "a", "left").join(of("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    apart = apart.select(F.explode("buckets").alias("bucket"), "a", "b")
-    pairs = apart.join(settled, ["bucket", "a"]).where("b <> d").select(F.least("b", "d").alias("a"), F.greatest("b", "d").alias("b")).distinct()
-    asked = pairs.withColumn("buckets", F.array().cast("array<long>"))
-    return similarities(asked, sets).where(F.col("similarity") >= threshold).select("a", "b")
+    place = F.struct("outlying", "doc_id")
+    pivots = members.groupBy("bucket").agg(F.min(place).alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "pivot")
+    met = members.join(pivots, "bucket").where(place > F.col("pivot")).select(F.col("pivot.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+    judged = written(similarities(met, sets), "near-judged")
+    settled = F.col("similarity") >= threshold
+    groups = judged.groupBy("a").agg(F.count_if(~settled).alias("open"), F.count_if(settled).alias("done")).where("open > 0 and open + done > 1")
+    groups = groups.select("a", F.ceil(F.col("open") / BLOCK).cast("int").alias("nx"), F.ceil(F.col("done") / BLOCK).cast("int").alias("ny"))
+    dealt = judged.join(groups, "a").withColumn("own", F.when(~settled, F.pmod(F.xxhash64("b"), "nx")).otherwise(F.col("nx") + F.pmod(F.xxhash64("b"), F.greatest("ny", F.lit(1)))).cast("int"))
+    to = lambda n: F.sequence(F.lit(0), n - 1)
+    open_to = F.transform(to(F.col("nx")), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    open_to_done = F.when(F.col("ny") > 0, F.transform(to(F.col("ny")), lambda j: F.struct(F.col("own").alias("i"), (F.col("nx") + j).alias("j")))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    done_to = F.transform(to(F.col("nx")), lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))
+    goes = dealt.select(F.col("a").alias("p"), F.col("b").alias("doc_id"), "own", F.explode(F.when(~settled, F.concat(open_to, open_to_done)).otherwise(done_to)).alias("to"))
+    goes = goes.select("p", "doc_id", "own", "to.i", "to.j")
+    slots = max(96, judged.count() // BLOCK)
+    rows = goes.join(sets.select("doc_id", "shingles", "weights"), "doc_id").withColumn("slot", F.pmod(F.xxhash64("p", "i", "j"), F.lit(slots)))
+    more = rows.groupBy("slot").applyInArrow(_compare_blocks(threshold), "a long, b long")
+    return judged.where(settled).select("a", "b").unionByName(more)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -269,14 +316,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sets = written(body.cogroup(copies.unionByName(counted).groupBy("g")).applyInArrow(_sign(buckets, n, threshold), SIGNED), "near-sets")
 
     bands = sets.select("doc_id", "outlying", F.posexplode("bands").alias("band", "key"))
-    members = bands.select(F.xxhash64("band", "key").alias("bucket"), "doc_id", "outlying")
-    rounds = link_buckets(written(members, "near-members"), sets, threshold)
-    if rounds:
-        links = reduce(DataFrame.unionByName, rounds).where(F.col("similarity") >= threshold).select("a", "b").distinct()
-        classes = written(connected_components(links), "near-classes")
-        more = written(_bridges(rounds, classes, sets, threshold), "near-bridges")
-        if not more.isEmpty():
-            classes = written(connected_components(links.unionByName(more)), "near-classes")
+    members = written(bands.select(F.xxhash64("band", "key").alias("bucket"), "doc_id", "outlying"), "near-members")
+    links = written(link_buckets(members, sets, threshold), "near-links")
+    if not links.isEmpty():
+        classes = connected_components(links)
         first = first.join(classes, first["first"] == classes["node"], "left").select("doc_id", F.coalesce("component", "first").alias("class_id"))
     else:
         first = first.withColumnRenamed("first", "class_id")
