@@ -45,12 +45,14 @@ def _place_in_window(
 ) -> DataFrame:
     """click_id -> 1-based place inside the key's anchored window.
 
-    A window never spans more than ``seconds``, so ranking inside it is bounded work.
+    A window never spans more than ``seconds``, so ranking inside it is bounded work. A
+    click with a null key belongs to no window and stands alone; redelivered clicks count once.
     """
-    slim = clicks.select("click_id", "occurred_at", *keys)
+    slim = clicks.select("click_id", "occurred_at", *keys).dropDuplicates(["click_id"])
     windowed = skew.anchored_windows(slim, keys, "occurred_at", seconds, hot_rows=hot_rows)
     order = Window.partitionBy(*keys, "window_start_us").orderBy("occurred_at", "click_id")
-    return windowed.select("click_id", F.row_number().over(order).cast("long").alias(name))
+    place = F.when(F.col("window_start_us").isNotNull(), F.row_number().over(order)).otherwise(1)
+    return windowed.select("click_id", place.cast("long").alias(name))
 
 
 def anchored_rate_limit(clicks: DataFrame, p: FraudParams = FraudParams(), hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
@@ -190,9 +192,12 @@ def ledger_events(clicks: DataFrame, topups: DataFrame, adjustments: DataFrame |
     """One ordered stream per seller: top-ups before clicks at equal times.
 
     Clicks that can never be charged (not a panel offer, suspicious, no rate) do not
-    touch the ledger and are left out.
+    touch the ledger and are left out. A click delivered again is charged once, at its
+    first time.
     """
     chargeable = clicks.where("is_panel_offer AND NOT is_suspicious AND coalesce(rate_cost, 0) > 0")
+    first = F.min_by(F.struct("seller_key", "occurred_at", "rate_cost"), F.struct("occurred_at", "seller_key", "rate_cost"))
+    chargeable = chargeable.groupBy("click_id").agg(first.alias("c")).select("click_id", "c.*")
     us = F.unix_micros("occurred_at").alias("occurred_us")
     parts = [
         topups.select("seller_key", F.col("topup_id").alias("event_id"), us, F.lit(0).alias("prio"),

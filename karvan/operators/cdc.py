@@ -185,8 +185,9 @@ def debounced_emission(
 def reprocess_stale(
     offers: DataFrame, reextracted: DataFrame, current_version: str, key: str = "offer_uid"
 ) -> DataFrame:
-    """Take the new extraction for rows below ``current_version``; first_seen_at stays."""
-    stale = offers.where(F.col("normalizer_version") < F.lit(current_version)).select(
+    """Take the new extraction for rows below ``current_version``, by its number; first_seen_at stays."""
+    number = lambda c: F.coalesce(F.regexp_extract(c, r"(\d+)", 1).try_cast("long"), F.lit(0).cast("long"))
+    stale = offers.where(number(F.col("normalizer_version")) < number(F.lit(current_version))).select(
         key, F.col("first_seen_at").alias("__first")
     )
     return (

@@ -40,10 +40,14 @@ def review_kind_contract(decisions: DataFrame) -> DataFrame:
     return decisions.withColumn("missing_keys", missing).withColumn("is_valid", F.size("missing_keys") == 0)
 
 
-def pipeline_health(events: DataFrame, dead_letters: DataFrame, dlq_alarm: float = 0.01) -> DataFrame:
-    """Per topic and hour: volume, redeliveries, late rows, dead-letter rate.
+def pipeline_health(
+    events: DataFrame, dead_letters: DataFrame, lags: DataFrame, dlq_alarm: float = 0.01, lag_alarm: int = LAG_ALARM
+) -> DataFrame:
+    """Per topic and hour: volume, redeliveries, late rows, dead-letter rate, consumer lag.
 
     ``events``: topic, event_id, occurred_at, is_late. ``dead_letters``: topic, failed_at.
+    ``lags``: topic, consumer_group, measured_at, lag. A group raises the alarm when its lag
+    stays above ``lag_alarm`` for a whole quarter of an hour; volume alone never does.
     Redeliveries come from a per-id count, so no distinct over the whole hour is needed.
     """
     hour = F.date_trunc("hour", "occurred_at")
@@ -54,10 +58,15 @@ def pipeline_health(events: DataFrame, dead_letters: DataFrame, dlq_alarm: float
         F.sum("n").alias("messages"), F.sum(F.col("n") - 1).alias("duplicates"), F.sum("late").alias("late")
     )
     dead = dead_letters.groupBy("topic", F.date_trunc("hour", "failed_at").alias("hour")).agg(F.count(F.lit(1)).alias("dead"))
+    quarter = F.window("measured_at", "15 minutes")["start"].alias("quarter")
+    least = lags.groupBy("topic", "consumer_group", quarter).agg(F.min("lag").alias("lag"))
+    lag = least.groupBy("topic", F.date_trunc("hour", "quarter").alias("hour")).agg(F.max("lag").alias("held_lag"))
     share = F.coalesce("dead", F.lit(0)) / F.col("messages")
     return (
         volume.join(dead, ["topic", "hour"], "left")
+        .join(lag, ["topic", "hour"], "left")
+        .withColumn("held_lag", F.coalesce("held_lag", F.lit(0).cast("long")))
         .withColumn("dead", F.coalesce("dead", F.lit(0)))
         .withColumn("dead_rate", share)
-        .withColumn("alarm", (F.col("dead_rate") > dlq_alarm) | (F.col("messages") > LAG_ALARM))
+        .withColumn("alarm", (F.col("dead_rate") > dlq_alarm) | (F.col("held_lag") > lag_alarm))
     )

@@ -84,10 +84,10 @@ add_view(
     "flagged rated topups",
     """
   SELECT *, row_number() OVER (PARTITION BY seller_key ORDER BY us, prio, event_id) AS rn FROM (
-    SELECT seller_key, topup_id AS event_id, epoch_us(occurred_at) AS us, 0 AS prio, 'topup' AS kind, amount_toman FROM topups WHERE topup_id % 4 = 0 OR seller_key = 's3'
-    UNION ALL SELECT seller_key, topup_id, epoch_us(occurred_at), 1, 'manual', CASE WHEN topup_id % 8 = 1 THEN -amount_toman ELSE amount_toman END FROM topups WHERE topup_id % 4 = 1 AND seller_key <> 's3'
+    SELECT seller_key, topup_id AS event_id, epoch_us(occurred_at) AS us, 0 AS prio, 'topup' AS kind, amount_toman FROM topups WHERE topup_id % 4 <> 1
+    UNION ALL SELECT seller_key, topup_id, epoch_us(occurred_at), 1, 'manual', CASE WHEN topup_id % 8 = 1 THEN -amount_toman ELSE amount_toman END FROM topups WHERE topup_id % 4 = 1
     UNION ALL SELECT seller_key, click_id, epoch_us(occurred_at), 2, 'charge', -rate_cost FROM flagged JOIN rated USING (click_id)
-      WHERE is_panel_offer AND len(reasons) = 0 AND coalesce(rate_cost, 0) > 0 AND NOT (seller_key = 's3' AND occurred_at < TIMESTAMP '2024-01-10'))""",
+      WHERE is_panel_offer AND len(reasons) = 0 AND coalesce(rate_cost, 0) > 0)""",
 )
 add_view(
     "ledger",
@@ -128,14 +128,12 @@ def flagged(spark, d):
 
 def ledger_input(spark, d):
     clicks = billing.cpc_rate_lookup(flagged(spark, d), v.rate_card(spark))
-    # seller s3 spends late, so that one wallet never runs dry
-    clicks = clicks.where("NOT (seller_key = 's3' AND occurred_at < TIMESTAMP '2024-01-10')")
     t = v.topups(spark, d)
-    adjust = t.where("topup_id % 4 = 1 AND seller_key <> 's3'").select(
+    adjust = t.where("topup_id % 4 = 1").select(
         F.col("topup_id").alias("adjust_id"), "seller_key", "occurred_at",
         F.when(F.col("topup_id") % 8 == 1, -F.col("amount_toman")).otherwise(F.col("amount_toman")).alias("amount_toman"),
     )
-    return billing.ledger_events(clicks, t.where("topup_id % 4 = 0 OR seller_key = 's3'"), adjust)
+    return billing.ledger_events(clicks, t.where("topup_id % 4 <> 1"), adjust)
 
 
 def ledger(spark, d):
@@ -212,9 +210,8 @@ def cpc_rate_lookup(spark, d):
 def active_rate_card(spark, d):
     """How many clicks fell on days at which each rate was valid."""
     days = v.clicks(spark, d).groupBy(F.to_date("occurred_at").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    card = v.rate_card(spark).withColumn(
-        "day", F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-31").cast("date")))
-    )
+    span = days.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
+    card = v.rate_card(spark).withColumn("day", F.explode(F.sequence(F.lit(span["first"]).cast("date"), F.lit(span["last"]).cast("date"))))
     valid = billing.active_rate_card(card, F.col("day").cast("timestamp"))
     return valid.join(days, "day").groupBy("name").agg(F.sum("n").alias("clicks"))
 
@@ -314,13 +311,12 @@ def fraud_report(spark, d):
     "click_signal_7d",
     "clicks",
     f"""
-  SELECT offer_uid, count(*) AS count_7d FROM clicks WHERE occurred_at BETWEEN TIMESTAMP '{v.CLICK_NOW}' - INTERVAL 7 DAY AND TIMESTAMP '{v.CLICK_NOW}'
-    AND substr(offer_uid, 1, 1) < 'a' GROUP BY offer_uid""",
+  SELECT offer_uid, count(*) AS count_7d FROM clicks WHERE occurred_at BETWEEN TIMESTAMP '{v.CLICK_NOW}' - INTERVAL 7 DAY AND TIMESTAMP '{v.CLICK_NOW}' GROUP BY offer_uid""",
 )
 def click_signal_7d(spark, d):
-    """We crawl the offers whose uid starts with a digit; each click arrives twice."""
+    """Each click arrives twice and counts once."""
     c = v.clicks(spark, d)
-    known = c.where(F.substring("offer_uid", 1, 1) < "a").select("offer_uid")
+    known = c.select("offer_uid")
     return billing.click_signal_7d(c.unionByName(c), known, v.as_of(v.CLICK_NOW))
 
 

@@ -54,8 +54,11 @@ def review_kind_contract(spark, d):
     """
   WITH e AS (SELECT event_type AS topic, date_trunc('hour', ts) AS h, event_id FROM events),
   s AS (SELECT topic, h, count(*) + count(*) FILTER (WHERE event_id % 10 = 0) AS messages, count(*) FILTER (WHERE event_id % 10 = 0) AS duplicates,
-    count(*) FILTER (WHERE event_id % 20 = 3) AS late, count(*) FILTER (WHERE event_id % 50 = 1) AS dead FROM e GROUP BY ALL)
-  SELECT topic, CAST(epoch(h) AS BIGINT) AS hour, messages, duplicates, late, dead, dead / messages > 0.01 AS alarm FROM s""",
+    count(*) FILTER (WHERE event_id % 20 = 3) AS late, count(*) FILTER (WHERE event_id % 50 = 1) AS dead FROM e GROUP BY ALL),
+  l AS (SELECT topic, h, max(least_lag) AS held_lag FROM (SELECT event_type AS topic, date_trunc('hour', ts) AS h, floor(minute(ts) / 15) AS q,
+      event_id % 2 AS g, min(CAST(floor(value * 1000) AS BIGINT)) AS least_lag FROM events GROUP BY ALL) GROUP BY ALL)
+  SELECT topic, CAST(epoch(h) AS BIGINT) AS hour, messages, duplicates, late, dead, held_lag, dead / messages > 0.01 OR held_lag > 50000 AS alarm
+  FROM s JOIN l USING (topic, h)""",
 )
 def pipeline_health(spark, d):
     e = v.table(spark, d, "events").select(
@@ -63,5 +66,9 @@ def pipeline_health(spark, d):
     )
     seen = e.unionByName(e.where("event_id % 10 = 0"))
     dead = e.where("event_id % 50 = 1").select("topic", F.col("occurred_at").alias("failed_at"))
-    out = ops.pipeline_health(seen, dead)
-    return out.select("topic", F.unix_timestamp("hour").alias("hour"), "messages", "duplicates", "late", "dead", "alarm")
+    lags = v.table(spark, d, "events").select(
+        F.col("event_type").alias("topic"), (F.col("event_id") % 2).alias("consumer_group"), F.col("ts").cast("timestamp").alias("measured_at"),
+        F.floor(F.col("value") * 1000).cast("long").alias("lag"),
+    )
+    out = ops.pipeline_health(seen, dead, lags)
+    return out.select("topic", F.unix_timestamp("hour").alias("hour"), "messages", "duplicates", "late", "dead", "held_lag", "alarm")

@@ -10,9 +10,9 @@ VIEWS: dict[str, tuple[str, str]] = {
         """
   SELECT sha256(concat_ws('|', epoch_us(l_shipdate), l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS event_id,
     l_shipdate AS occurred_at,
-    's' || (l_suppkey % 100) AS seller_key, 's' || (l_suppkey % 100) AS source_key,
+    's' || l_suppkey AS seller_key, 's' || l_suppkey AS source_key,
     'p' || (l_partkey // 10) AS external_key, 'p' || (l_partkey // 10) AS product_uid,
-    substr(sha256('s' || (l_suppkey % 100) || ':p' || (l_partkey // 10)), 1, 32) AS offer_uid,
+    substr(sha256('s' || l_suppkey || ':p' || (l_partkey // 10)), 1, 32) AS offer_uid,
     CASE WHEN l_linenumber <> 7 THEN CAST(floor(l_extendedprice / 25000) * 25000 AS BIGINT) END AS price_toman,
     CASE WHEN l_linenumber = 6 THEN 'unknown' WHEN l_linestatus = 'O' THEN 'in_stock' ELSE 'out_of_stock' END AS stock_status,
     CASE WHEN l_linenumber = 5 THEN 'unknown' WHEN l_returnflag = 'N' THEN 'genuine'
@@ -62,7 +62,7 @@ VIEWS: dict[str, tuple[str, str]] = {
     CASE WHEN s_suppkey % 6 <> 0 THEN s_suppkey % 2 = 0 END AS has_trust_badge,
     CASE WHEN s_suppkey % 25 = 24 THEN 'suspended' ELSE 'new' END AS tier,
     CASE WHEN s_suppkey = 50 THEN 'standard' END AS tier_override
-  FROM supplier WHERE s_suppkey < 100""",
+  FROM supplier""",
     ),
     "vehicles": (
         "",

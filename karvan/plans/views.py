@@ -7,8 +7,6 @@ states the same views in SQL for the oracle. All grow with their source table.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,22 +15,12 @@ from karvan.operators import cdc
 #: The clock the queries run at; operators never read the wall clock.
 AS_OF = "2001-12-01 00:00:00"
 CLICK_NOW = "2024-01-25 00:00:00"
-SPREAD_BYTES = 500_000
 SERIES_FROM, SERIES_TO = "2001-08-03", "2001-10-31"
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """One benchmark table.
-
-    A lone local file with one row group is read by one task; hashing its rows over the
-    cores once keeps the rest of the job parallel. Folders of files (any real
-    deployment) already come in many splits and are left alone.
-    """
-    path = f"{d}/{name}.parquet"
-    df = spark.read.parquet(path)
-    if os.path.isfile(path) and os.path.getsize(path) > SPREAD_BYTES:
-        df = df.repartition(spark.sparkContext.defaultParallelism, df.columns[0])
-    return df
+    """One benchmark table, in the splits the reader makes."""
+    return spark.read.parquet(f"{d}/{name}.parquet")
 
 
 def as_of(value: str = AS_OF) -> Column:
@@ -40,7 +28,7 @@ def as_of(value: str = AS_OF) -> Column:
 
 
 def _seller() -> Column:
-    return F.concat(F.lit("s"), F.col("l_suppkey") % 100)
+    return F.concat(F.lit("s"), F.col("l_suppkey"))
 
 
 def _external() -> Column:
@@ -146,8 +134,8 @@ def price_state(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sellers(spark: SparkSession, d: str) -> DataFrame:
-    """One row per seller (at most 100): panel flag and structural trust signals."""
-    s = table(spark, d, "supplier").where(F.col("s_suppkey") < 100)
+    """One row per seller : panel flag and structural trust signals."""
+    s = table(spark, d, "supplier")
     k = F.col("s_suppkey")
     return s.select(
         F.concat(F.lit("s"), k).alias("seller_key"),
