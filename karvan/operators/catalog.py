@@ -46,14 +46,15 @@ def retire_predecessors(clusters: DataFrame) -> DataFrame:
     ).drop("claimed_by")
 
 
-def successor_chain(successors: DataFrame, max_rounds: int = 40) -> DataFrame:
+def successor_chain(successors: DataFrame) -> DataFrame:
     """Follow pointers to the last product of each chain by path doubling.
 
     Every round joins the table with itself on the pointer and doubles the reach, so
-    a chain of length n takes log2(n) rounds. Columns: ``uid``, ``successor``.
+    a chain of length n takes log2(n) rounds; pointers that still move after log2 of
+    their number are a cycle. Columns: ``uid``, ``successor``.
     """
     jump = successors.where(F.col("successor").isNotNull()).select("uid", F.col("successor").alias("final"))
-    for _ in range(max_rounds):
+    for _ in range(jump.count().bit_length() + 1):
         ahead = jump.select(F.col("uid").alias("final"), F.col("final").alias("further"))
         stepped = jump.join(ahead, "final", "left").select(
             "uid",

@@ -16,7 +16,7 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node of each component.
 
     Alternating large-star / small-star. Both steps are a map-side-combined minimum
@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     nodes = edges.select(F.explode(F.array(a, b)).alias("node")).distinct()
     current = cut_lineage(current)
     before = _state(current)
-    for _ in range(max_rounds):
+    while True:  # every round that is not the last lowers some label
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -47,12 +47,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
                 "node", F.coalesce("component", "node").alias("component")
             )
         before = after
-    raise RuntimeError("components did not settle")
 
 
-def constrained_components(
-    edges: DataFrame, cannot_link: DataFrame, max_rounds: int = 200
-) -> DataFrame:
+def constrained_components(edges: DataFrame, cannot_link: DataFrame) -> DataFrame:
     """Components over scored edges in which no forbidden pair ends up together.
 
     The result is that of taking edges best first and skipping each that would join a
@@ -80,7 +77,7 @@ def constrained_components(
     walls = cut_lineage(
         cannot_link.select("a", "b").unionByName(cannot_link.select(F.col("b").alias("a"), F.col("a").alias("b")))
     )
-    for _ in range(max_rounds):
+    while True:  # every round but the last merges clusters
         la = label.select(F.col("node").alias("a"), F.col("cluster").alias("ca"))
         lb = label.select(F.col("node").alias("b"), F.col("cluster").alias("cb"))
         forbidden = walls.join(la, "a").join(lb, "b").select("ca", "cb").distinct()
@@ -106,8 +103,6 @@ def constrained_components(
                 "node", F.coalesce("component", "cluster").alias("cluster")
             )
         )
-    else:
-        raise RuntimeError("constrained merging did not settle")
     named = label.select("node", F.col("cluster").alias("component"))
     return calm.unionByName(named)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -221,23 +223,41 @@ def lexical_match(queries: DataFrame, index: DataFrame, min_token: int = 4) -> D
     return hits.join(need, "query_id").where("got = need").select("query_id", "product_uid", "lexical_score")
 
 
-def vector_knn(queries: DataFrame, vectors: DataFrame, k: int, max_query_rows: int = 5_000) -> DataFrame:
+#: Rows in a block of vectors; two blocks and their products fit a task.
+KNN_BLOCK = 2_048
+
+
+def vector_knn(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Exact top-k by cosine: (query_id, id, similarity, rank).
 
-    Every query must see every vector. The query batch is broadcast behind a check of
-    its size, so the vector table is scanned once, in place; bigger batches are cut
-    by the caller. Ranks are limited per partition before the shuffle.
+    The query rows and the vectors are dealt into blocks of bounded size and every block of
+    queries meets every block of vectors in a task of its own, as one matrix product; only
+    the best ``k`` of each query leave a task. Rows without a usable vector take no part.
     """
-    if queries.limit(max_query_rows + 1).count() > max_query_rows:
-        raise ValueError("split the query batch: it is broadcast")
-    batch = queries.agg(F.collect_list(F.struct("query_id", F.col("embedding").alias("q"), "exclude_id")).alias("qs"))
-    scored = (
-        vectors.withColumn("qs", batch.scalar())
-        .select("id", "embedding", F.explode("qs").alias("q"))
-        .where(~F.col("q.exclude_id").eqNullSafe(F.col("id")))
-        .select(F.col("q.query_id").alias("query_id"), "id", F.round(cosine(F.col("q.q"), F.col("embedding")), 6).alias("similarity"))
-    )
+    usable = "embedding IS NOT NULL AND size(embedding) > 0"
+    q = queries.where(usable).select("query_id", F.col("embedding").cast("array<double>").alias("v"), "exclude_id")
+    x = vectors.where(usable).select("id", F.col("embedding").cast("array<double>").alias("v"))
+    nq, nx = (max(1, -(-frame.count() // KNN_BLOCK)) for frame in (q, x))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int")).withColumn("xb", every(nx))
+    right = x.withColumn("xb", F.pmod(F.xxhash64("id"), F.lit(nx)).cast("int")).withColumn("qb", every(nq))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, cosine double"
+
+    def best_of(own: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        if own.empty or other.empty:
+            return pd.DataFrame({"query_id": [], "id": [], "cosine": []})
+        a, b = np.stack(own["v"].tolist()), np.stack(other["v"].tolist())
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sims = (a / np.linalg.norm(a, axis=1)[:, None]) @ (b / np.linalg.norm(b, axis=1)[:, None]).T
+        sims = np.where(own["exclude_id"].to_numpy()[:, None] == other["id"].to_numpy()[None, :], -np.inf, np.nan_to_num(sims, nan=-np.inf))
+        edge = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] > k else np.full(len(sims), -np.inf)
+        # a little more than k: ties of the rounded similarity are broken by id later
+        row, col = np.nonzero((sims >= edge[:, None] - 2e-6) & np.isfinite(sims))
+        return pd.DataFrame({"query_id": own["query_id"].to_numpy()[row], "id": other["id"].to_numpy()[col], "cosine": sims[row, col]})
+
+    scored = left.groupBy("qb", "xb").cogroup(right.groupBy("qb", "xb")).applyInPandas(best_of, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    scored = scored.select("query_id", "id", F.round("cosine", 6).alias("similarity"))
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 

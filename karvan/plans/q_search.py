@@ -247,12 +247,12 @@ COS = """round(list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[
     "",
     f"""
   SELECT query_id, id, rank FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {COS} DESC, b.vec_id) AS rank
-    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.label = 0) WHERE rank <= 10""",
+    FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 10""",
 )
 def vector_knn(spark, d):
-    """The vectors of label 0 ask; all vectors answer."""
-    vec = v.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    asked = vec.where("label = 0").select(F.col("id").alias("query_id"), "embedding", F.col("id").alias("exclude_id"))
+    """All vectors ask and all answer."""
+    vec = v.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = vec.select(F.col("id").alias("query_id"), "embedding", F.col("id").alias("exclude_id"))
     return search.vector_knn(asked, vec.select("id", "embedding"), 10).select("query_id", "id", "rank")
 
 

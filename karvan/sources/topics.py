@@ -43,12 +43,12 @@ def contract_violations(rules: list[tuple[str, Column]]) -> Column:
 
 
 def contract_split(rows: DataFrame, rules: list[tuple[str, Column]], topic: str, raw: str) -> tuple[DataFrame, DataFrame]:
-    """(good rows, dead letters with reason and the start of the raw message)."""
+    """(good rows, dead letters with reason, the start of the raw message for display, and all of it)."""
     checked = rows.withColumn("violations", contract_violations(rules))
     good = checked.where(F.size("violations") == 0).drop("violations")
     dead = checked.where(F.size("violations") > 0).select(
         F.lit(topic).alias("topic"), F.array_join("violations", ",").alias("reason"),
-        F.substring(raw, 1, DEAD_LETTER_RAW_CHARS).alias("raw"),
+        F.substring(raw, 1, DEAD_LETTER_RAW_CHARS).alias("raw"), F.col(raw).alias("message"),
     )
     return good, dead
 
@@ -68,7 +68,7 @@ def offer_rules() -> list[tuple[str, Column]]:
 
 def dlq_retry(dead: DataFrame, handled: DataFrame, topic: str) -> DataFrame:
     """Parse dead letters of a topic again; events handled meanwhile are dropped."""
-    again = dead.where(F.col("topic") == topic).select(F.lit(None).cast("string").alias("key"), F.col("raw").alias("value"))
+    again = dead.where(F.col("topic") == topic).select(F.lit(None).cast("string").alias("key"), F.col("message").alias("value"))
     rows = read_topic(again, topic).where("NOT is_corrupt")
     return rows.dropDuplicates(["event_id"]).join(handled.select("event_id"), "event_id", "left_anti")
 
