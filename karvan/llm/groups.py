@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from karvan.llm.common import mix64
 
 #: Bytes of text in a group and words in a bucket; both fit a task's memory many times over.
-GROUP_BYTES, BUCKET_WORDS = 12 << 20, 6_000_000
+GROUP_BYTES, BUCKET_WORDS = 8 << 20, 3_000_000
 MIN_GROUPS, MIN_BUCKETS = 96, 48
 FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -31,7 +31,7 @@ class _WordHashes(dict):
     """Word -> 64-bit hash; emptied when full, which bounds a worker's memory."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

@@ -52,7 +52,7 @@ def features_of(word: str) -> list[str]:
 def feature_ids(word: str) -> tuple[int, ...]:
     found = _hashes.get(word)
     if found is None:
-        if len(_hashes) > 300_000:  # bounds the memory of a worker, not the work
+        if len(_hashes) > 60_000:  # bounds the memory of a worker, not the work
             _hashes.clear()
         found = _hashes[word] = tuple(zlib.crc32(f.encode()) % DIMS for f in features_of(word))
     return found
@@ -202,7 +202,7 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, float], name: str =
                 for w in words_of(text or ""):
                     s = known.get(w)
                     if s is None:
-                        if len(known) > 300_000:
+                        if len(known) > 150_000:
                             known.clear()
                         s = known[w] = float(weights[[zlib.crc32(f.encode()) % DIMS for f in features_of(w)]].sum())
                     z += s
