@@ -29,8 +29,8 @@ from karvan.operators.graph import connected_components
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair of similarity 0.8 shares one of 10 bands of 3 samples with probability 0.9992.
 BANDS, ROWS = 10, 3
-#: Documents in a block where those left by a pivot are compared.
-BLOCK = 512
+#: Documents in a block where those left by a pivot are compared, bytes of such sets in a task's group.
+BLOCK, SLOT_BYTES = 256, 4 << 20
 SIDE = "g int, bucket int, fp binary, df binary"
 SIGNED = "doc_id long, bands array<long>, shingles binary, weights binary, outlying double"
 
@@ -215,7 +215,7 @@ def _block_links(sets: list[tuple[np.ndarray, np.ndarray]], left: list[int], rig
     at = {r: i for i, r in enumerate(rows)}
     li, ri = np.array([at[r] for r in left]), np.array([at[r] for r in right])
     bound = np.zeros((len(left), len(right)), np.float32)
-    width = max(1, 8_000_000 // len(rows))
+    width = max(1, 2_000_000 // len(rows))  # columns at a time
     order = np.argsort(column, kind="stable")
     owner, column, root = owner[order], column[order], root[order]
     for start in range(0, int(rank[-1]) + 1 if len(rank) else 0, width):
@@ -288,7 +288,8 @@ def link_buckets(members: DataFrame, sets: DataFrame, threshold: float) -> DataF
     done_to = F.transform(to(F.col("nx")), lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))
     goes = dealt.select(F.col("a").alias("p"), F.col("b").alias("doc_id"), "own", F.explode(F.when(~settled, F.concat(open_to, open_to_done)).otherwise(done_to)).alias("to"))
     goes = goes.select("p", "doc_id", "own", "to.i", "to.j")
-    slots = max(96, judged.count() // BLOCK)
+    size = sets.agg(F.avg(F.octet_length("shingles") + F.octet_length("weights"))).first()[0] or 0
+    slots = max(96, int(judged.count() * size) // SLOT_BYTES)
     rows = goes.join(sets.select("doc_id", "shingles", "weights"), "doc_id").withColumn("slot", F.pmod(F.xxhash64("p", "i", "j"), F.lit(slots)))
     more = rows.groupBy("slot").applyInArrow(_compare_blocks(threshold), "a long, b long")
     return judged.where(settled).select("a", "b").unionByName(more)
