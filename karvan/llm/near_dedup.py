@@ -304,7 +304,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     digest = F.when(F.regexp_like("text", F.lit(WORD)), F.md5("text"))
     ids = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest.alias("digest")), "near-ids")
-    texts = ids.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"))
+    texts = ids.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    texts = written(texts.where("n > 1").select("digest", "first"), "near-texts")  # a side of its own, so a text with many copies can be split
     named = ids.join(texts, "digest", "left").select("doc_id", F.coalesce("first", "doc_id").alias("first"))
     first = written(named.groupBy("doc_id").agg(F.min("first").alias("first")), "near-first")
 
