@@ -2,7 +2,8 @@
 
 A page is cut into text blocks. Pass one decides a block from its own signs: the containers it
 stands in, stop-word density, length and link density. Pass two gives every undecided short
-block the label of its nearest decided neighbours.
+block the label of its nearest decided neighbours. An ``article`` or ``main`` element is one sign
+among others: inside it the thresholds are lower and a tie of the neighbours means text.
 """
 
 from __future__ import annotations
@@ -36,14 +37,16 @@ STOP_WORDS = set(
     "au aux avec ce ces dans de des du elle en est et il ils je la le les leur mais ne nous on ou par pas plus pour qui sa ses son sur un une vous à".split()
 )
 #: Link density above which a block is a menu; lengths (characters) of short and long blocks;
-#: stop-word shares of low and high density.
+#: stop-word shares of low and high density. Inside article and main the last four are lower by
+#: IN_MAIN, and long text without stop words (another language) may hold links up to MAIN_LINKS.
 MAX_LINKS, SHORT, LONG, FEW_STOPS, MANY_STOPS = 0.5, 70, 200, 0.1, 0.25
+IN_MAIN, MAIN_LINKS = 0.5, 0.25
 
 
 class Block:
     __slots__ = ("furniture", "linked", "main", "parts")
 
-    def __init__(self, furniture: bool, main: bool) -> None:
+    def __init__(self, furniture: bool, main: int) -> None:
         self.parts: list[str] = []
         self.linked = 0
         self.furniture, self.main = furniture, main
@@ -52,9 +55,9 @@ class Block:
 def blocks_of(html: str) -> list[Block]:
     """Text blocks in page order: text between block-level tags, with its containers' signs."""
     out: list[Block] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # name, inside furniture, inside main
-    inside, main, links, at = False, False, 0, 0
-    block = Block(False, False)
+    open_tags: list[tuple[str, bool, int]] = []  # name, inside furniture, inside which main
+    inside, main, mains, links, at = False, 0, 0, 0, 0
+    block = Block(False, 0)
 
     def close_block() -> None:
         nonlocal block
@@ -102,61 +105,72 @@ def blocks_of(html: str) -> list[Block]:
                 said = " ".join(x.strip("\"'") for x in NAME.findall(m.group(4)))
                 bad = name in FURNITURE and not (name == "header" and main) or name not in ROOTS and bool(FURNITURE_NAME.search(said)) or bool(HIDDEN.search(m.group(4)))
                 inside = inside or bad
-                main = main or name in MAIN or "main" in said.lower().split()
+                if not main and (name in MAIN or "main" in said.lower().split()):
+                    main = mains = mains + 1
         close_block()
     add(html[at:])
     close_block()
     return out
 
 
-def first_pass(block: Block, text: str, has_main: bool) -> int | None:
+def first_pass(block: Block, text: str) -> int | None:
     """1 = main text, 0 = furniture, None = a short block without clear signs."""
     if block.furniture or block.linked > MAX_LINKS * len(text):
         return 0
-    if has_main:
-        return 1 if block.main else 0
-    words = text.lower().split()
-    stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / max(len(words), 1)
-    if text[:1] == "©":
+    if text[:1] == "©" and (not block.main or len(text) < LONG):
         return 0
-    if len(text) < SHORT:
+    lower = IN_MAIN if block.main else 1
+    if len(text) < lower * SHORT:
         return None
-    if stops >= MANY_STOPS:
+    words = text.lower().split()
+    stops = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / max(len(words), 1)
+    if stops >= lower * MANY_STOPS:
         return 1
-    if len(text) >= LONG:
-        return 1 if stops >= FEW_STOPS or block.linked == 0 else 0
-    return 1 if stops >= FEW_STOPS else None
+    if len(text) >= lower * LONG:
+        return 1 if stops >= lower * FEW_STOPS or block.linked <= (MAIN_LINKS * len(text) if block.main else 0) else 0
+    return 1 if stops >= lower * FEW_STOPS else None
+
+
+def _nearest(labels: list[int | None], mains: list[int]) -> list[int | None]:
+    """The last label decided before each block; inside article or main only one of the same element.
+
+    Furniture that stands in the element comes with main 0: a form says nothing of the text beside it.
+    """
+    out: list[int | None] = []
+    last: int | None = None
+    own: dict[int, int] = {}
+    for label, main in zip(labels, mains, strict=True):
+        out.append(own.get(main) if main else last)
+        if label is not None:
+            own[main] = last = label
+    return out
+
+
+def second_pass(labels: list[int | None], mains: list[int], texts: list[str]) -> list[bool]:
+    """Undecided blocks: both neighbours agree, or the only one decides.
+
+    Between text and furniture a heading opens the text below it, and inside article or main the
+    element decides for text; anything else is left out. Without decided neighbours it stays.
+    """
+    before, after = _nearest(labels, mains), _nearest(labels[::-1], mains[::-1])[::-1]
+    out = []
+    for own, main, text, left, right in zip(labels, mains, texts, before, after, strict=True):
+        near = {x for x in (left, right) if x is not None}
+        tie = len(near) == 2 and (main > 0 or right == 1 and not text.endswith((".", "!", "?")))
+        out.append(own == 1 or own is None and (near in (set(), {1}) or tie))
+    return out
 
 
 def extract_text(html: str | None) -> str:
     """The main text of one page; empty when there is none.
 
     Inside a block all white space becomes one space; blocks follow in page order with a space
-    between. A page with an ``article`` or ``main`` element speaks for itself: whatever stands
-    there outside menus and notices is text, and what stands outside is not. Nothing is capped.
+    between. Nothing is capped.
     """
     kept = [(b, t) for b in blocks_of(html or "") if (t := " ".join(unescape("".join(b.parts)).split()))]
-    has_main = any(b.main and not b.furniture for b, _ in kept)
-    labels = [first_pass(b, t, has_main) for b, t in kept]
-    before: list[int | None] = []
-    last = None
-    for x in labels:
-        last = x if x is not None else last
-        before.append(last)
-    after: list[int | None] = []
-    last = None
-    for x in reversed(labels):
-        last = x if x is not None else last
-        after.append(last)
-    after.reverse()
-    # second pass: both neighbours agree, or the only one decides; between text and furniture a
-    # heading opens the text below it, anything else is left out; alone on the page it stays
-    out = []
-    for (_, text), own, left, right in zip(kept, labels, before, after, strict=True):
-        near = {x for x in (left, right) if x is not None}
-        if own == 1 or own is None and (near in (set(), {1}) or (len(near) == 2 and right == 1 and not text.endswith((".", "!", "?")))):
-            out.append(text)
-    return " ".join(out)
+    texts = [t for _, t in kept]
+    keep = second_pass([first_pass(b, t) for b, t in kept], [0 if b.furniture else b.main for b, _ in kept], texts)
+    return " ".join(t for t, ok in zip(texts, keep, strict=True) if ok)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

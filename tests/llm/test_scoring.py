@@ -123,6 +123,21 @@ def test_page_blocks_without_containers():
     assert html_text.extract_text(page) == f"{prose} Short {prose}"
 
 
+PROSE = "This is a long line of the kind that is written for the people who like to read it to the end of the page."
+
+
+def test_main_element_is_one_sign_among_others():
+    cards = '<article><h2><a href="/1">One of the cards</a></h2></article><article><h2><a href="/2">Two</a></h2></article>'
+    assert html_text.extract_text(f"<div><p>{PROSE}</p><p>{PROSE}</p></div>{cards}") == f"{PROSE} {PROSE}"
+    tags = "Tags: <a href=/a>one</a> alpha beta gamma delta <a href=/b>" + "word " * 12 + "</a>" + "kappa " * 8
+    assert html_text.extract_text(f"<article><p>{PROSE}</p><div>{tags}</div><p>© 2020 Press</p></article>") == PROSE
+    # a short block goes with its neighbours in the article, not with the menus around it
+    assert html_text.extract_text(f"<nav>x</nav><article><h1>Ends.</h1><p>{PROSE}</p><p>Short.</p></article><footer>y</footer>") == f"Ends. {PROSE} Short."
+    assert html_text.extract_text("<nav>x</nav><article><h1>A</h1><p>Short.</p></article><footer>y</footer>") == "A Short."
+    russian = "Это длинный текст статьи, в котором есть ссылка на другую страницу и нет слов из списка. " * 2
+    assert html_text.extract_text(f'<article><p>{russian}<a href="/x">ссылка</a></p></article>') == f"{russian}ссылка"
+
+
 def test_page_columns(spark):
     out = html_text.extract_pages(spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, None)], "page_id long, url string, html string, text string"))
     assert [tuple(r) for r in out.orderBy("page_id").collect()] == [(1, "u", "A & B First bold line next. One <tag> é", 39), (2, None, "", 0)]
