@@ -25,10 +25,13 @@ FURNITURE = set("nav header footer aside form button menu dialog".split())
 FURNITURE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|menu|nav\w*|breadcrumbs?|header|footer|sidebar|side|aside|widget|cookies?|consent|notice|popup|modal|"
     r"newsletter|subscribe|share|social|related|comments?|replies|disqus|login|search|legal|copyright|toolbar|pagination)(?:$|[\s_-])", re.I)
-NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
+#: Names that tell of a layout, not of a container: has-sidebar, with-menu-left, no-footer.
+LAYOUT = re.compile(r"(?<![^\s_-])(?:has|with|without|no|not)[_-]\S*", re.I)
+NAME = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 MAIN = {"article", "main"}
 ROOTS = MAIN | {"html", "body"}
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 ENDS_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 STOP_WORDS = set(
     "a an and are as at be but by for from had has have he her his i if in is it its not of on or our she so that the their they this to was we were which will with you "
@@ -44,26 +47,28 @@ IN_MAIN, MAIN_LINKS = 0.5, 0.25
 
 
 class Block:
-    __slots__ = ("furniture", "linked", "main", "parts")
+    __slots__ = ("furniture", "linked", "main", "named", "parts")
 
-    def __init__(self, furniture: bool, main: int) -> None:
+    def __init__(self, furniture: bool, main: int, named: tuple[int, ...]) -> None:
         self.parts: list[str] = []
         self.linked = 0
-        self.furniture, self.main = furniture, main
+        #: inside furniture by element or hidden; which article or main; containers with a furniture name
+        self.furniture, self.main, self.named = furniture, main, named
 
 
 def blocks_of(html: str) -> list[Block]:
     """Text blocks in page order: text between block-level tags, with its containers' signs."""
     out: list[Block] = []
-    open_tags: list[tuple[str, bool, int]] = []  # name, inside furniture, inside which main
+    open_tags: list[tuple[str, bool, int, tuple[int, ...]]] = []  # name, and the signs outside it
     inside, main, mains, links, at = False, 0, 0, 0, 0
-    block = Block(False, 0)
+    named: tuple[int, ...] = ()
+    block = Block(False, 0, ())
 
     def close_block() -> None:
         nonlocal block
         if block.parts:
             out.append(block)
-        block = Block(inside, main)
+        block = Block(inside, main, named)
 
     def add(text: str) -> None:
         if text:
@@ -72,10 +77,9 @@ def blocks_of(html: str) -> list[Block]:
                 block.linked += len(text.strip())
 
     def pop(name: str) -> None:
-        nonlocal inside, main
+        nonlocal inside, main, named
         while open_tags:
-            top, was_inside, was_main = open_tags.pop()
-            inside, main = was_inside, was_main
+            top, inside, main, named = open_tags.pop()
             if top == name:
                 return
 
@@ -101,12 +105,17 @@ def blocks_of(html: str) -> list[Block]:
             elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and open_tags and open_tags[-1][0] == name:
                 pop(name)
             if name not in VOID:
-                open_tags.append((name, inside, main))
-                said = " ".join(x.strip("\"'") for x in NAME.findall(m.group(4)))
-                bad = name in FURNITURE and not (name == "header" and main) or name not in ROOTS and bool(FURNITURE_NAME.search(said)) or bool(HIDDEN.search(m.group(4)))
-                inside = inside or bad
-                if not main and (name in MAIN or "main" in said.lower().split()):
-                    main = mains = mains + 1
+                open_tags.append((name, inside, main, named))
+                said = [(kind.lower(), x.strip("\"'")) for kind, x in NAME.findall(m.group(4))]
+                names = " ".join(x for kind, x in said if not (kind == "id" and name in HEADINGS))
+                bad = bool(FURNITURE_NAME.search(LAYOUT.sub(" ", names)))
+                inside = inside or name in FURNITURE and not (name == "header" and main) or bool(HIDDEN.search(m.group(4)))
+                if name in MAIN or "main" in names.lower().split() and not bad:
+                    named = named if bad else ()  # a wrapper's name says nothing of the article in it
+                    if not main:
+                        main = mains = mains + 1
+                elif bad and name not in ROOTS:
+                    named = (*named, m.start())
         close_block()
     add(html[at:])
     close_block()
@@ -131,6 +140,22 @@ def first_pass(block: Block, text: str) -> int | None:
     return 1 if stops >= lower * FEW_STOPS else None
 
 
+def furniture_by_name(blocks: list[Block], labels: list[int | None], texts: list[str]) -> list[bool]:
+    """Blocks in a container whose name says furniture.
+
+    The name is refuted where blocks that pass one calls text make up half of the container and
+    are long together: page wrappers, chapters named like a menu.
+    """
+    size: dict[int, int] = {}
+    prose: dict[int, int] = {}
+    for block, label, text in zip(blocks, labels, texts, strict=True):
+        for at in block.named if not block.furniture else ():
+            size[at] = size.get(at, 0) + len(text)
+            prose[at] = prose.get(at, 0) + (len(text) if label == 1 else 0)
+    refuted = {at for at, n in prose.items() if n >= LONG and 2 * n >= size[at]}
+    return [any(at not in refuted for at in block.named) for block in blocks]
+
+
 def _nearest(labels: list[int | None], mains: list[int]) -> list[int | None]:
     """The last label decided before each block; inside article or main only one of the same element.
 
@@ -168,8 +193,11 @@ def extract_text(html: str | None) -> str:
     between. Nothing is capped.
     """
     kept = [(b, t) for b in blocks_of(html or "") if (t := " ".join(unescape("".join(b.parts)).split()))]
-    texts = [t for _, t in kept]
-    keep = second_pass([first_pass(b, t) for b, t in kept], [0 if b.furniture else b.main for b, _ in kept], texts)
+    blocks, texts = [b for b, _ in kept], [t for _, t in kept]
+    labels = [first_pass(b, t) for b, t in kept]
+    named = furniture_by_name(blocks, labels, texts)
+    labels = [0 if bad else label for bad, label in zip(named, labels, strict=True)]
+    keep = second_pass(labels, [0 if bad or b.furniture else b.main for b, bad in zip(blocks, named, strict=True)], texts)
     return " ".join(t for t, ok in zip(texts, keep, strict=True) if ok)
 
 

@@ -138,6 +138,19 @@ def test_main_element_is_one_sign_among_others():
     assert html_text.extract_text(f'<article><p>{russian}<a href="/x">ссылка</a></p></article>') == f"{russian}ссылка"
 
 
+def test_names_of_wrappers_and_headings():
+    body = f"<h1>Title</h1><p>{PROSE}</p>"
+    for name in ("page has-sidebar", "content with-sidebar", "no-header", "layout_with-menu-left", "page sidebar", "search"):
+        assert html_text.extract_text(f'<div class="{name}"><nav>x</nav><article>{body}</article></div>') == f"Title {PROSE}", name
+    for tag, name in (("h2", "legal"), ("h2", "search"), ("h3", "menu")):
+        assert html_text.extract_text(f'<article><p>{PROSE}</p><{tag} id="{name}">Part</{tag}><p>{PROSE}</p></article>') == f"{PROSE} Part {PROSE}"
+    part = f'<section id="related"><h2>Related work</h2><p>{PROSE}</p><p>{PROSE}</p></section>'
+    assert html_text.extract_text(f"<article>{body}{part}</article>") == f"Title {PROSE} Related work {PROSE} {PROSE}"
+    # names still speak for short text, and the whole name of a comment speaks against its article element
+    assert html_text.extract_text(f'<article>{body}<div class="share">Share this</div><div class="ad">{PROSE}</div></article>') == f"Title {PROSE}"
+    assert html_text.extract_text(f'<article>{body}</article><div id="comments"><article class="comment">{PROSE}</article></div>') == f"Title {PROSE}"
+
+
 def test_page_columns(spark):
     out = html_text.extract_pages(spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, None)], "page_id long, url string, html string, text string"))
     assert [tuple(r) for r in out.orderBy("page_id").collect()] == [(1, "u", "A & B First bold line next. One <tag> é", 39), (2, None, "", 0)]
