@@ -16,10 +16,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Comments, raw-text elements, tags, and everything else.
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|head|select)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S | re.I)
+#: Comments, pictures, titles, raw-text elements, tags, and everything else. A picture whose start tag
+#: ends in "/>" is empty; one that is not closed ends where a block opens outside a foreignObject. The
+#: tags of head are like any others: </head> may be left out.
+ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*"
+SVG = rf"<svg\b{ATTRIBUTES}(?<=/)>|<svg\b(?:<foreignObject\b.*?</foreignObject\s*>|.)*?(?:</svg\s*>|(?=</?(?:body|article|main|section|div|p|h[1-6]|[uod]l|li|table|nav|footer|header|aside)\b)|\Z)"
+TITLE = r"<title\b.*?(?:</title\s*>|(?=</head\b|<body\b)|\Z)"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|{SVG}|{TITLE}|<(script|style|noscript|template|textarea|iframe|select)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][\w:-]*)({ATTRIBUTES})>", re.S | re.I)
 INLINE = set("a abbr b bdi bdo cite code data del dfn em font i img input ins kbd label mark q s samp small span strong sub sup time tt u var wbr br".split())
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+VOID = set("area base br col embed head hr img input link meta param source track wbr".split())
 #: Containers of page furniture, by element and by words of class, id and role.
 FURNITURE = set("nav header footer aside form button menu dialog".split())
 FURNITURE_NAME = re.compile(

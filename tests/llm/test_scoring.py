@@ -151,6 +151,18 @@ def test_names_of_wrappers_and_headings():
     assert html_text.extract_text(f'<article>{body}</article><div id="comments"><article class="comment">{PROSE}</article></div>') == f"Title {PROSE}"
 
 
+def test_open_heads_and_pictures():
+    page = f"<article><p>{PROSE}</p></article>"
+    head = '<html><head><meta charset="utf-8"><title>T</title><style>p{}</style><script>var t="<p>x</p>"</script>'
+    for between in ("<body>", "</head><body>", "", "</head>", "<!-- <body> --><body>"):
+        assert html_text.extract_text(head + between + page) == PROSE, between
+    assert html_text.extract_text(f"<head><title>T</head><body>{page}") == html_text.extract_text(f"<title>T</title>{page}") == PROSE
+    closed = '<svg viewBox="0 0 1 1"><title>i</title><text>no</text></svg>'
+    for icon in ('<svg class="i" href="#a>b" />', closed, f"<svg/>{closed}", "<svg><foreignObject><div>no</div></foreignObject></svg>"):
+        assert html_text.extract_text(f"<article><p>{icon}{PROSE}</p><p>{PROSE}</p>{closed}</article>") == f"{PROSE} {PROSE}", icon
+    assert html_text.extract_text(f"<article><p><svg><path d=x></p><p>{PROSE}</p></article>") == PROSE
+
+
 def test_page_columns(spark):
     out = html_text.extract_pages(spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, None)], "page_id long, url string, html string, text string"))
     assert [tuple(r) for r in out.orderBy("page_id").collect()] == [(1, "u", "A & B First bold line next. One <tag> é", 39), (2, None, "", 0)]
