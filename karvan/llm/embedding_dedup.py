@@ -3,7 +3,8 @@
 Vectors with the same label are dealt into shards of bounded size; each shard gets a navigable
 small-world graph. Every vector asks every shard of its label. A beam that is full of linked
 vectors widens; an audit against brute force on a sample of each block of queries widens all
-beams until it passes. Every link is verified by its cosine in double precision, and the
+beams until every audited query passes by itself, and where that grows dearer than exact
+products they take over. Every link is verified by its cosine in double precision, and the
 components of the links are the classes.
 """
 
@@ -23,8 +24,10 @@ from karvan.operators.graph import connected_components
 THRESHOLD = 0.98
 #: Vectors in a shard, queries in a block; both fit a task.
 SHARD, BLOCK = 16_384, 16_384
-#: First beam; queries audited by brute force in each block and the recall asked of them.
+#: First beam; queries audited by brute force in each block and the recall asked of each of them.
 BEAM, AUDIT, RECALL = 48, 128, 0.999
+#: Beams of more than this share of a shard cost more than exact products, which take their place.
+WIDEST = 1 / 128
 INDEX = "label int, shard int, ids binary, rows binary, graph binary"
 FOUND = "vec_id long, root long, n long"
 
@@ -71,18 +74,29 @@ def _crowds(found: list[np.ndarray], full: list[int], own_row: np.ndarray) -> li
     return [(own, np.unique(np.concatenate([own_row[own][own_row[own] >= 0], *(found[i] for i in own)]))) for own in groups.values()]
 
 
+def _auditors(links: np.ndarray) -> np.ndarray:
+    """Queries to audit, dealt evenly over the sizes of what they found: 0, 1-2, 3-6, 7-14, ... links."""
+    order = np.random.default_rng(len(links)).permutation(len(links))
+    size = np.log2(links[order] + 1).astype(int)
+    by = np.argsort(size, kind="stable")
+    first = np.searchsorted(size[by], size[by])
+    return order[by][np.argsort(np.arange(len(by)) - first, kind="stable")][:AUDIT]
+
+
 def _links(graph: Graph, x: np.ndarray, q: np.ndarray, own_row: np.ndarray, threshold: float) -> list[np.ndarray]:
     """Rows of ``x`` linked with each query; ``own_row`` is a query's own row, -1 in another shard.
 
     A beam full of links has more behind it: such queries share what their neighbours' beams
-    found, as far as their own similarity reaches. If the audit then misses links, beams double
-    until it passes, for the full ones first, then for all.
+    found, as far as their own similarity reaches. Each audited query must reach the recall for
+    its own links, and one without links must have met its nearest neighbour, so a crowd cannot
+    outweigh pairs and a shard without links is measured too. On a miss beams double, only the
+    full ones where only those missed; where beams grow wider than WIDEST, exact products decide.
     """
     units, n = _unit(q), len(x)
     norm = np.linalg.norm(x.astype(np.float64), axis=1)
-    audited = np.random.default_rng(len(q)).permutation(len(q))[:AUDIT]
-    exact = units[audited] @ graph.x.T >= threshold
     found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
+    nearest = np.full(len(q), -np.inf, np.float32)  # similarity of the best row met besides the own
+    audited: list[int] = []
     todo, beam = np.arange(len(q)), BEAM
     while len(todo):
         full: list[int] = []
@@ -92,16 +106,32 @@ def _links(graph: Graph, x: np.ndarray, q: np.ndarray, own_row: np.ndarray, thre
             close = (ids >= 0) & (sims >= threshold - 1e-4)
             for i, (row, hit) in enumerate(zip(ids, close, strict=True)):
                 found[part[i]] = row[hit]
+            nearest[part] = np.where((ids < 0) | (ids == own_row[part, None]), -np.inf, sims).max(1)
             full += part[close[:, -1]].tolist()
         for own, rows in _crowds(found, full, own_row):
             for a in range(0, len(own), 512):
                 near = units[own[a : a + 512]] @ graph.x[rows].T >= threshold - 1e-4
                 for i, hit in zip(own[a : a + 512], near, strict=True):
                     found[i] = rows[hit]
-        seen = sum(int(exact[i][np.unique(found[a])].sum()) for i, a in enumerate(audited))
-        if beam >= n or seen >= RECALL * exact.sum():
+        if not audited:
+            audited = _auditors(np.array([np.count_nonzero(rows != me) for rows, me in zip(found, own_row, strict=True)])).tolist()
+            exact = units[audited] @ graph.x.T
+            mine = own_row[audited]
+            exact[np.flatnonzero(mine >= 0), mine[mine >= 0]] = -np.inf
+        missed = set()
+        for i, sims in zip(audited, exact, strict=True):
+            linked = sims >= threshold
+            if linked[np.unique(found[i])].sum() < RECALL * linked.sum() or not linked.any() and nearest[i] < sims.max() - 1e-5:
+                missed.add(i)
+        if not missed:
+            break
+        todo, beam = np.array(full) if missed <= set(full) else np.arange(len(q)), beam * 2
+        if beam > WIDEST * n:
+            for a in range(0, len(todo), 512):
+                part = todo[a : a + 512]
+                for i, hit in zip(part, units[part] @ graph.x.T >= threshold - 1e-4, strict=True):
+                    found[i] = np.flatnonzero(hit)
             break
-        todo, beam = np.array(full) if full else np.arange(len(q)), beam * 2
     for i, rows in enumerate(found):  # cosine in double precision decides
         if len(rows):
             v = q[i].astype(np.float64)

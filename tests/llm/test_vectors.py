@@ -55,6 +55,50 @@ def test_classes_match_brute_force(spark, monkeypatch, shard):
     assert embedding_classes(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+class _Narrow:
+    """A graph whose first beam meets only a query's own row, unless the query is in the crowd."""
+
+    def __init__(self, x, crowd):
+        self.x, self.crowd, self.beams = embedding_dedup._unit(x), crowd, []
+
+    def search(self, q, beam):
+        self.beams.append(beam)
+        sims = q @ self.x.T
+        order = np.argsort(-sims, axis=1, kind="stable")[:, :beam]
+        best = np.take_along_axis(sims, order, 1)
+        if beam <= embedding_dedup.BEAM:
+            alone = order[:, 0] >= self.crowd
+            order[alone, 1:], best[alone, 1:] = -1, -np.inf
+        return order, best
+
+
+def _linked(graph, x):
+    got = embedding_dedup._links(graph, x, x, np.arange(len(x)), 0.98)
+    unit = embedding_dedup._unit(x).astype(np.float64)
+    return [set(rows.tolist()) for rows in got], [set(np.flatnonzero(row >= 0.98).tolist()) for row in unit @ unit.T]
+
+
+@pytest.mark.parametrize("widest", [1.0, 1 / 128])
+def test_crowd_does_not_hide_lost_pairs(monkeypatch, widest):
+    monkeypatch.setattr(embedding_dedup, "WIDEST", widest, raising=False)
+    rng = np.random.default_rng(2)
+    crowd = rng.normal(size=32) + 0.01 * rng.normal(size=(2000, 32))
+    pairs = np.repeat(rng.normal(size=(1000, 32)), 2, axis=0)
+    x = np.concatenate([crowd, pairs + 0.01 * rng.normal(size=pairs.shape)]).astype(np.float32)
+    graph = _Narrow(x, len(crowd))
+    got, want = _linked(graph, x)
+    assert got == want and (96 in graph.beams) == (widest == 1)
+
+
+def test_rare_links_are_audited():
+    x = np.random.default_rng(3).normal(size=(3200, 32)).astype(np.float32)
+    asked = set(np.random.default_rng(len(x)).permutation(len(x))[: embedding_dedup.AUDIT].tolist())
+    a, b = [i for i in range(len(x)) if i not in asked][:2]  # the one pair is not in a uniform sample
+    x[b] = x[a]
+    got, want = _linked(_Narrow(x, 0), x)
+    assert got == want and got[a] == {a, b}
+
+
 def test_top_products_match_brute_force(spark):
     rng = np.random.default_rng(3)
     vectors = [(int(i), [float(np.float32(x)) for x in rng.normal(size=8) * rng.choice((0.1, 1, 5))]) for i in range(900)]
