@@ -285,14 +285,18 @@ def connected_components(spark, d):
     return graph.connected_components(code_edges(spark, d))
 
 
-@query("transitivity_guard")
-def transitivity_guard(spark, d):
-    """No oracle: greedy merging under constraints. A test checks it by brute force."""
+def guarded_edges(spark, d):
+    """Scored edges, and as forbidden pairs the first and last neighbour of every node."""
     edges = code_edges(spark, d).withColumn("score", F.pmod(F.xxhash64("a", "b"), F.lit(100)) / 100.0)
     ends = edges.select("a", F.col("b").alias("x"))
     walls = ends.groupBy("a").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).where("lo <> hi")
-    walls = walls.where(F.substring("a", 1, 2).isin("00", "01", "02", "03")).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-    return graph.constrained_components(edges, walls)
+    return edges, walls.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+
+
+@query("transitivity_guard")
+def transitivity_guard(spark, d):
+    """No oracle: greedy merging under constraints. A test checks it by brute force."""
+    return graph.constrained_components(*guarded_edges(spark, d))
 
 
 def memberships(spark, d):

@@ -121,3 +121,19 @@ def test_hashed_embedding(spark):
             h = hashlib.sha256(f.encode()).hexdigest()
             v[int(h[:8], 16) % 64] += 1.0 if int(h[9], 16) % 2 else -1.0
         assert np.allclose(got[key], v / np.linalg.norm(v), atol=1e-5)
+
+
+def test_transitivity_guard_sees_every_wall(spark):
+    """The registered query, against brute force over all walls of the smallest tables."""
+    from karvan.plans import load_all, q_matching
+    from karvan.plans.registry import QUERIES
+
+    load_all()
+    edges = q_matching.code_edges(spark, "/root/testdata/sf0.001").withColumn("score", F.pmod(F.xxhash64("a", "b"), F.lit(100)) / 100.0)
+    scored = edges.withColumn("tie", F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))).orderBy(F.desc("score"), F.desc("tie")).collect()
+    ends = {}
+    for r in scored:
+        ends.setdefault(r["a"], set()).add(r["b"])
+    walls = [(min(x), max(x)) for x in ends.values() if len(x) > 1]
+    assert len(walls) > 10
+    assert grouped(QUERIES["transitivity_guard"](spark, "/root/testdata/sf0.001")) == union_find([(r["a"], r["b"]) for r in scored], walls)
