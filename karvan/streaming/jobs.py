@@ -13,8 +13,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from karvan.operators import cdc
 
-DEDUPE_HORIZON = "30 days"
-
 
 def run_available(
     stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append"
@@ -40,9 +38,23 @@ def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, batch_id BIGINT").option("basePath", path).parquet(path)
 
 
-def dedupe_stream(events: DataFrame, keys: list[str], time: str = "occurred_at") -> DataFrame:
-    """Drop redeliveries inside the horizon for which ids are remembered."""
-    return events.withWatermark(time, DEDUPE_HORIZON).dropDuplicatesWithinWatermark(keys)
+def dedupe_table(path: str, keys: list[str], schema: str) -> Callable[[DataFrame, int], None]:
+    """Sink that keeps the first delivery of each key, however late an event is.
+
+    A batch is compared with the keys of all earlier batches; a retried batch replaces its own
+    output. The keys are read again for each batch, so its cost grows with the table.
+    """
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        rows = df.dropDuplicates(keys)
+        if batch_id > 0:
+            kept = read_batches(df.sparkSession, path, schema).where(F.col("batch_id") < batch_id)
+            known = kept.select(*[F.col(k).alias(f"__{k}") for k in keys])
+            same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+            rows = rows.join(known, same, "left_anti")
+        batch_table(path)(rows, batch_id)
+
+    return write
 
 
 def latest_state_stream(events: DataFrame, keys: list[str], time: str = "occurred_at", tie: str = "event_id") -> DataFrame:
