@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from karvan.llm import q_dedup, q_mixing, q_records, q_scoring, q_vectors
+from karvan.llm import q_dedup, q_mixing, q_phrases, q_records, q_scoring, q_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": q_scoring.op1_toxicity,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": q_dedup.op8_near_dedup,
     "op9_embedding_dedup": q_vectors.op9_embedding_dedup,
     "op10_html_text": q_scoring.op10_html_text,
+    "op12_collocations": q_phrases.op12_collocations,
     "op13_merkle_manifest": q_records.op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op5_mixing": q_mixing.SQL,
     "op6_topk": q_vectors.TOPK_SQL,
+    "op12_collocations": q_phrases.SQL,
     "op13_merkle_manifest": q_records.MERKLE_SQL,
 }
