@@ -1,16 +1,48 @@
-"""Queries: the manifest of the documents, and its SQL."""
+"""Queries: archives of the pages, the manifest of the documents, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from karvan.llm.common import read, written
+from karvan.llm.common import delete_at_end, read, shared_path, written
 from karvan.llm.merkle import FIELDS, leaf_hash, manifest, verify
+from karvan.llm.warc import assemble, field, read_archives, salts_for, with_originals, with_payload_ids, write_archives
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as an archived transaction, read back: what was stored and what it refers to."""
+    captures = written(with_payload_ids(read(spark, sf_dir, "pages")), "warc-captures")
+    path = shared_path(spark, "warc-archives")
+    write_archives(captures, path)
+    delete_at_end(spark, path)
+    records = written(read_archives(spark, path), "warc-records")
+    rows = assemble(records).withColumn("page_id", field(F.col("metadata.payload"), "page-id").cast("long"))
+    rows = written(rows.select("record_id", "type", "refers_to", "page_id", "payload_bytes", "payload_sha1"), "warc-rows")
+    whole = with_originals(rows, ["page_id", "payload_bytes", "payload_sha1"], salts_for(rows.count()))
+    revisit = F.col("type") == "revisit"
+    return whole.select(
+        "page_id",
+        F.when(revisit, F.col("original.payload_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("original.payload_sha1")).otherwise(F.col("payload_sha1")).alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.when(revisit, F.col("original.page_id")).alias("refers_to"),
+    )
+
+
+WARC_SQL = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages),
+judged AS (
+  SELECT *, strlen(h) >= 1000 AND last IS NOT NULL AND page_id IS DISTINCT FROM last AS again FROM payloads)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to
+FROM judged
+"""
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proof of every document, checked against rows of which a third were tampered with."""
     docs = read(spark, sf_dir, "documents").select(*FIELDS)

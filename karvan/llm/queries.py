@@ -19,12 +19,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": q_dedup.op8_near_dedup,
     "op9_embedding_dedup": q_vectors.op9_embedding_dedup,
     "op10_html_text": q_scoring.op10_html_text,
+    "op11_warc": q_records.op11_warc,
     "op12_collocations": q_phrases.op12_collocations,
     "op13_merkle_manifest": q_records.op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op5_mixing": q_mixing.SQL,
     "op6_topk": q_vectors.TOPK_SQL,
+    "op11_warc": q_records.WARC_SQL,
     "op12_collocations": q_phrases.SQL,
     "op13_merkle_manifest": q_records.MERKLE_SQL,
 }
