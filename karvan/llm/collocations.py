@@ -1,16 +1,18 @@
 """Phrases whose words keep together, from counts of all phrases of two to five words.
 
-Every word position starts a suffix of at most ``depth`` words that ends with its piece. Suffixes
-are routed to buckets by their leading words, so that a bucket holds all that start alike; there a
+Word positions start suffixes of at most ``depth`` words that end with their piece. Suffixes are
+routed to buckets by their leading words, so that a bucket holds all that start alike; there a
 multikey three-way quicksort of suffix pointers divides them word by word. The size of an equal
 partition is the count of the phrase that its suffixes share, and a partition too small for a
 frequent phrase is abandoned, since nobody else has more of it.
 
-Three things keep a bucket bounded. Equal suffixes of one chunk of text travel once, with their
-number. Words that cannot be frequent end a suffix (a bitmap of fixed size, which may only keep
-too many). Leading words of more than ``bucket_words`` suffixes are routed by one more word, up to
-whole suffixes; counts of such leading words are then sums over buckets. Which they are is told
-by a bitmap of fixed size too, where a clash only means one word more.
+This is done twice: for pairs, routed by one word, and for longer phrases, routed by two. Words
+and pairs that cannot be frequent end a suffix before it is sent; a bitmap of fixed size tells
+which, and may only keep too many. Equal suffixes of one chunk of text travel once, with their
+number. Leading words of more than ``bucket_words`` suffixes are routed by one more word, up to
+whole suffixes; counts of such leading words are then sums over buckets. A bitmap of fixed size
+tells these too, where a clash only means one word more. So nothing that is sent to all tasks
+grows with the corpus, and a bucket stays bounded under any repetition.
 
 Cases: null texts are empty, null languages are ``und``, and words and pieces are split at ASCII
 characters only, whatever the script. Empty tables and languages without a frequent phrase give
@@ -27,20 +29,22 @@ from itertools import count
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from karvan.llm.common import mix64, written
 from karvan.llm.groups import FACTORS, starts_of
+from karvan.llm.merkle import in_positions
 
 #: Longest phrase, least count of a candidate, ranks of a language.
 DEPTH, LEAST, TOP = 5, 100, 2000
-#: A chunk of text is combined before it is sent; positions of a chunk stay below 2^20.
-CHUNK_BYTES, CHUNK_WORDS = 8 << 20, 1 << 20
-#: Suffixes of a bucket, about; leading words with more are divided.
-BUCKET_WORDS = 2_000_000
-#: Bits of the two bitmaps (256 KB each).
-SLOTS = 1 << 21
+#: A chunk of text is combined before it is sent, so many positions at a time.
+CHUNK_BYTES, CHUNK_WORDS = 8 << 20, 1 << 19
+#: Suffixes of a bucket before equal ones are combined; leading words with more are divided.
+BUCKET_WORDS = 4_000_000
+#: Bits of a bitmap (512 KB each).
+SLOTS = 1 << 22
 #: Ends of pieces and spaces, in UTF-8 bytes; 0xFF does not occur in UTF-8.
 _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t" + _ENDS, b"abcdefghijklmnopqrstuvwxyz " + b"\n" * len(_ENDS))
@@ -78,15 +82,16 @@ def _numbered(lang: str, bodies: list[bytes]) -> Iterator[tuple[str, np.ndarray,
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """``(lang, word, n)``: occurrences of every word."""
+    """``(lang, word, n, pairs)``: occurrences of every word, and its different pairs per chunk."""
 
     def count_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, ids, words in chunks(batches):
             n = np.bincount(ids, minlength=len(words))[1:]
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(n), pa.string()), "word": pa.array(words[1:], pa.binary()), "n": n})
+            pairs = np.bincount(np.unique(ids[:-1] * len(words) + ids[1:]) // len(words), minlength=len(words))[1:]
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(n), pa.string()), "word": pa.array(words[1:], pa.binary()), "n": n, "pairs": pairs})
 
-    counted = texts.mapInArrow(count_chunk, "lang string, word binary, n long")
-    return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(count_chunk, "lang string, word binary, n long, pairs long")
+    return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("pairs").alias("pairs"))
 
 
 def hashes_of(lang: str, words: Sequence[bytes]) -> np.ndarray:
@@ -108,15 +113,21 @@ def _marked(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
 
 
 class Suffixes:
-    """The distinct suffixes of a part of a chunk: word ids by depth, numbers, routing hashes."""
+    """The distinct suffixes of a part of a chunk: word ids by depth, numbers, routing hashes.
 
-    def __init__(self, ids: np.ndarray, depth: int) -> None:
+    ``joined`` tells of each position but the last ones whether its word goes on with the next.
+    """
+
+    def __init__(self, ids: np.ndarray, joined: np.ndarray, shortest: int, depth: int) -> None:
         at = np.flatnonzero(ids[: len(ids) - depth + 1])
-        todo = [ids[at]]
+        for d in range(shortest - 1):
+            at = at[joined[at + d]]
+        todo, alive = [ids[at]], np.ones(len(at), bool)
         for d in range(1, depth):
-            todo.append(np.where(todo[-1] != 0, ids[at + d], 0))
+            alive &= joined[at + d - 1]
+            todo.append(np.where(alive, ids[at + d], 0))
         # As many words as fit are packed into one number; ranks stand for the words so far.
-        width = int(ids.max()).bit_length()
+        width = max(1, int(ids.max()).bit_length())
         mask, rank, rank_bits, known = (1 << width) - 1, np.zeros(len(at), np.int64), 0, []
         while todo:
             take = min(len(todo), (63 - rank_bits) // width)
@@ -135,47 +146,63 @@ class Suffixes:
         return h
 
 
-def suffixes_of(ids: np.ndarray, words: list[bytes], hashes: np.ndarray, frequent: np.ndarray, depth: int) -> Iterator[Suffixes]:
-    """Suffixes of a chunk in parts; a word that is surely infrequent ends them."""
-    keep = _marked(frequent, hashes % np.uint64(len(frequent) * 8))
-    keep[0] = False
-    ids = np.r_[np.where(keep[ids], ids, 0), np.zeros(depth - 1, np.int64)]
-    for start in range(0, len(ids) - depth + 1, CHUNK_WORDS):
-        part = ids[start : start + CHUNK_WORDS + depth - 1]
-        if part[: len(part) - depth + 1].any():
-            yield Suffixes(part, depth)
-
-
-def route_depths(suffixes: Suffixes, hashes: np.ndarray, hot: Sequence[np.ndarray]) -> np.ndarray:
-    """How many leading words route each suffix: one more while the words so far are hot."""
-    depth = np.ones(len(suffixes.weight), np.int8)
-    for d, bits in enumerate(hot, 1):
-        depth[(depth == d) & _marked(bits, suffixes.prefix_hash(hashes, d) % np.uint64(len(bits) * 8))] = d + 1
-    return depth
+class Round:
+    """What one round of counting counts, and the bitmaps that bound it.
 
+    ``frequent`` and ``pairs`` mark words and pairs that may be frequent (no ``pairs``: all may);
+    ``hot`` marks, per number of leading words, those that are routed by one more.
+    """
 
-def hot_leaders(texts: DataFrame, frequent: np.ndarray, depth: int, bucket_words: int, slots: int) -> list[np.ndarray]:
-    """Per number of leading words the bitmap of those with more than ``bucket_words`` suffixes.
-
-    Only suffixes whose shorter leading words are hot are counted, so most corpora take one pass.
+    def __init__(self, shortest: int, depth: int, routed: int, least: int, frequent: np.ndarray, pairs: np.ndarray | None) -> None:
+        self.shortest, self.depth, self.routed, self.least = shortest, depth, routed, least
+        self.frequent, self.pairs, self.hot = frequent, pairs, {}
+
+    def suffixes(self, lang: str, ids: np.ndarray, words: list[bytes]) -> Iterator[tuple[Suffixes, np.ndarray]]:
+        """Suffixes of a chunk in parts, and hashes of its words."""
+        hashes = hashes_of(lang, words)
+        keep = _marked(self.frequent, hashes % np.uint64(len(self.frequent) * 8))
+        keep[0] = False
+        ids = np.r_[np.where(keep[ids], ids, 0), np.zeros(self.depth - 1, np.int64)]
+        for start in range(0, len(ids) - self.depth + 1, CHUNK_WORDS):
+            part = ids[start : start + CHUNK_WORDS + self.depth - 1]
+            joined = (part[:-1] != 0) & (part[1:] != 0)
+            if self.pairs is not None:
+                pair = mix64(hashes[part[:-1]] * FACTORS[0] + hashes[part[1:]])
+                joined &= _marked(self.pairs, pair % np.uint64(len(self.pairs) * 8))
+            found = Suffixes(part, joined, self.shortest, self.depth)
+            if len(found.weight):
+                yield found, hashes
+
+    def routes(self, suffixes: Suffixes, hashes: np.ndarray) -> np.ndarray:
+        """How many leading words route each suffix: one more while the words so far are hot."""
+        depth = np.full(len(suffixes.weight), self.routed, np.int8)
+        for d, bits in sorted(self.hot.items()):
+            depth[(depth == d) & _marked(bits, suffixes.prefix_hash(hashes, d) % np.uint64(len(bits) * 8))] = d + 1
+        return depth
+
+
+def find_hot(texts: DataFrame, counting: Round, first: DataFrame, bucket_words: int, slots: int) -> None:
+    """Fill ``counting.hot``: leading words with more than ``bucket_words`` suffixes.
+
+    ``first`` holds the slots of such words at the first routing depth. Deeper ones are counted
+    in a pass of their own, only under hot ones, so most corpora take none.
     """
-    hot: list[np.ndarray] = []
-    for d in range(1, depth):
+    d, bits = counting.routed, bitmap(first, slots)
+    while bits.any() and d < counting.depth:
+        counting.hot[d] = bits
+        d += 1
+        if d == counting.depth:
+            break
 
-        def count_leaders(batches: Iterator[pa.RecordBatch], d: int = d, hot: tuple = tuple(hot)) -> Iterator[pa.RecordBatch]:
+        def count_leaders(batches: Iterator[pa.RecordBatch], d: int = d) -> Iterator[pa.RecordBatch]:
             for lang, ids, words in chunks(batches):
-                hashes = hashes_of(lang, words)
-                for s in suffixes_of(ids, words, hashes, frequent, depth):
-                    at = route_depths(s, hashes, hot) == d
+                for s, hashes in counting.suffixes(lang, ids, words):
+                    at = counting.routes(s, hashes) == d
                     slot, n = np.unique(s.prefix_hash(hashes, d)[at] % np.uint64(slots), return_counts=True)
                     yield pa.RecordBatch.from_pydict({"slot": slot.astype(np.int64), "n": n})
 
         counted = texts.mapInArrow(count_leaders, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
         bits = bitmap(counted.where(F.col("n") > bucket_words), slots)
-        if not bits.any():
-            break
-        hot.append(bits)
-    return hot
 
 
 def divide(columns: Sequence[np.ndarray], weight: np.ndarray, least: int, whole_from: int) -> Iterator[tuple[int, int, int]]:
@@ -207,62 +234,53 @@ def divide(columns: Sequence[np.ndarray], weight: np.ndarray, least: int, whole_
             open_.append((equal, at + 1))
 
 
-def count_phrases(texts: DataFrame, frequent: np.ndarray, hot: Sequence[np.ndarray], buckets: int, depth: int, least: int) -> DataFrame:
-    """``(lang, words, a)``: every phrase of at most ``depth`` words with ``least`` occurrences."""
+def count_phrases(texts: DataFrame, counting: Round, buckets: int) -> DataFrame:
+    """``(lang, words, a)``: phrases of ``shortest`` to ``depth`` words that occur often enough."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, ids, words in chunks(batches):
-            hashes = hashes_of(lang, words)
-            for s in suffixes_of(ids, words, hashes, frequent, depth):
-                routed = route_depths(s, hashes, hot)
+            for s, hashes in counting.suffixes(lang, ids, words):
+                routed = counting.routes(s, hashes)
                 bucket = np.zeros(len(routed), np.int64)
-                for d in range(1, len(hot) + 2):
+                for d in range(counting.routed, counting.depth + 1):
                     at = routed == d
                     bucket[at] = (mix64(s.prefix_hash(hashes, d)[at]) % np.uint64(buckets)).astype(np.int64)
-                key = bucket * (depth + 1) + routed
+                key = bucket * (counting.depth + 1) + routed
                 order = np.argsort(key, kind="stable")
-                rows = []
                 starts = starts_of(key[order])
-                for a, b in zip(starts, np.r_[starts[1:], len(order)], strict=True):
-                    rows.append(_parcel(lang, int(key[order[a]]), order[a:b], s, words, depth))
+                rows = [_parcel(lang, *divmod(int(key[order[a]]), counting.depth + 1), order[a:b], s, words) for a, b in zip(starts, np.r_[starts[1:], len(order)], strict=True)]
                 yield pa.RecordBatch.from_pylist(rows, PARCEL)
 
     def receive(parcels: pa.Table) -> pa.Table:
         out: dict[str, list] = {"lang": [], "words": [], "a": []}
         rows = parcels.to_pylist()
-        kinds = sorted({(r["routed"], r["lang"]) for r in rows})
-        for routed, lang in kinds:
-            columns, weight, words = _opened([r for r in rows if r["routed"] == routed and r["lang"] == lang], depth)
-            for n, pointer, size in divide(columns, weight, least, routed):
-                out["lang"].append(lang)
-                out["words"].append([words[c[pointer]].decode() for c in columns[:n]])
-                out["a"].append(size)
+        for routed, lang in sorted({(r["routed"], r["lang"]) for r in rows}):
+            columns, weight, words = _opened([r for r in rows if r["routed"] == routed and r["lang"] == lang], counting.depth)
+            for n, pointer, size in divide(columns, weight, counting.least, routed):
+                if n >= counting.shortest:
+                    out["lang"].append(lang)
+                    out["words"].append([words[c[pointer]].decode() for c in columns[:n]])
+                    out["a"].append(size)
         return pa.table(out, pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("a", pa.int64())]))
 
-    parts = texts.mapInArrow(send, "bucket long, routed int, lang string, words binary, ids binary, wide boolean, weight binary")
+    parts = texts.mapInArrow(send, "bucket long, routed int, lang string, body binary, word_bytes int, wide boolean, ones boolean")
     found = parts.groupBy("bucket").applyInArrow(lambda t: receive(t), "lang string, words array<string>, a long")
-    return found.groupBy("lang", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    return found.groupBy("lang", "words").agg(F.sum("a").alias("a")).where(F.col("a") >= counting.least)
 
 
-PARCEL = pa.schema([("bucket", pa.int64()), ("routed", pa.int32()), ("lang", pa.string()), ("words", pa.binary()), ("ids", pa.binary()), ("wide", pa.bool_()), ("weight", pa.binary())])
+PARCEL = pa.schema([("bucket", pa.int64()), ("routed", pa.int32()), ("lang", pa.string()), ("body", pa.binary()), ("word_bytes", pa.int32()), ("wide", pa.bool_()), ("ones", pa.bool_())])
 
 
-def _parcel(lang: str, key: int, rows: np.ndarray, s: Suffixes, words: list[bytes], depth: int) -> dict:
-    """Suffixes for one bucket with a vocabulary of their own."""
-    used, back = np.unique(np.concatenate([c[rows] for c in s.columns] + [np.zeros(1, np.int64)]), return_inverse=True)
+def _parcel(lang: str, bucket: int, routed: int, rows: np.ndarray, s: Suffixes, words: list[bytes]) -> dict:
+    """Suffixes for one bucket, compressed, with a vocabulary of their own."""
+    used, back = np.unique(np.concatenate([np.zeros(1, np.int64)] + [c[rows] for c in s.columns]), return_inverse=True)
     wide = len(used) > 0xFFFF
-    ids = back[:-1].astype(np.uint32 if wide else np.uint16)
+    ids = back[1:].astype(np.uint32 if wide else np.uint16)
     weight = s.weight[rows]
-    ones = (weight == 1).all()
-    return {
-        "bucket": key // (depth + 1),
-        "routed": key % (depth + 1),
-        "lang": lang,
-        "words": b" ".join([words[i] for i in used[1:]]),
-        "ids": ids.tobytes(),
-        "wide": wide,
-        "weight": b"" if ones else weight.astype(np.int32).tobytes(),
-    }
+    ones = bool((weight == 1).all())
+    text = b" ".join([words[i] for i in used[1:]])
+    body = text + ids.tobytes() + (b"" if ones else weight.astype(np.int32).tobytes())
+    return {"bucket": bucket, "routed": routed, "lang": lang, "body": zstandard.compress(body, 1), "word_bytes": len(text), "wide": wide, "ones": ones}
 
 
 def _opened(parcels: list[dict], depth: int) -> tuple[list[np.ndarray], np.ndarray, list[bytes]]:
@@ -271,10 +289,13 @@ def _opened(parcels: list[dict], depth: int) -> tuple[list[np.ndarray], np.ndarr
     ids[_STOP]
     columns, weights = [], []
     for p in parcels:
-        own = np.array([0] + [ids[w] for w in p["words"].split(b" ") if w], np.int32)
-        rows = np.frombuffer(p["ids"], np.uint32 if p["wide"] else np.uint16).reshape(depth, -1)
+        body = zstandard.decompress(p["body"])
+        own = np.array([0] + [ids[w] for w in body[: p["word_bytes"]].split(b" ")], np.int32)
+        kind = np.dtype(np.uint32 if p["wide"] else np.uint16)
+        size = (len(body) - p["word_bytes"]) // (kind.itemsize * depth + 4 * (not p["ones"]))
+        rows = np.frombuffer(body, kind, size * depth, p["word_bytes"]).reshape(depth, -1)
         columns.append(own[rows])
-        weights.append(np.frombuffer(p["weight"], np.int32) if p["weight"] else np.ones(rows.shape[1], np.int32))
+        weights.append(np.ones(size, np.int32) if p["ones"] else np.frombuffer(body[-4 * size :], np.int32))
     merged = np.concatenate(columns, axis=1)
     return list(merged), np.concatenate(weights).astype(np.int64), list(ids)
 
@@ -317,31 +338,51 @@ def without_parts(candidates: DataFrame, percent: int = 100) -> DataFrame:
     return candidates.join(most, inside, "left_anti")
 
 
+def all_phrases(texts: DataFrame, words: DataFrame, depth: int, least: int, bucket_words: int, slots: int) -> DataFrame:
+    """``(lang, words, a)`` of every phrase of 1 to ``depth`` words with ``least`` occurrences."""
+    total = words.agg(F.sum("n")).first()[0] or 0
+    often = words.where(F.col("n") >= least)
+    frequent = bitmap(_slots(often, slots), slots)
+    single = often.select("lang", F.array(F.col("word").cast("string")).alias("words"), F.col("n").alias("a"))
+    if depth < 2:
+        return single
+    first = Round(2, 2, 1, least, frequent, None)
+    find_hot(texts, first, _slots(words.where(F.col("pairs") > bucket_words), slots), bucket_words, slots)
+    pairs = written(count_phrases(texts, first, math.ceil(total / bucket_words) or 1), "phrase-pairs")
+    if depth < 3:
+        return single.unionByName(pairs)
+    inside = pairs.agg(F.sum("a")).first()[0] or 0
+    rest = Round(3, depth, 2, least, frequent, bitmap(_slots(pairs, slots), slots))
+    find_hot(texts, rest, _slots(pairs.where(F.col("a") > bucket_words), slots), bucket_words, slots)
+    longer = count_phrases(texts, rest, math.ceil(inside / bucket_words) or 1)
+    return single.unionByName(pairs).unionByName(longer)
+
+
 def collocations(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, top: int = TOP, bucket_words: int = BUCKET_WORDS, slots: int = SLOTS) -> DataFrame:
     """The first ``top`` phrases of every language: ``lang, rank, phrase, a, l, r, n, score``."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     words = written(count_words(texts), "phrase-words")
     sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    total = words.agg(F.sum("n")).first()[0] or 0
-    frequent = bitmap(_slots(words.where(F.col("n") >= least), slots), slots)
-    hot = hot_leaders(texts, frequent, depth, bucket_words, slots) if _any_hot(words, bucket_words) else []
-    buckets = max(1, math.ceil(2 * total / bucket_words))
-    phrases = written(count_phrases(texts, frequent, hot, buckets, depth, least), "phrases")
+    phrases = written(all_phrases(texts, words, depth, least, bucket_words, slots), "phrases")
     kept = without_parts(written(scored(phrases, sizes, least), "phrase-scores"))
-    ranked = kept.withColumn("phrase", F.array_join("words", " "))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
-
+    keyed = kept.select(F.col("lang").alias("tree"), (-F.col("score")).alias("_s"), (-F.col("a")).alias("_a"), F.array_join("words", " ").alias("phrase"), "a", "l", "r", "n", "score")
+    placed = in_positions(keyed, ["_s", "_a", "phrase"], "phrase-ranks").where(F.col("pos") < top)
+    return placed.select(F.col("tree").alias("lang"), (F.col("pos") + 1).alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
-def _any_hot(words: DataFrame, bucket_words: int) -> bool:
-    return (words.agg(F.max("n")).first()[0] or 0) > bucket_words
 
+def _slots(phrases: DataFrame, slots: int) -> DataFrame:
+    """Slots of words (column ``word``) or of phrases (column ``words``) in a bitmap."""
 
-def _slots(words: DataFrame, slots: int) -> DataFrame:
     def slot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seeds = [xxhash.xxh3_64_intdigest(lang.encode()) for lang in batch.column("lang").to_pylist()]
-            h = [xxhash.xxh3_64_intdigest(w, s) % slots for w, s in zip(batch.column("word").to_pylist(), seeds, strict=True)]
-            yield pa.RecordBatch.from_pydict({"slot": pa.array(h, pa.int64())})
-
-    return words.select("lang", "word").mapInArrow(slot, "slot long")
+            found = []
+            for lang, words in zip(batch.column("lang").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                hashes = hashes_of(lang, [_STOP, *[w.encode() for w in words]])[1:]
+                h = hashes[:1]
+                for other in hashes[1:]:
+                    h = mix64(h * FACTORS[0] + other)
+                found.append(int(h[0]) % slots)
+            yield pa.RecordBatch.from_pydict({"slot": pa.array(found, pa.int64())})
+
+    words = F.col("words") if "words" in phrases.columns else F.array(F.col("word").cast("string"))
+    return phrases.select("lang", words.alias("words")).mapInArrow(slot, "slot long")

@@ -169,7 +169,7 @@ def _headers(stream: io.BufferedIOBase) -> dict[bytes, list[bytes]] | None:
         if not line.strip():
             return found
         if line[:1] in b" \t" and last is not None:
-            last[-1] += b" " + line.strip()
+            last[-1] = (last[-1] + b" " + line.strip()).strip()
             continue
         name, colon, value = line.partition(b":")
         if not colon:

@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from karvan.llm import collocations as module
 from karvan.llm.collocations import collocations, divide, words_of
 
 LANGS = (None, "en", "de", "und")
@@ -96,20 +97,17 @@ def test_long_text_is_cut_into_parts(spark):
     assert words_of(b"A b.C\td") == [b"a", b"b", b"\xff", b"c", b"d", b"\xff"]
 
 
-def test_parts_overlap():
-    from karvan.llm import collocations as module
-
+def test_parts_overlap(monkeypatch):
     ids = np.array([1, 2, 3, 1, 2, 3, 1, 2, 0, 3, 3, 3, 3, 3, 3, 0], np.int64)
-    words, hashes = [b"\xff", b"a", b"b", b"c"], np.arange(4, dtype=np.uint64)
     every = np.full(1, 255, np.uint8)
 
-    def counts(size):
-        old, module.CHUNK_WORDS = module.CHUNK_WORDS, size
+    def counts(size, shortest):
+        monkeypatch.setattr(module, "CHUNK_WORDS", size)
         found = Counter()
-        for s in module.suffixes_of(ids, words, hashes, every, 5):
+        for s, _ in module.Round(shortest, 5, 1, 1, every, every).suffixes("en", ids, [b"\xff", b"a", b"b", b"c"]):
             for row in zip(*[c.tolist() for c in s.columns], s.weight.tolist(), strict=True):
                 found[row[:-1]] += row[-1]
-        module.CHUNK_WORDS = old
         return found
 
-    assert counts(1 << 20) == counts(3) == counts(1) and sum(counts(2).values()) == 14
+    for shortest, n in ((1, 14), (2, 12), (3, 10)):
+        assert counts(1 << 20, shortest) == counts(3, shortest) == counts(1, shortest) and sum(counts(2, shortest).values()) == n
