@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 
 from karvan.llm.common import delete_at_end, read, shared_path, written
 from karvan.llm.merkle import FIELDS, leaf_hash, manifest, verify
-from karvan.llm.warc import assemble, field, read_archives, salts_for, with_originals, with_payload_ids, write_archives
+from karvan.llm.warc import assemble, field, read_archives, salts_for, with_originals, write_archives
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as an archived transaction, read back: what was stored and what it refers to."""
-    captures = written(with_payload_ids(read(spark, sf_dir, "pages")), "warc-captures")
     path = shared_path(spark, "warc-archives")
-    write_archives(captures, path)
+    n = write_archives(read(spark, sf_dir, "pages"), path)
     delete_at_end(spark, path)
-    records = written(read_archives(spark, path), "warc-records")
+    # Digests and sizes of payloads were taken on reading; only metadata payloads are needed below.
+    slim = F.when(F.col("type") == "metadata", F.col("payload"))
+    records = written(read_archives(spark, path).withColumn("payload", slim), "warc-records")
     rows = assemble(records).withColumn("page_id", field(F.col("metadata.payload"), "page-id").cast("long"))
     rows = written(rows.select("record_id", "type", "refers_to", "page_id", "payload_bytes", "payload_sha1"), "warc-rows")
-    whole = with_originals(rows, ["page_id", "payload_bytes", "payload_sha1"], salts_for(rows.count()))
+    whole = with_originals(rows, ["page_id", "payload_bytes", "payload_sha1"], salts_for(n))
     revisit = F.col("type") == "revisit"
     return whole.select(
         "page_id",

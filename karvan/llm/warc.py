@@ -10,6 +10,8 @@ the other, into one nested row per capture. Revisits find what they refer to in
 Equal payloads, or revisits of one response, may be a third of all rows: such keys are joined
 in salted parts, of which each holds the key once.
 
+Equal rows are captures of their own, numbered inside one task.
+
 Cases: a null payload is empty; null page ids and urls are left out of the record and come back
 null; among equal payloads the largest page id is the response, rows that repeat it are responses
 too, and without any page id all are responses; control characters are cut out of urls and
@@ -61,11 +63,8 @@ def _record(headers: list[Column], block: Column) -> Column:
     return F.concat(F.lit(VERSION + CRLF), *headers, length, block)
 
 
-def with_payload_ids(pages: DataFrame) -> DataFrame:
-    """``page_id, url, html`` -> the same with payload digests, size and a capture id.
-
-    The capture id is drawn at random: write the result down before it is used twice.
-    """
+def with_digests(pages: DataFrame, salts: int) -> DataFrame:
+    """``page_id, url, html`` with payload digests and size, and the part of its payload's rows."""
     html = F.coalesce("html", F.lit(""))
     return pages.select(
         "page_id",
@@ -74,23 +73,24 @@ def with_payload_ids(pages: DataFrame) -> DataFrame:
         F.octet_length(html).cast("long").alias("payload_bytes"),
         F.sha1(html.cast("binary")).alias("sha1"),
         F.sha2(html.cast("binary"), 256).alias("key"),
-        F.uuid().alias("capture"),
+        F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int").alias("salt"),
     )
 
 
-def _salted(row: Column, salts: int) -> Column:
-    return F.pmod(F.xxhash64(row), F.lit(salts)).cast("int")
+def _capture(page_id: Column, url: Column, key: Column, copy: Column) -> Column:
+    """Identifier of a capture: what it holds, and its number among equal rows."""
+    return F.md5(F.concat_ws("|", F.coalesce(page_id.cast("string"), F.lit("-")), copy.cast("string"), key, F.coalesce(url, F.lit(""))).cast("binary"))
 
 
-def originals(captures: DataFrame, salts: int, least: int = MIN_REVISIT_BYTES) -> DataFrame:
+def originals(captures: DataFrame, least: int = MIN_REVISIT_BYTES) -> DataFrame:
     """``(key, salt, original)`` of the payloads that several captures share.
 
-    Maxima are taken per part of a key and then over its parts, ``salts`` rows at most.
+    Maxima are taken per part of a key and then over its parts, as many rows as there are salts.
     """
     parts = (
         captures.where(F.col("payload_bytes") >= least)
-        .groupBy("key", _salted(F.col("capture"), salts).alias("salt"))
-        .agg(F.max(F.struct("page_id", "capture", "url")).alias("best"), F.count(F.lit(1)).alias("n"))
+        .groupBy("key", "salt")
+        .agg(F.max(F.struct("page_id", "url")).alias("best"), F.count(F.lit(1)).alias("n"))
     )
     whole = Window.partitionBy("key")
     return (
@@ -101,10 +101,17 @@ def originals(captures: DataFrame, salts: int, least: int = MIN_REVISIT_BYTES) -
     )
 
 
-def records_of(captures: DataFrame, salts: int, least: int = MIN_REVISIT_BYTES, captured_at: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """The three records of every capture, as text in a column ``record``."""
-    same = (F.col("key") == F.col("_key")) & (_salted(F.col("capture"), salts) == F.col("_salt"))
-    found = captures.join(originals(captures, salts, least), same, "left")
+def records_of(captures: DataFrame, least: int = MIN_REVISIT_BYTES, captured_at: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """The three records of every capture, as text in a column ``record``.
+
+    Payloads are moved once: rows are dealt by payload and part, which numbers equal rows and
+    meets the originals.
+    """
+    equal = Window.partitionBy("key", "salt", "page_id", "url").orderBy("payload_bytes")
+    dealt = captures.repartition("key", "salt").withColumn("_copy", F.row_number().over(equal))
+    dealt = dealt.withColumn("capture", _capture(F.col("page_id"), F.col("url"), F.col("key"), F.col("_copy")))
+    found = dealt.join(originals(captures, least), (F.col("key") == F.col("_key")) & (F.col("salt") == F.col("_salt")), "left")
+    original = _capture(F.col("original.page_id"), F.col("original.url"), F.col("key"), F.lit(1))
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original.page_id")) & (F.col("payload_bytes") >= least)
     uri = F.regexp_replace(F.regexp_replace("url", r"[\x00-\x1F\x7F]", ""), " ", "%20")
     other = F.regexp_replace(F.regexp_replace("original.url", r"[\x00-\x1F\x7F]", ""), " ", "%20")
@@ -123,7 +130,7 @@ def records_of(captures: DataFrame, salts: int, least: int = MIN_REVISIT_BYTES,
             *common,
             digest,
             _line("WARC-Profile", F.lit(REVISIT_PROFILE)),
-            _line("WARC-Refers-To", _urn(F.col("original.capture"), "response")),
+            _line("WARC-Refers-To", _urn(original, "response")),
             _line("WARC-Refers-To-Target-URI", other),
             reply,
         ],
@@ -147,12 +154,16 @@ def salts_for(rows: int) -> int:
     return max(MIN_SALTS, rows // SALT_ROWS)
 
 
-def write_archives(captures: DataFrame, path: str, least: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write ``with_payload_ids`` rows as gzipped archives of about ``archive_bytes`` each."""
-    rows, size = captures.agg(F.count(F.lit(1)), F.coalesce(F.sum("payload_bytes"), F.lit(0))).first()
+def write_archives(pages: DataFrame, path: str, least: int = MIN_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> int:
+    """Write ``page_id, url, html`` rows as gzipped archives of about ``archive_bytes`` each.
+
+    ``pages`` is read three times. Returns the number of captures.
+    """
+    rows, size = pages.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("html").cast("long")), F.lit(0))).first()
     records = max(3, 3 * int(archive_bytes / (size / max(rows, 1) + 1500)))
-    text = records_of(captures, salts_for(rows), least)
+    text = records_of(with_digests(pages, salts_for(rows)), least)
     text.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
+    return rows
 
 
 RECORD = (
@@ -276,7 +287,7 @@ def assemble(records: DataFrame) -> DataFrame:
 
 def with_originals(captures: DataFrame, carried: list[str], salts: int) -> DataFrame:
     """Add a struct ``original`` with columns of the response that a revisit refers to."""
-    salt = _salted(F.col("record_id"), salts)
+    salt = F.pmod(F.xxhash64("record_id"), F.lit(salts)).cast("int")
     wanted = captures.where(F.col("type") == "revisit").select(F.col("refers_to").alias("_to"), salt.alias("_salt")).distinct()
     targets = captures.where(F.col("type") == "response").select(F.col("record_id").alias("_id"), F.struct(*carried).alias("original"))
     found = wanted.join(targets, F.col("_to") == F.col("_id")).drop("_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from karvan.llm import warc
 from karvan.llm.common import written
 from karvan.llm.q_records import op11_warc
-from karvan.llm.warc import assemble, field, http_parts, originals, read_archives, records_in, with_originals, with_payload_ids, write_archives
+from karvan.llm.warc import assemble, field, http_parts, originals, read_archives, records_in, with_digests, with_originals, write_archives
 
 LONG, OTHER = "<p>é" * 400 + "\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n" + "x" * 50, "y" * 1000
 PAGES = [
@@ -54,8 +54,7 @@ def test_query_is_the_definition(spark, pages, tmp_path):
 
 
 def test_round_trip_of_nested_rows(spark, pages, tmp_path):
-    captures = written(with_payload_ids(pages), "t-captures")
-    write_archives(captures, f"{tmp_path}/w", archive_bytes=4000)
+    assert write_archives(pages, f"{tmp_path}/w", archive_bytes=4000) == len(PAGES)
     records = written(read_archives(spark, f"{tmp_path}/w"), "t-records")
     assert records.select("archive").distinct().count() > 3
     rows = assemble(records).withColumn("page_id", field(F.col("metadata.payload"), "page-id").cast("long"))
@@ -71,8 +70,7 @@ def test_round_trip_of_nested_rows(spark, pages, tmp_path):
 
 def test_a_hot_payload_is_cut_into_parts(spark):
     rows = spark.range(500).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("h" * 1500).alias("html"))
-    captures = written(with_payload_ids(rows), "t-hot")
-    parts = originals(captures, 64).collect()
+    parts = originals(with_digests(rows, 64)).collect()
     assert 50 < len(parts) <= 64 and {p.original.page_id for p in parts} == {499}
 
 
