@@ -9,6 +9,7 @@ among others: inside it the thresholds are lower and a tie of the neighbours mea
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -16,13 +17,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Comments, pictures, titles, raw-text elements, tags, and everything else. A picture whose start tag
-#: ends in "/>" is empty; one that is not closed ends where a block opens outside a foreignObject. The
-#: tags of head are like any others: </head> may be left out.
-ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^>\"'])*"
-SVG = rf"<svg\b{ATTRIBUTES}(?<=/)>|<svg\b(?:<foreignObject\b.*?</foreignObject\s*>|.)*?(?:</svg\s*>|(?=</?(?:body|article|main|section|div|p|h[1-6]|[uod]l|li|table|nav|footer|header|aside)\b)|\Z)"
-TITLE = r"<title\b.*?(?:</title\s*>|(?=</head\b|<body\b)|\Z)"
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|{SVG}|{TITLE}|<(script|style|noscript|template|textarea|iframe|select)\b.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][\w:-]*)({ATTRIBUTES})>", re.S | re.I)
+#: Where markup begins: comment, declaration, tag.
+START = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][\w:-]*))")
+#: One attribute: name, then a value up to white space or the end of the tag. Quotes are looked at
+#: only behind "="; anywhere else they are characters like others.
+ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=]+|=)(?:\s*=\s*)?", re.S)
+UNQUOTED = re.compile(r"[^\s>]*")
+TAG_ENDS = re.compile(r"[\s/]*(>?)")
+#: Elements whose content is no text, and what ends them; a title also ends where the body begins.
+RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in "script style noscript template textarea iframe select".split()}
+TITLE_ENDS = re.compile(r"</title\s*>|(?=</head\b|<body\b)", re.I)
+#: What may end a picture that is not closed: a block that opens outside a foreignObject.
+SVG_PARTS = re.compile(r"(</svg\s*>)|(<foreignObject\b)|(</foreignObject\s*>)|(?=</?(?:body|article|main|section|div|p|h[1-6]|[uod]l|li|table|nav|footer|header|aside)\b)", re.I)
+LINK_TAG = re.compile(r"<(/?)a(?=[\s/>])", re.I)
 INLINE = set("a abbr b bdi bdo cite code data del dfn em font i img input ins kbd label mark q s samp small span strong sub sup time tt u var wbr br".split())
 VOID = set("area base br col embed head hr img input link meta param source track wbr".split())
 #: Containers of page furniture, by element and by words of class, id and role.
@@ -32,8 +39,9 @@ FURNITURE_NAME = re.compile(
     r"newsletter|subscribe|share|social|related|comments?|replies|disqus|login|search|legal|copyright|toolbar|pagination)(?:$|[\s_-])", re.I)
 #: Names that tell of a layout, not of a container: has-sidebar, with-menu-left, no-footer.
 LAYOUT = re.compile(r"(?<![^\s_-])(?:has|with|without|no|not)[_-]\S*", re.I)
-NAME = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+#: Names that chapters of an article have too; as the id of a part with a heading they are anchors.
+CHAPTERS = set("related legal search menu notice copyright social login header footer nav navigation share side".split())
 MAIN = {"article", "main"}
 ROOTS = MAIN | {"html", "body"}
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
@@ -54,20 +62,118 @@ IN_MAIN, MAIN_LINKS = 0.5, 0.25
 class Block:
     __slots__ = ("furniture", "linked", "main", "named", "parts")
 
-    def __init__(self, furniture: bool, main: int, named: tuple[int, ...]) -> None:
+    def __init__(self, furniture: bool, main: int, named: int) -> None:
         self.parts: list[str] = []
         self.linked = 0
-        #: inside furniture by element or hidden; which article or main; containers with a furniture name
+        #: inside furniture by element or hidden; which article or main; innermost container with a furniture name, or -1
         self.furniture, self.main, self.named = furniture, main, named
 
 
-def blocks_of(html: str) -> list[Block]:
-    """Text blocks in page order: text between block-level tags, with its containers' signs."""
+def quoted(html: str, at: int) -> tuple[str, int]:
+    """Value that starts with a quote at ``at``, and where it ends.
+
+    A quote without a partner, or whose partner opens another value behind a ">", ends at the ">".
+    """
+    end = html.find(html[at], at + 1)
+    tag = html.find(">", at, end if end >= 0 else len(html))
+    if end < 0 or tag >= 0 and html[end + 1 : end + 2] not in ("", " ", "\t", "\n", "\r", "\f", "/", ">"):
+        return (html[at + 1 : tag], tag) if tag >= 0 else (html[at + 1 :], len(html))
+    return html[at + 1 : end], end + 1
+
+
+def attributes(html: str, at: int) -> tuple[dict[str, str], int, bool]:
+    """Attributes of a tag, the place after its ">", and whether it closes itself."""
+    found: dict[str, str] = {}
+    while True:
+        ends = TAG_ENDS.match(html, at)
+        if ends.group(1) or ends.end() == len(html):
+            return found, ends.end(), "/" in html[max(at, ends.end() - 2) : ends.end()]
+        m = ATTRIBUTE.match(html, at)
+        name, at = m.group(1).lower(), m.end()
+        value = ""
+        if html[at - 1] == "=" or m.group(0).rstrip().endswith("="):
+            if html[at : at + 1] in ("'", '"') and html[at : at + 1]:
+                value, at = quoted(html, at)
+            else:
+                value, at = (v := UNQUOTED.match(html, at)).group(0), v.end()
+        found.setdefault(name, value)
+
+
+class Tag:
+    """A tag or, with an empty name, markup without text such as a comment."""
+
+    __slots__ = ("attributes", "closing", "end", "name", "start")
+
+    def __init__(self, start: int, end: int, name: str = "", closing: bool = False, attrs: dict[str, str] | None = None) -> None:
+        self.start, self.end, self.name, self.closing, self.attributes = start, end, name, closing, attrs or {}
+
+
+def tags_of(html: str) -> Iterator[Tag]:
+    """Tags in page order, in one pass; a "<" behind the last ">" is text."""
+    at, last, pictures_end = 0, html.rfind(">"), True
+    while (m := START.search(html, at)) and m.start() < last:
+        start, end = m.start(), m.end()
+        name, closing = (m.group(4) or "").lower(), bool(m.group(3))
+        if m.group(1):
+            end = html.find("-->", end)
+            at = len(html) if end < 0 else end + 3
+            yield Tag(start, at)
+            continue
+        if m.group(2):
+            at = html.find(">", end) + 1 or len(html)
+            yield Tag(start, at)
+            continue
+        attrs, at, empty = attributes(html, end)
+        if not closing and name in RAW:
+            at = m.end() if (m := RAW[name].search(html, at)) else len(html)
+            name = ""
+        elif not closing and name == "title":
+            at = m.end() if (m := TITLE_ENDS.search(html, at)) else len(html)
+            name = ""
+        elif not closing and name == "svg":
+            if not empty:
+                at, whole = _picture_end(html, at, pictures_end)
+                pictures_end = pictures_end and whole
+            name = ""
+        yield Tag(start, at, name, closing, attrs)
+
+
+def _picture_end(html: str, at: int, nested: bool) -> tuple[int, bool]:
+    """Where a picture ends. With a foreignObject that never ends, at the first sign of an end."""
+    first, depth = None, 0
+    for m in SVG_PARTS.finditer(html, at):
+        if m.group(2):
+            depth += 1
+        elif m.group(3):
+            depth = max(0, depth - 1)
+        else:
+            first = m.end() if first is None else first
+            if not depth or not nested:
+                return (m.end() if not depth else first), True
+    return (len(html) if first is None else first), not depth
+
+
+class Container:
+    """An element with a furniture name: the one around it, and whether it is a chapter."""
+
+    __slots__ = ("before", "chapter", "parent")
+
+    def __init__(self, parent: int, before: int | None) -> None:
+        #: number of blocks before it where its name is an anchor, else null
+        self.parent, self.before, self.chapter = parent, before, False
+
+
+def blocks_of(html: str) -> tuple[list[Block], list[Container]]:
+    """Text blocks in page order with their containers' signs, and the containers they name."""
     out: list[Block] = []
-    open_tags: list[tuple[str, bool, int, tuple[int, ...]]] = []  # name, and the signs outside it
-    inside, main, mains, links, at = False, 0, 0, 0, 0
-    named: tuple[int, ...] = ()
-    block = Block(False, 0, ())
+    open_tags: list[tuple[str, bool, int, int]] = []  # name, and the signs outside it
+    opened: dict[str, int] = defaultdict(int)
+    inside, main, mains, at = False, 0, 0, 0
+    #: The open link: tags open around it, and whether its end tag is there.
+    link: tuple[int, bool] | None = None
+    named = -1
+    containers: list[Container] = []
+    block = Block(False, 0, -1)
 
     def close_block() -> None:
         nonlocal block
@@ -78,53 +184,66 @@ def blocks_of(html: str) -> list[Block]:
     def add(text: str) -> None:
         if text:
             block.parts.append(text)
-            if links:
-                block.linked += len(text.strip())
+            if link:
+                block.linked += len(" ".join(unescape(text).split()))
 
     def pop(name: str) -> None:
-        nonlocal inside, main, named
+        nonlocal inside, main, named, link
         while open_tags:
             top, inside, main, named = open_tags.pop()
+            opened[top] -= 1
+            if link and len(open_tags) < link[0]:
+                link = None
             if top == name:
                 return
 
-    for m in TOKEN.finditer(html):
-        add(html[at : m.start()])
-        at = m.end()
-        name = (m.group(3) or "").lower()
+    for tag in tags_of(html):
+        add(html[at : tag.start])
+        at, name = tag.end, tag.name
         if not name:
             continue
         if name == "br":
             add(" ")
         elif name == "a":
-            links = 0 if m.group(2) else 1
+            link = None
+            if not tag.closing and "href" in tag.attributes:
+                after = LINK_TAG.search(html, at)
+                link = (len(open_tags), bool(after and after.group(1)))
         if name in INLINE:
             continue
-        links = 0
-        if m.group(2):
-            if any(t[0] == name for t in open_tags):
+        if link and not link[1]:
+            link = None  # a link without an end tag goes no further than its block
+        if tag.closing:
+            if opened[name]:
                 pop(name)
         else:
-            if name in ENDS_P and any(t[0] == "p" for t in open_tags):
+            if name in ENDS_P and opened["p"]:
                 pop("p")
             elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and open_tags and open_tags[-1][0] == name:
                 pop(name)
+            if name in HEADINGS and named >= 0 and containers[named].before == len(out) + bool("".join(block.parts).strip()):
+                containers[named].chapter = True
             if name not in VOID:
                 open_tags.append((name, inside, main, named))
-                said = [(kind.lower(), x.strip("\"'")) for kind, x in NAME.findall(m.group(4))]
-                names = " ".join(x for kind, x in said if not (kind == "id" and name in HEADINGS))
+                opened[name] += 1
+                said = tag.attributes
+                names = " ".join(said[k] for k in ("class", "id", "role") if k in said and not (k == "id" and name in HEADINGS))
                 bad = bool(FURNITURE_NAME.search(LAYOUT.sub(" ", names)))
-                inside = inside or name in FURNITURE and not (name == "header" and main) or bool(HIDDEN.search(m.group(4)))
+                hidden = "hidden" in said or said.get("aria-hidden", "").strip().lower() == "true" or bool(UNSEEN.search(said.get("style", "")))
+                inside = inside or name in FURNITURE and not (name == "header" and main) or hidden
                 if name in MAIN or "main" in names.lower().split() and not bad:
-                    named = named if bad else ()  # a wrapper's name says nothing of the article in it
+                    named = named if bad else -1  # a wrapper's name says nothing of the article in it
                     if not main:
                         main = mains = mains + 1
                 elif bad and name not in ROOTS:
-                    named = (*named, m.start())
+                    others = LAYOUT.sub(" ", f"{said.get('class', '')} {said.get('role', '')}")
+                    anchor = main and said.get("id", "").lower() in CHAPTERS and not FURNITURE_NAME.search(others)
+                    containers.append(Container(named, len(out) + bool("".join(block.parts).strip()) if anchor else None))
+                    named = len(containers) - 1
         close_block()
     add(html[at:])
     close_block()
-    return out
+    return out, containers
 
 
 def first_pass(block: Block, text: str) -> int | None:
@@ -145,20 +264,27 @@ def first_pass(block: Block, text: str) -> int | None:
     return 1 if stops >= lower * FEW_STOPS else None
 
 
-def furniture_by_name(blocks: list[Block], labels: list[int | None], texts: list[str]) -> list[bool]:
-    """Blocks in a container whose name says furniture.
+def furniture_by_name(blocks: list[Block], labels: list[int | None], texts: list[str], containers: list[Container]) -> list[bool]:
+    """Blocks in a container whose name says furniture, however long they are.
 
-    The name is refuted where blocks that pass one calls text make up half of the container and
-    are long together: page wrappers, chapters named like a menu.
+    The name is refuted where the container holds all blocks of the page that pass one calls text
+    (the wrapper of a page), or is a chapter of an article: an anchor with a heading and prose.
     """
-    size: dict[int, int] = {}
-    prose: dict[int, int] = {}
+    prose = [0] * len(containers)
+    every = 0
     for block, label, text in zip(blocks, labels, texts, strict=True):
-        for at in block.named if not block.furniture else ():
-            size[at] = size.get(at, 0) + len(text)
-            prose[at] = prose.get(at, 0) + (len(text) if label == 1 else 0)
-    refuted = {at for at, n in prose.items() if n >= LONG and 2 * n >= size[at]}
-    return [any(at not in refuted for at in block.named) for block in blocks]
+        if label == 1 and not block.furniture:
+            every += len(text)
+            if block.named >= 0:
+                prose[block.named] += len(text)
+    for i in range(len(containers) - 1, -1, -1):
+        if containers[i].parent >= 0:
+            prose[containers[i].parent] += prose[i]
+    bad: list[bool] = []
+    for n, c in zip(prose, containers, strict=True):
+        refuted = n >= LONG and (n == every or c.chapter)
+        bad.append(not refuted or c.parent >= 0 and bad[c.parent])
+    return [block.named >= 0 and bad[block.named] for block in blocks]
 
 
 def _nearest(labels: list[int | None], mains: list[int]) -> list[int | None]:
@@ -195,12 +321,15 @@ def extract_text(html: str | None) -> str:
     """The main text of one page; empty when there is none.
 
     Inside a block all white space becomes one space; blocks follow in page order with a space
-    between. Nothing is capped.
+    between. Nothing is capped. Malformed markup: a quote opens a value only behind "=" and ends at
+    the tag's ">" when it has no partner, tags without ">" are text, raw elements and comments that
+    are not closed reach to the end of the page. The work is linear in the page.
     """
-    kept = [(b, t) for b in blocks_of(html or "") if (t := " ".join(unescape("".join(b.parts)).split()))]
+    found, containers = blocks_of(html or "")
+    kept = [(b, t) for b in found if (t := " ".join(unescape("".join(b.parts)).split()))]
     blocks, texts = [b for b, _ in kept], [t for _, t in kept]
     labels = [first_pass(b, t) for b, t in kept]
-    named = furniture_by_name(blocks, labels, texts)
+    named = furniture_by_name(blocks, labels, texts, containers)
     labels = [0 if bad else label for bad, label in zip(named, labels, strict=True)]
     keep = second_pass(labels, [0 if bad or b.furniture else b.main for b, bad in zip(blocks, named, strict=True)], texts)
     return " ".join(t for t, ok in zip(texts, keep, strict=True) if ok)

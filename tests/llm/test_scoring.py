@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -211,3 +212,45 @@ def test_cut_vectors_of_passages():
     alone = [quality.passages([t])[0] for t in texts]
     assert np.allclose(x, np.concatenate(alone))
     assert len(list(itertools.chain(*quality._slices(["x"] * 5)))) == 5
+
+
+@pytest.mark.parametrize("name", ["comments", "sidebar", "cookie-notice", "related", "advert", "newsletter", "reader-replies comments"])
+def test_long_furniture_is_furniture(name):
+    long = f"{PROSE} {PROSE} {PROSE}"
+    for box in (f'<div class="{name}"><p>{long}</p></div>', f'<section id="x" class="{name}"><h3>More</h3><p>{long}</p><p>{long}</p></section>'):
+        assert html_text.extract_text(f"<article><h1>Title</h1><p>{PROSE}</p><p>{PROSE}</p></article>{box}") == f"Title {PROSE} {PROSE}"
+        assert html_text.extract_text(f"<article><p>{PROSE}</p>{box}<p>{PROSE}</p></article>") == f"{PROSE} {PROSE}"
+        assert html_text.extract_text(f"<div><p>{PROSE}</p></div>{box}") == PROSE
+    wrapped = f'<div class="{name}"><div><p>{PROSE}</p><p>{PROSE}</p></div></div>'
+    assert html_text.extract_text(wrapped + '<div><a href="/">Home</a></div>') == f"{PROSE} {PROSE}"
+
+
+def test_quotes_open_behind_equals_only():
+    for tag in ("<p title=it's>", "<p it's>", '<p class="x>', "<p class='x>", '<p a="x" b>', "<p a = 'x>y'>", '<p title="a > b">', "<p =x>", "<p a=>", '<p"a">', "<p a=b'c\"d / >"):
+        assert html_text.extract_text(f"<article>{tag}{PROSE}</p><p class='z'>{PROSE}</p></article>") == f"{PROSE} {PROSE}", tag
+        assert html_text.extract_text(f"<article>{tag}{PROSE}</p>\n<p>It's \"so\". {PROSE}</p></article>") == f"{PROSE} It's \"so\". {PROSE}", tag
+    assert html_text.extract_text(f"<article><p>{PROSE} 1 < 2</p>") == f"{PROSE} 1 < 2"
+    assert html_text.extract_text(f"<article><p>{PROSE}</p><p") == f"{PROSE} <p"
+
+
+@pytest.mark.parametrize("piece", ['<p a="', "<p a='", "<p a=", "<!", "<!--", "<svg><foreignObject>", "<svg><foreignObject></svg>", "<a href=x>", "<title>", "<p", "<script>", '<p a="x>', "&#", "<div class=ad>", "</"])
+def test_a_megabyte_of_open_markup_is_quick(piece):
+    for tail in ("", ">", "\"'>"):
+        start = time.process_time()
+        html_text.extract_text(piece * (1_000_000 // len(piece)) + tail)
+        assert time.process_time() - start < 8
+
+
+def test_links_go_on_through_blocks():
+    card = f'<a href="/x"><div><h3>A card</h3><p>{PROSE}</p></div></a>'
+    assert html_text.extract_text(f"<div><p>{PROSE}</p></div>{card}") == PROSE
+    assert html_text.extract_text(f'<div><p><a href="/x">One</a> {PROSE}</p><a name="here"><p>{PROSE}</p></div>') == f"One {PROSE} {PROSE}"
+    assert html_text.extract_text(f'<div><a href="/x">One<p>{PROSE}</p><a href="/y">Two</a></div>') == PROSE
+    open_link = f'<div><p><a href="/x">{"word " * 12}</p><p>{PROSE}</p></div>'
+    assert html_text.extract_text(open_link) == PROSE
+    entities = '<p><a href="/x">' + "&aacute;" * 40 + "</a> " + PROSE + "</p>"
+    assert html_text.extract_text(entities) == "á" * 40 + " " + PROSE
+
+
+def test_page_table_without_rows(spark):
+    assert html_text.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
