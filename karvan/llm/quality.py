@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from karvan.llm.common import mix64
+from karvan.llm.groups import FACTORS
 from karvan.llm.html_text import STOP_WORDS
 from karvan.llm.linear import sigmoid
 from karvan.llm.toxicity import training_rows
@@ -32,14 +33,11 @@ FEATURES = CLASSES + 11
 
 
 def _word_keys(buf: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each word, from its first 16 bytes and its length."""
-    key = length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for part in (0, 8):
-        word = np.zeros(len(start), np.uint64)
-        for i in range(part, part + 8):
-            word |= np.where(i < length, buf[np.minimum(start + i, len(buf) - 1)], 0).astype(np.uint64) << np.uint64(8 * (i - part))
-        key = mix64(key ^ word)
-    return key
+    """A 64-bit key of each whole word: a polynomial of its bytes, from running sums."""
+    powers = np.cumprod(np.full(len(buf), FACTORS[0]))
+    sums = np.r_[np.zeros(1, np.uint64), np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers)]
+    back = np.cumprod(np.full(len(buf), np.uint64(pow(int(FACTORS[0]), -1, 1 << 64))))
+    return mix64((sums[start + length] - sums[start]) * back[start] ^ length.astype(np.uint64))
 
 
 def _stop_keys() -> np.ndarray:
@@ -76,7 +74,7 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         out[which, c] = np.add.reduceat((kind == c).astype(np.int32), at) / bytes_in
     key = _word_keys(buf, start, length)
     again = np.r_[False, (key[1:] == key[:-1]) & (text[1:] == text[:-1])]
-    lowered = key  # stop words are looked up as written
+    lowered = _word_keys(np.where(kind == 2, buf + 32, buf), start, length)
     stop = STOPS[np.minimum(np.searchsorted(STOPS, lowered), len(STOPS) - 1)] == lowered
     last = kind[end - 1]
     per_word = (again, stop, kind[start] == 2, (last == 7) | (last == 8), last == 6, last == 5, length > 12, length == 1)

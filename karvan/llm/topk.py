@@ -24,11 +24,13 @@ BUCKET, BLOCK, LANE = 2_048, 256, 16
 #: Local threshold from which a bucket is pruned by coordinate.
 BY_COORDINATE = 0.5
 NOTHING = np.iinfo(np.int64).min
+LARGEST = np.iinfo(np.int64).max
 
 
 def quantized(embedding, scale: int = 64):
-    """floor(scale * x) of every component, as integers."""
-    return F.transform(embedding, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
+    """floor(scale * x) of every component, as integers; beyond 2^62 the nearest of those."""
+    most = F.lit(float(1 << 62))
+    return F.transform(embedding, lambda x: F.floor(F.least(most, F.greatest(-most, F.lit(scale) * x.cast("double")))).cast("long"))
 
 
 class TopK:
@@ -36,6 +38,7 @@ class TopK:
 
     def __init__(self, ids: np.ndarray, q: np.ndarray, k: int) -> None:
         self.ids, self.q, self.k = ids, q, k
+        self.most = int(np.abs(q).max(initial=0)) * q.shape[1]
         self.norm = np.sqrt((q.astype(np.float64) ** 2).sum(1))
         self.focus = np.abs(q).argmax(1)
         self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
@@ -62,9 +65,16 @@ class TopK:
                     rows = np.arange(np.searchsorted(-length, -t / self.norm[i] * (1 - 1e-9), side="right"))
                 if not len(rows):
                     continue
-            score = (x if rows is None else x[rows]) @ self.q[i]
+            score = self._products(x if rows is None else x[rows], i)
             self._merge(i, ids if rows is None else ids[rows], score)
 
+    def _products(self, x: np.ndarray, i: int) -> np.ndarray:
+        """Exact products; one outside of 64 bits is the nearest number of 64 bits."""
+        if self.most * int(np.abs(x).max(initial=0)) <= LARGEST:
+            return x @ self.q[i]
+        wide = x.astype(object) @ self.q[i].astype(object)
+        return np.array([max(-LARGEST, min(LARGEST, v)) for v in wide], np.int64)
+
     def _merge(self, i: int, ids: np.ndarray, score: np.ndarray) -> None:
         keep = (score >= self.floor[i]) & (ids != self.ids[i])
         if not keep.any():
@@ -81,48 +91,55 @@ class TopK:
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids, size)), pa.array(flat[1]), pa.array(flat[0])], ["query_id", "vec_id", "score"])
 
 
-def _packed(vectors: DataFrame, key: str, longest_first: bool) -> DataFrame:
+def _packed(vectors: DataFrame, key: str, longest_first: bool, dims: int) -> DataFrame:
     """Rows ``(key, ids, rows)``: the vectors of a block or bucket as one value of bounded size."""
 
     def pack(table: pa.Table) -> pa.Table:
         ids = table["vec_id"].to_numpy()
-        x = np.array(table["v"].to_pylist(), np.int64)
-        order = np.lexsort((ids, -(x * x).sum(1))) if longest_first else np.argsort(ids, kind="stable")
-        return pa.table({key: table[key][:1], "ids": pa.array([ids[order].tobytes()], pa.binary()), "rows": pa.array([x[order].astype(np.int32).tobytes()], pa.binary())})
+        given = table["v"].to_pylist()
+        x = np.zeros((len(given), dims), np.int64)
+        for row, v in zip(x, given, strict=True):
+            row[: len(v)] = v
+        order = np.lexsort((ids, -(x.astype(np.float64) ** 2).sum(1))) if longest_first else np.argsort(ids, kind="stable")
+        narrow = np.abs(x).max(initial=0) <= np.iinfo(np.int32).max
+        body = x[order].astype(np.int32 if narrow else np.int64).tobytes()
+        return pa.table({key: table[key][:1], "ids": pa.array([ids[order].tobytes()], pa.binary()), "rows": pa.array([body], pa.binary()), "narrow": pa.array([bool(narrow)])})
 
-    return vectors.select(key, "vec_id", "v").groupBy(key).applyInArrow(pack, f"{key} long, ids binary, rows binary")
+    return vectors.select(key, "vec_id", "v").groupBy(key).applyInArrow(pack, f"{key} long, ids binary, rows binary, narrow boolean")
 
 
 def top_products(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` highest integer products of every query row.
 
-    ``vectors`` has ``vec_id`` and an integer array ``v``, all of one length; ``is_query`` is a
-    condition on its rows. A query meets every row but those with its own id; ties go to the
+    ``vectors`` has ``vec_id`` and an integer array ``v``; ``is_query`` is a condition on its rows.
+    Components that a shorter vector lacks count as 0. Products are exact; one outside of 64 bits
+    counts as the nearest number of 64 bits. A query meets every row but those with its own id; ties go to the
     smaller id; fewer rows give fewer ranks. Repeated rows of an id count once when equal.
     """
     rows = written(vectors.where("vec_id is not null").select("vec_id", "v").distinct(), "top-vectors")
-    n = rows.count()
+    n, dims = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     if n == 0:
         return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    square = F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x * x)
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     lengths = rows.withColumn("sq", square)
     parts = max(1, -(-n // BUCKET))
     spread = lengths.repartitionByRange(parts, F.desc("sq"), "vec_id").withColumn("bucket", F.spark_partition_id().cast("long"))
     cut = Window.partitionBy("bucket").orderBy(F.desc("sq"), "vec_id")
     fine = spread.withColumn("piece", F.floor((F.row_number().over(cut) - 1) / BUCKET)).withColumn("bucket", F.col("bucket") * 1_000_000 + F.col("piece"))
-    buckets = written(_packed(fine, "bucket", True), "top-buckets")
+    buckets = written(_packed(fine, "bucket", True, dims), "top-buckets")
     asking = rows.where(is_query)
     blocks = max(1, -(-asking.count() // BLOCK))
-    queries = written(_packed(asking.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("long")), "block", False), "top-queries")
+    queries = written(_packed(asking.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("long")), "block", False, dims), "top-queries")
     # every block of queries meets every bucket: LANE buckets of falling length run through a task
     lanes = max(1, -(-buckets.count() // LANE))
     lane = F.pmod(F.xxhash64("bucket"), F.lit(lanes)).cast("int")
-    left = queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).select("block", "lane", F.lit(-1).cast("long").alias("at"), "ids", "rows")
-    right = buckets.withColumn("lane", lane).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).select("block", "lane", F.col("bucket").alias("at"), "ids", "rows")
+    left = queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))).select("block", "lane", F.lit(-1).cast("long").alias("at"), "ids", "rows", "narrow")
+    right = buckets.withColumn("lane", lane).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).select("block", "lane", F.col("bucket").alias("at"), "ids", "rows", "narrow")
 
     def search(table: pa.Table) -> pa.Table:
         table = table.sort_by("at")  # the queries come first, then buckets of falling length
-        raw = [(np.frombuffer(a, np.int64), np.frombuffer(b, np.int32)) for a, b in zip(table["ids"].to_pylist(), table["rows"].to_pylist(), strict=True)]
+        parts = zip(table["ids"].to_pylist(), table["rows"].to_pylist(), table["narrow"].to_pylist(), strict=True)
+        raw = [(np.frombuffer(a, np.int64), np.frombuffer(b, np.int32 if narrow else np.int64)) for a, b, narrow in parts]
         if table["at"][0].as_py() != -1:
             return pa.Table.from_batches([TopK(np.zeros(0, np.int64), np.zeros((0, 1), np.int64), k).rows()])
         ids, q = raw[0]
@@ -137,5 +154,8 @@ def top_products(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
 
 
 def usable_integers(vectors: DataFrame, scale: int = 64) -> DataFrame:
-    """``(vec_id, v)`` of the rows whose vector is whole: not null, no null or non-finite component."""
+    """``(vec_id, v)`` of the rows whose vector is whole: not null, no null or non-finite component.
+
+    Any length and size of components will do.
+    """
     return vectors.where(usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), quantized(F.col("embedding"), scale).alias("v"))

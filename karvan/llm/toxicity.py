@@ -61,13 +61,15 @@ def feature_ids(word: str) -> tuple[int, ...]:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """Texts and labels of at most ``rows`` labelled documents that are not held out.
 
-    The first by a digest of the id; null labels and ids are no labels.
+    The first by a digest of the id; null ids and labels other than 0 and 1 are no labels. Copies
+    of a text are no further evidence: they are one row with the smallest id and the label that
+    most of them have (0 when as many have each), so the rows do not depend on the partitioning.
     """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull())
+    known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
     chosen = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     rows_in = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` rows of two numbers
-    return rows_in.dropDuplicates(["text"])  # copies are no further evidence
+    return rows_in.groupBy("text").agg(F.min("doc_id").alias("doc_id"), (F.avg("y") > 0.5).cast("int").alias("y")).select("doc_id", "text", "y")
 
 
 def mine_markers(sample: DataFrame) -> list[str]:

@@ -22,32 +22,50 @@ GRAMS = (3, 4, 5)
 #: (host and path, verdict); a rule fits its host and all subdomains.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
-#: Words that hosts and paths of unwanted and of ordinary sites are made of. Together with the
-#: templates below they are the labelled table; pass another one to ``train``.
+#: Words of unwanted and of ordinary sites. With the affixes and paths below, which both kinds
+#: share, they are the labelled table; pass another one to ``train``.
 UNWANTED = (
-    "adult-x adult-video adult-cams porn-tube sex-cams xxx-movies escort-girls casino-win casino-royal online-casino slots-bonus poker-win "
-    "free-bets sport-bets betting-odds cheap-pills viagra-shop pills-online pharmacy-cheap spam-farm link-farm seo-spam ads-track ads-click "
-    "track-pixel click-track adserver malware-drop phishing-login crack-keygen warez-free torrent-free win-prize lottery-win payday-loans "
-    "fast-loans replica-watches fake-id get-rich crypto-win miracle-diet"
+    "porn sex xxx adult escort hookup casino poker roulette slots jackpot betting bets gamble lottery viagra cialis pills pharmacy steroids "
+    "payday loans replica spam malware phishing warez torrent crack keygen adserver adclick ads tracker tracking popunder clickbait spyware miracle-diet get-rich"
 ).split()
 ORDINARY = (
     "news weather museum library university school garden recipes travel health science history theatre orchestra radio football gazette "
-    "herald tribune archive hospital council city-hall parliament bank insurance bakery florist bicycle railway airport harbour mountain river "
-    "forest ocean island village market kitchen furniture pottery painting poetry novel physics chemistry biology geology astronomy "
-    "mathematics engineering software hardware database compiler wiki forum photo-club chess-club the-times another-day ourtown tion-nd "
-    "station nation motion fashion mission vision action section"
+    "herald archive hospital council parliament bank insurance bakery florist bicycle railway airport harbour mountain river forest ocean island "
+    "village market kitchen furniture pottery painting poetry novel physics chemistry biology geology astronomy software hardware wiki forum chess "
+    "clothing something author thesis therapy weathering lighting reading writing building banking fishing sporting cable table double marble noble stable "
+    "brother feather leather northern southern everything gathering thread thing path method rhythm north south monthly"
 ).split()
+AFFIXES = ("{}", "{}s", "my{}", "{}hub", "{}365", "best-{}", "{}-shop", "free-{}", "cheap-{}", "{}-online", "the{}", "{}world", "{}-x", "e{}")
+FRONTS, TOPS = ("", "www.", "m.", "blog."), ("com", "org", "net", "shop", "info", "example.com", "example.org", "example.net")
+PLAIN_PATHS = ("", "/", "/en/1204", "/de/88231.html", "/fr/", "/es/401", "/articles/today", "/index.html")
+
+
+def made_up_names(n: int = 400) -> list[str]:
+    """Pronounceable names that mean nothing: no sign is no reason to block."""
+    out, x = [], 1
+    for _ in range(n):
+        name = ""
+        for _ in range(2 + x % 3):
+            x = x * 1103515245 + 12345 & 0x7FFFFFFF
+            name += "bcdfghklmnprstvwz"[x // 65536 % 17] + ("a", "e", "i", "o", "u", "ou", "er", "th", "un", "au")[x // 4096 % 10]
+        out.append(name)
+    return out
 
 
 def labelled_urls() -> list[tuple[str, str, int]]:
-    """(host, path, 1 = block) of the default labelled table."""
-    nothing = [("", "", 0)] * len(UNWANTED)  # no sign at all is no reason to block
-    tops, paths = ("example.com", "example.org", "example.net"), ("/en/1204", "/de/88231.html", "/fr/", "/es/401?", "/articles/today", "/")
-    out = nothing + [(f"{c}.{t}", p, 0) for c in "abdefhkmnopstwxz" for t, p in (("com", ""), ("example.org", "/"), ("net", "/de/1"))]
+    """(host, path, 1 = block) of the default labelled table.
+
+    A word stands in the host, in the path, or in both; affixes, tops and plain paths tell nothing.
+    """
+    out = [("", "", 0)] * 50 + [(f"{FRONTS[i % 4]}{name}.{TOPS[i % 8]}", PLAIN_PATHS[i % 7], 0) for i, name in enumerate(made_up_names())]
+    plain = made_up_names(60)
     for label, words in ((1, UNWANTED), (0, ORDINARY)):
         for i, word in enumerate(words):
-            for j, front in enumerate(("", "www.", "m.", "blog.")):
-                out.append((f"{front}{word}.{tops[(i + j) % 3]}", paths[(i + j) % 6].rstrip("?"), label))
+            for j, affix in enumerate(AFFIXES):
+                host, top = FRONTS[(i + j) % 4] + affix.format(word), TOPS[(i + 3 * j) % 8]
+                out.append((f"{host}.{top}", PLAIN_PATHS[(i + j) % 8], label))
+                if j % 3 == 0:
+                    out.append((f"{plain[(i * 5 + j) % 60]}.{top}", f"/{word}/{10 * i + j}" if j % 2 else f"/en/{affix.format(word)}.html", label))
     return out
 
 

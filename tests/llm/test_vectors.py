@@ -116,3 +116,18 @@ def test_top_products_match_brute_force(spark):
     few = usable_integers(spark.createDataFrame(vectors[:3], "vec_id long, embedding array<float>"))
     assert top_products(few, "vec_id % 20 = 0").count() == 2
     assert top_products(few.limit(0), "vec_id % 20 = 0").count() == 0
+
+
+@pytest.mark.parametrize("large", [4e7, 1e8, 1e12])
+def test_large_components_and_lengths(spark, large):
+    rng = np.random.default_rng(int(large) % 97)
+    vectors = [(i, [float(x) for x in rng.choice((1.0, -2.0, 0.5, large, -large), size=rng.integers(1, 5))]) for i in range(120)]
+    q = {i: [int(np.floor(64 * x)) for x in v] for i, v in vectors}
+    want = {}
+    for i in range(0, 120, 20):
+        scores = [(max(-(2**63 - 1), min(2**63 - 1, sum(a * b for a, b in zip(q[i], q[j], strict=False)))), j) for j in q if j != i]
+        want[i] = [(r + 1, j, s) for r, (s, j) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:20])]
+    got = {}
+    for r in top_products(usable_integers(spark.createDataFrame(vectors, "vec_id long, embedding array<double>")), "vec_id % 20 = 0").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert got == want
