@@ -7,9 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from karvan.operators import graph
+from karvan.operators import graph, ivf
 from karvan.operators.matching import cosine
 from karvan.params import SearchParams
+from karvan.session import cut_lineage
 
 
 def crossref_closure(crossrefs: DataFrame) -> DataFrame:
@@ -109,8 +110,8 @@ def embedding_reuse(documents: DataFrame, stored: DataFrame) -> DataFrame:
     ).drop("__old")
 
 
-def hashed_embedding(texts: DataFrame, key: str, text: str, dims: int = 384) -> DataFrame:
-    """Words and character 4-grams in signed hash buckets, unit length.
+def hashed_counts(texts: DataFrame, key: str, text: str, dims: int = 384) -> DataFrame:
+    """(key, embedding): words and character 4-grams in signed hash buckets, as whole numbers.
 
     Rows are (key, bucket) sums after a map-side combine, so a long text never
     occupies more than ``dims`` rows past the scan. sha256 stands in for blake2b,
@@ -128,17 +129,18 @@ def hashed_embedding(texts: DataFrame, key: str, text: str, dims: int = 384) ->
     bucket = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dims).cast("int")
     sign = F.when(F.conv(F.substring(digest, 10, 1), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
     sums = features.groupBy(key, bucket.alias("i")).agg(F.sum(sign).alias("x"))
-    packed = sums.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"),
-        F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"),
-    )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: (F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.greatest("norm", F.lit(1e-12))).cast("float"),
-    )
+    packed = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
     return packed.select(key, dense.alias("embedding"))
 
 
+def hashed_embedding(texts: DataFrame, key: str, text: str, dims: int = 384) -> DataFrame:
+    """``hashed_counts`` scaled to unit length."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    unit = F.transform("embedding", lambda x: (x / F.greatest(F.col("__n"), F.lit(1e-12))).cast("float"))
+    return hashed_counts(texts, key, text, dims).withColumn("__n", norm).select(key, unit.alias("embedding"))
+
+
 # -------------------------------------------------------------------------- channels
 
 
@@ -153,6 +155,40 @@ def passes_filters(vehicle: Column) -> Column:
     return ok & (F.col("f_has_image").isNull() | (F.col("f_has_image") == F.col("has_image")))
 
 
+def passing_documents(queries: DataFrame, documents: DataFrame) -> DataFrame:
+    """(query_id, passing): how many documents pass the filters of each search.
+
+    Documents are counted by each set of the values that filters compare; every different
+    combination of filters then meets the counts of its own set by equality (and by price, where
+    it asks for one). Of the vehicles only those a search names are taken off again.
+    """
+    keys = ["f_brand", "f_part_type", "f_authenticity", "f_min_price", "f_max_price", "f_has_image"]
+    values = ["brand", "part_type", "authenticity_dominant", "has_image", "min_price_toman"]
+    signed = queries.withColumn("__sign", _sign(["vehicle_slug", *keys])).withColumn("__filters", _sign(keys))
+    named = [F.col("f_brand").isNotNull(), F.col("f_part_type").isNotNull(), F.col("f_authenticity").isNotNull(), F.col("f_has_image").isNotNull()]
+    named.append(F.col("f_min_price").isNotNull() | F.col("f_max_price").isNotNull())
+    mask = sum((F.when(c, 1 << i).otherwise(0) for i, c in enumerate(named)), F.lit(0))
+    filters = signed.select("__filters", *keys).dropDuplicates(["__filters"]).withColumn("__mask", mask)
+    none = F.lit(None).cast("string")
+    counted = documents.groupBy(*values).agg(F.count(F.lit(1)).alias("n"))
+    shown = [F.when(F.col("__set").bitwiseAND(1 << i) > 0, F.col(c)).alias(c) for i, c in enumerate(values)]
+    sets = filters.select(F.col("__mask").alias("__set")).distinct()  # 32 rows at most
+    by_set = counted.join(F.broadcast(sets)).select("__set", *shown, "n").groupBy("__set", *values).agg(F.sum("n").alias("n"))
+    equal = F.col("__mask") == F.col("__set")
+    for f, c in zip(("f_brand", "f_part_type", "f_authenticity", "f_has_image"), values, strict=False):
+        equal = equal & F.col(f).eqNullSafe(F.col(c))
+    both = filters.join(by_set.withColumn("vehicles_incompatible", F.array().cast("array<string>")), equal)
+    passing = both.where(passes_filters(none)).groupBy("__filters").agg(F.sum("n").alias("n"))
+    slugs = signed.select("vehicle_slug").where("vehicle_slug IS NOT NULL").distinct()
+    unfit = documents.select("product_uid", *values, F.explode(F.array_distinct("vehicles_incompatible")).alias("vehicle_slug")).join(slugs, "vehicle_slug")
+    unfit = unfit.groupBy("vehicle_slug", *values).agg(F.count(F.lit(1)).alias("n")).withColumn("vehicles_incompatible", F.array().cast("array<string>"))
+    different = signed.select("__sign", "vehicle_slug", "__filters", *keys).dropDuplicates(["__sign"])
+    barred = different.join(unfit, "vehicle_slug").where(passes_filters(none)).groupBy("__sign").agg(F.sum("n").alias("barred"))
+    left = F.col("n") - F.coalesce("barred", F.lit(0))
+    per = different.select("__sign", "__filters").join(passing, "__filters").join(barred, "__sign", "left").select("__sign", left.alias("passing"))
+    return signed.select("query_id", "__sign").join(per.where("passing > 0"), "__sign").select("query_id", "passing")
+
+
 def exact_code_match(queries: DataFrame, documents: DataFrame) -> DataFrame:
     """(query_id, product_uid) where the whole query is one of the product's codes."""
     codes = documents.select("product_uid", F.explode("part_numbers").alias("code"))
@@ -200,27 +236,49 @@ def typo_tokens(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return pairs.where(F.levenshtein("asked", "token") <= 1)
 
 
+def match_texts(texts: DataFrame, index: DataFrame, min_token: int = 4) -> DataFrame:
+    """(text, product_uid, lexical_score) of distinct lower-case texts; see ``lexical_match``.
+
+    Only the postings of a text's rarest word are read; the products they name are then looked
+    up in their own words (token -> weight), so a common word costs nothing beside a rare one.
+    """
+    words = texts.select("text", F.explode(F.array_distinct(F.filter(F.split("text", " +"), lambda w: w != ""))).alias("asked"))
+    need = words.groupBy("text").agg(F.count(F.lit(1)).alias("need"))
+    asked = words.select("asked").distinct()
+    vocabulary = index.groupBy("token").agg(F.count(F.lit(1)).alias("products"))
+    near = typo_tokens(asked.select(F.col("asked").alias("token")).where(F.length("asked") >= min_token), vocabulary.select("token"))
+    exact = asked.join(vocabulary.select("token"), F.col("asked") == F.col("token"))
+    forms = near.where("asked <> token").withColumn("factor", F.lit(0.5)).unionByName(exact.withColumn("factor", F.lit(1.0)))
+    per_word = (
+        forms.join(vocabulary, "token").groupBy("asked")
+        .agg(F.collect_list(F.struct("token", "factor")).alias("forms"), F.sum("products").alias("products"))
+    )
+    plan = (
+        words.join(per_word, "asked").groupBy("text")
+        .agg(F.collect_list("forms").alias("wanted"), F.min_by("forms", F.struct("products", "asked")).alias("rarest"))
+        .join(need, "text").where(F.size("wanted") == F.col("need")).select("text", "wanted", "rarest")
+    )
+    seeds = (
+        plan.select("text", F.explode("rarest.token").alias("token")).join(index.select("token", "product_uid"), "token")
+        .select("text", "product_uid").distinct()
+    )
+    own = index.groupBy("product_uid").agg(F.map_from_entries(F.collect_list(F.struct("token", "weight"))).alias("own"))
+    weight = lambda f: F.coalesce(F.try_element_at("own", f["token"]), F.lit(0)) * f["factor"]
+    scores = F.transform("wanted", lambda fs: F.array_max(F.transform(fs, weight)))
+    found = seeds.join(plan.select("text", "wanted"), "text").join(own, "product_uid").withColumn("scores", scores)
+    total = F.aggregate("scores", F.lit(0.0), lambda s, x: s + x)
+    return found.where(F.array_min("scores") > 0).select("text", "product_uid", total.alias("lexical_score"))
+
+
 def lexical_match(queries: DataFrame, index: DataFrame, min_token: int = 4) -> DataFrame:
     """(query_id, product_uid, lexical_score): every query word must match a field.
 
     Exact words count fully, one typo counts half and only for words of at least
-    ``min_token`` characters.
+    ``min_token`` characters. Every distinct text is matched once.
     """
-    words = queries.select("query_id", F.explode(F.array_distinct(F.filter(F.split(F.lower("text"), " +"), lambda w: w != ""))).alias("token"))
-    need = words.groupBy("query_id").agg(F.count(F.lit(1)).alias("need"))
-    vocabulary = index.select("token").distinct()
-    near = typo_tokens(words.select("token").distinct().where(F.length("token") >= min_token), vocabulary)
-    exact = words.select(F.col("token").alias("asked")).distinct().join(vocabulary.withColumn("asked", F.col("token")), "asked")
-    forms = (
-        near.where("asked <> token").withColumn("factor", F.lit(0.5))
-        .unionByName(exact.select("asked", "token").withColumn("factor", F.lit(1.0)))
-    )
-    hits = (
-        words.withColumnRenamed("token", "asked").join(forms, "asked").join(index, "token")
-        .groupBy("query_id", "product_uid", "asked").agg(F.max(F.col("weight") * F.col("factor")).alias("s"))
-        .groupBy("query_id", "product_uid").agg(F.sum("s").alias("lexical_score"), F.count(F.lit(1)).alias("got"))
-    )
-    return hits.join(need, "query_id").where("got = need").select("query_id", "product_uid", "lexical_score")
+    asked = queries.select("query_id", F.lower("text").alias("text"))
+    matched = match_texts(asked.select("text").distinct(), index, min_token)
+    return asked.join(matched, "text").select("query_id", "product_uid", "lexical_score")
 
 
 #: Rows in a block of vectors; two blocks and their products fit a task.
@@ -293,49 +351,108 @@ def fitment_marker(vehicle: Column) -> Column:
     )
 
 
-def _ranked_channel(matches: DataFrame, queries: DataFrame, documents: DataFrame, score: str, use_vehicle: bool, p: SearchParams) -> DataFrame:
-    """Filter a channel's matches, then keep and number its best candidates."""
+#: Columns of a search that decide its result.
+ASKED = ("text", "code", "vehicle_slug", "f_brand", "f_part_type", "f_authenticity", "f_min_price", "f_max_price", "f_has_image")
+#: Columns of a document that filters look at.
+FILTERED = ("brand", "part_type", "authenticity_dominant", "min_price_toman", "has_image", "vehicles_incompatible")
+
+
+def admits(asked: pd.Series, rows: pd.DataFrame) -> np.ndarray:
+    """``passes_filters`` of one search over rows of an index piece."""
+    ok = np.ones(len(rows), bool)
+    for name, column in (("f_brand", "brand"), ("f_part_type", "part_type"), ("f_authenticity", "authenticity_dominant"), ("f_has_image", "has_image")):
+        if not pd.isna(asked[name]):
+            ok &= (rows[column] == asked[name]).to_numpy(bool, na_value=False)
+    price = rows["min_price_toman"].to_numpy(float, na_value=np.nan)
+    if not pd.isna(asked["f_min_price"]):
+        ok &= price >= asked["f_min_price"]
+    if not pd.isna(asked["f_max_price"]):
+        ok &= price <= asked["f_max_price"]
+    if not pd.isna(asked["vehicle"]):
+        ok &= np.array([v is None or asked["vehicle"] not in v for v in rows["vehicles_incompatible"]], bool)
+    return ok
+
+
+def product_index(documents: DataFrame, dims: int = 384) -> ivf.IvfIndex | None:
+    """Index of the documents' embedding texts, with the columns that filters look at."""
+    text = embedding_text(F.col("title"), F.col("title_variants"), F.col("brand"), F.col("part_type"))
+    texts = documents.withColumn("__text", text)
+    vectors = hashed_counts(texts.select("__text").distinct(), "__text", "__text", dims)
+    rows = texts.join(vectors, "__text").select(F.col("product_uid").alias("id"), "embedding", *FILTERED)
+    return ivf.build_index(rows)
+
+
+def vector_channel(asked: DataFrame, index: ivf.IvfIndex | None, use_vehicle: bool, p: SearchParams = SearchParams(), exact: bool = True) -> DataFrame:
+    """(query_id, product_uid, rank): the nearest products that pass a search's filters."""
+    vectors = hashed_counts(asked.select("text").distinct(), "text", "text")
     vehicle = F.col("vehicle_slug") if use_vehicle else F.lit(None).cast("string")
-    filtered = matches.join(queries, "query_id").join(documents, "product_uid").where(passes_filters(vehicle))
-    best = Window.partitionBy("query_id").orderBy(F.desc(score), "product_uid")
+    # searches of one text and filters ask once; at most one row of them is kept
+    keys = [c for c in ASKED if c.startswith("f_")]
+    signed = asked.withColumn("vehicle", vehicle).withColumn("__sign", _sign(["text", "vehicle", *keys]))
+    distinct = signed.select(F.col("__sign").alias("query_id"), "text", "vehicle", *keys).dropDuplicates(["query_id"])
+    found = ivf.search_index(index, distinct.join(vectors, "text").drop("text"), p.candidate_limit, admits, exact=exact)
+    found = found.select(F.col("query_id").alias("__sign"), F.col("id").alias("product_uid"), "rank")
+    return signed.select("query_id", "__sign").join(found, "__sign").select("query_id", "product_uid", "rank")
+
+
+def _sign(columns: list[str]) -> Column:
+    """One value for equal rows of columns; null differs from any value."""
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
+def distinct_searches(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one row per different search with its sign as ``query_id``, ``query_id`` -> sign)."""
+    signed = queries.withColumn("__sign", _sign(list(ASKED)))
+    asked = signed.select(F.col("__sign").alias("query_id"), *ASKED).dropDuplicates(["query_id"])
+    return asked, signed.select("query_id", "__sign")
+
+
+def _ranked_lexical(matches: DataFrame, asked: DataFrame, documents: DataFrame, use_vehicle: bool, p: SearchParams) -> DataFrame:
+    """Filter the lexical matches of the texts, then keep and number the best of each search."""
+    vehicle = F.col("vehicle_slug") if use_vehicle else F.lit(None).cast("string")
+    rows = matches.join(documents.select("product_uid", *FILTERED), "product_uid")
+    filtered = asked.withColumn("__t", F.lower("text")).join(rows.withColumnRenamed("text", "__t"), "__t").where(passes_filters(vehicle))
+    best = Window.partitionBy("query_id").orderBy(F.desc("lexical_score"), "product_uid")
     ranked = filtered.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= p.candidate_limit)
     return ranked.select("query_id", "product_uid", "rank")
 
 
 def hybrid_search(
-    queries: DataFrame, documents: DataFrame, lexical: DataFrame, vector: DataFrame, now: Column, p: SearchParams = SearchParams()
+    queries: DataFrame, documents: DataFrame, lexical: DataFrame, index: ivf.IvfIndex | None, now: Column, p: SearchParams = SearchParams()
 ) -> DataFrame:
     """Exact block first, then fused channels; reruns without the vehicle filter where
     a query with a vehicle found fewer than ``result_floor``.
 
-    ``lexical``: query_id, product_uid, score. ``vector``: query_id, product_uid, score.
+    ``lexical``: (text, product_uid, lexical_score) of the distinct texts. ``index``: the
+    product vectors. Searches that ask the same are run once and joined back at the end.
     """
-    exact = exact_code_match(queries, documents)
+    asked, members = distinct_searches(queries)
+    asked = cut_lineage(asked)
+    exact = exact_code_match(asked, documents)
 
-    def run(asked: DataFrame, use_vehicle: bool) -> DataFrame:
+    def run(some: DataFrame, use_vehicle: bool) -> DataFrame:
         vehicle = F.col("vehicle_slug") if use_vehicle else F.lit(None).cast("string")
-        hit = exact.join(asked, "query_id").join(documents, "product_uid").where(passes_filters(vehicle))
+        hit = exact.join(some, "query_id").join(documents, "product_uid").where(passes_filters(vehicle))
         hit = hit.select("query_id", "product_uid").withColumn("rrf", F.lit(None).cast("double")).withColumn("is_exact", F.lit(True))
-        lex = _ranked_channel(lexical, asked, documents, "score", use_vehicle, p)
-        vec = _ranked_channel(vector, asked, documents, "score", use_vehicle, p)
+        lex = _ranked_lexical(lexical, some, documents, use_vehicle, p)
+        vec = vector_channel(some, index, use_vehicle, p)
         return hit.unionByName(rrf_fuse(lex, vec, hit, p.rrf_k).withColumn("is_exact", F.lit(False)))
 
-    first = run(queries, True)
+    first = cut_lineage(run(asked, True))
     found = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
     short = (
-        queries.where("vehicle_slug IS NOT NULL").join(found, "query_id", "left")
+        asked.where("vehicle_slug IS NOT NULL").join(found, "query_id", "left")
         .where(F.coalesce("found", F.lit(0)) < p.result_floor).drop("found")
     )
     kept = first.join(short.select("query_id"), "query_id", "left_anti").withColumn("fallback_applied", F.lit(False))
     again = run(short, False).withColumn("fallback_applied", F.lit(True))
-    rows = kept.unionByName(again).join(queries.select("query_id", "vehicle_slug"), "query_id").join(documents, "product_uid")
+    rows = kept.unionByName(again).join(asked.select("query_id", "vehicle_slug"), "query_id").join(documents, "product_uid")
     business = business_score(now, F.col("vehicle_slug"))
     score = F.when(F.col("is_exact"), business).otherwise(F.col("rrf") + business)
     scored = rows.withColumn("score", F.round(score, 6))
     order = Window.partitionBy("query_id").orderBy(F.desc("is_exact"), F.desc("score"), "product_uid")
-    return scored.withColumn("position", F.row_number().over(order)).withColumn(
-        "fitment_status", fitment_marker(F.col("vehicle_slug"))
-    )
+    placed = scored.withColumn("position", F.row_number().over(order)).withColumn("fitment_status", fitment_marker(F.col("vehicle_slug")))
+    return members.join(placed.withColumnRenamed("query_id", "__sign"), "__sign").drop("__sign")
 
 
 def facet_counts(hits: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from karvan.operators import search
+from karvan.params import SearchParams
 from karvan.plans import views as v
 from karvan.plans.q_catalog import crossrefs, product_cards
 from karvan.plans.registry import query
@@ -110,12 +112,11 @@ def queries(spark, d):
         .when(e % 5 == 2, F.concat(F.lit("spar brand"), u % 9)).when(e % 5 == 3, F.lit("promo spare"))
         .otherwise(F.lit("nothing here"))
     )
-    none = F.lit(None)
     return ev.select(
         e.alias("query_id"), text.alias("text"), F.when(e % 5 == 0, number).alias("code"),
         F.when(u % 3 != 0, F.concat(F.lit("v"), u)).alias("vehicle_slug"),
-        F.when(u % 7 == 0, "brand3").alias("f_brand"), none.cast("string").alias("f_part_type"),
-        F.when(u % 11 == 0, "genuine").alias("f_authenticity"), none.cast("long").alias("f_min_price"),
+        F.when(u % 7 == 0, "brand3").alias("f_brand"), F.when(u % 14 == 0, "promo").alias("f_part_type"),
+        F.when(u % 11 == 0, "genuine").alias("f_authenticity"), F.when(u % 19 == 0, 0).cast("long").alias("f_min_price"),
         F.when(u % 13 == 0, 25000).cast("long").alias("f_max_price"), F.when(u % 17 == 0, True).alias("f_has_image"),
     )
 
@@ -126,11 +127,13 @@ add_view(
     """
   SELECT event_id AS query_id, CASE event_id % 5 WHEN 0 THEN 'PN' || (event_id % 200 + 1000) WHEN 1 THEN 'spare model' || (user_id % 40) WHEN 2 THEN 'spar brand' || (user_id % 9) WHEN 3 THEN 'promo spare' ELSE 'nothing here' END AS text,
     CASE WHEN event_id % 5 = 0 THEN 'PN' || (event_id % 200 + 1000) END AS code, CASE WHEN user_id % 3 <> 0 THEN 'v' || user_id END AS vehicle_slug,
-    CASE WHEN user_id % 7 = 0 THEN 'brand3' END AS f_brand, CASE WHEN user_id % 11 = 0 THEN 'genuine' END AS f_authenticity,
+    CASE WHEN user_id % 7 = 0 THEN 'brand3' END AS f_brand, CASE WHEN user_id % 14 = 0 THEN 'promo' END AS f_part_type, CASE WHEN user_id % 19 = 0 THEN 0 END AS f_min_price,
+    CASE WHEN user_id % 11 = 0 THEN 'genuine' END AS f_authenticity,
     CASE WHEN user_id % 13 = 0 THEN 25000 END AS f_max_price, CASE WHEN user_id % 17 = 0 THEN true END AS f_has_image
   FROM events WHERE event_type = 'view'""",
 )
-FILTER = """(f_brand IS NULL OR brand = f_brand) AND (f_authenticity IS NULL OR authenticity_dominant = f_authenticity)
+FILTER = """(f_brand IS NULL OR brand = f_brand) AND (f_part_type IS NULL OR part_type = f_part_type) AND (f_min_price IS NULL OR coalesce(min_price_toman >= f_min_price, false))
+    AND (f_authenticity IS NULL OR authenticity_dominant = f_authenticity)
     AND (f_max_price IS NULL OR coalesce(min_price_toman <= f_max_price, false)) AND (f_has_image IS NULL OR has_image = f_has_image)"""
 add_view(
     "sindex",
@@ -215,13 +218,11 @@ def hashed_embedding(spark, d):
 @query(
     "facet_filters",
     "sdocs squeries",
-    f"""SELECT query_id, count(*) AS passing FROM squeries q JOIN sdocs ON brand = f_brand AND {FILTER} AND (vehicle_slug IS NULL OR NOT list_contains(vehicles_incompatible, vehicle_slug)) GROUP BY query_id""",
+    f"""SELECT query_id, count(*) AS passing FROM squeries q JOIN sdocs ON {FILTER} AND (vehicle_slug IS NULL OR NOT list_contains(vehicles_incompatible, vehicle_slug)) GROUP BY query_id""",
 )
 def facet_filters(spark, d):
-    """Queries that ask for a brand, so that the join has a key."""
-    q = queries(spark, d).where("f_brand IS NOT NULL")
-    rows = q.join(documents(spark, d), F.col("f_brand") == F.col("brand"))
-    return rows.where(search.passes_filters(F.col("vehicle_slug"))).groupBy("query_id").agg(F.count(F.lit(1)).alias("passing"))
+    """How many documents pass the filters of every search."""
+    return search.passing_documents(queries(spark, d), documents(spark, d))
 
 
 @query("exact_code_match", "sdocs squeries", "SELECT query_id, product_uid FROM squeries JOIN sdocs ON list_contains(part_numbers, code)")
@@ -229,13 +230,13 @@ def exact_code_match(spark, d):
     return search.exact_code_match(queries(spark, d), documents(spark, d))
 
 
-def lexical(spark, d, docs):
-    return search.lexical_match(queries(spark, d), cut_lineage(search.inverted_index(docs)))
+def indexed(docs):
+    return cut_lineage(search.inverted_index(docs))
 
 
 @query("lexical_match", "slex", "SELECT query_id, product_uid, score AS lexical_score FROM slex")
 def lexical_match(spark, d):
-    return lexical(spark, d, documents(spark, d))
+    return search.lexical_match(queries(spark, d), indexed(documents(spark, d)))
 
 
 COS = """round(list_sum(list_transform(range(1, 65), lambda i: CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE)))
@@ -257,24 +258,40 @@ def vector_knn(spark, d):
 
 
 add_view(
-    "svec",
+    "stexts",
     "squeries sdocs",
     """
-  SELECT query_id, product_uid, CAST(n % 17 AS DOUBLE) AS score FROM squeries JOIN sdocs ON n % 40 = query_id % 40""",
+  SELECT DISTINCT text FROM squeries UNION SELECT DISTINCT array_to_string([title] || title_variants || [brand, part_type], ' | ') FROM sdocs""",
+)
+add_view(
+    "sfeatures",
+    "stexts",
+    """
+  WITH t AS (SELECT text, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM stexts),
+  f AS (SELECT text, 'w:' || w AS f FROM (SELECT text, unnest(string_split(t, ' ')) AS w FROM t) WHERE w <> ''
+    UNION ALL SELECT text, 'c:' || substr(p, CAST(i AS BIGINT), 4) FROM (SELECT text, '  ' || t || '  ' AS p, unnest(range(1, length(t) + 2)) AS i FROM t)),
+  h AS (SELECT text, sha256(f) AS d FROM f)
+  SELECT text, CAST('0x' || substr(d, 1, 8) AS BIGINT) % 384 AS i, CAST(sum(CASE WHEN substr(d, 10, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') THEN 1 ELSE -1 END) AS BIGINT) AS x FROM h GROUP BY ALL""",
+)
+add_view("ssquares", "sfeatures", "SELECT text, CAST(sum(x * x) AS BIGINT) AS sq FROM sfeatures GROUP BY text HAVING sum(x * x) > 0")
+add_view(
+    "svec",
+    "squeries sdocs sfeatures ssquares",
+    """
+  WITH q AS (SELECT DISTINCT text FROM squeries), x AS (SELECT product_uid, array_to_string([title] || title_variants || [brand, part_type], ' | ') AS t FROM sdocs),
+  dots AS (SELECT a.text AS q, b.text AS t, CAST(sum(a.x * b.x) AS BIGINT) AS dot FROM sfeatures a JOIN sfeatures b USING (i)
+    WHERE a.text IN (SELECT text FROM q) AND b.text IN (SELECT t FROM x) GROUP BY ALL),
+  pairs AS (SELECT q.text AS q, x.product_uid, coalesce(dot, 0) / sqrt(CAST(a.sq * b.sq AS DOUBLE)) AS score
+    FROM q JOIN ssquares a ON a.text = q.text CROSS JOIN x JOIN ssquares b ON b.text = x.t LEFT JOIN dots d ON d.q = q.text AND d.t = x.t)
+  SELECT query_id, product_uid, score FROM squeries JOIN pairs ON q = text""",
 )
-
-
-def vector_scores(spark, d, docs):
-    """A stand-in vector channel: documents and queries meet on a bucket."""
-    q = queries(spark, d).select("query_id", (F.col("query_id") % 40).alias("bucket"))
-    rows = docs.select("product_uid", (F.col("n") % 40).alias("bucket"), (F.col("n") % 17).cast("double").alias("score"))
-    return q.join(rows, "bucket").select("query_id", "product_uid", "score")
 
 
 def hybrid(spark, d):
     docs = documents(spark, d)
-    lex = lexical(spark, d, docs).withColumnRenamed("lexical_score", "score")
-    return search.hybrid_search(queries(spark, d), docs, lex, vector_scores(spark, d, docs), v.as_of(NOW))
+    asked = queries(spark, d)
+    matched = search.match_texts(asked.select(F.lower("text").alias("text")).distinct(), indexed(docs))
+    return search.hybrid_search(asked, docs, cut_lineage(matched), search.product_index(docs), v.as_of(NOW))
 
 
 BUSINESS = f"""least(ln(1 + offer_count), 4e0) * 0.025e0 + has_image::INT * 0.03e0 + CASE WHEN price_freshness > 0 THEN exp(-greatest(0e0, (epoch(TIMESTAMP '{NOW}') - price_freshness) / 86400e0) / 30e0) ELSE 0e0 END * 0.04e0
@@ -329,21 +346,23 @@ def hybrid_search(spark, d):
 
 @query(
     "rrf_fuse",
-    "slex svec",
-    """
-  WITH l AS (SELECT query_id, product_uid, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_uid) AS rank FROM slex UNION ALL
-    SELECT query_id, product_uid, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_uid) FROM svec)
+    "slex svec sdocs",
+    f"""
+  WITH l AS (SELECT query_id, product_uid, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_uid) AS rank FROM slex QUALIFY rank <= 250 UNION ALL
+    SELECT query_id, product_uid, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_uid) AS rank FROM svec JOIN squeries USING (query_id) JOIN sdocs USING (product_uid)
+      WHERE {FILTER} QUALIFY rank <= 250)
   SELECT query_id, product_uid, round(sum(1e0 / (60 + rank)), 6) AS rrf FROM l GROUP BY ALL""",
 )
 def rrf_fuse(spark, d):
-    from pyspark.sql import Window
-
+    """The candidates of both channels; the vector channel looks at all filters but the vehicle."""
     docs = documents(spark, d)
-    lex = lexical(spark, d, docs).withColumnRenamed("lexical_score", "score")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "product_uid"))
-    none = spark.createDataFrame([], "query_id long, product_uid string")
-    out = search.rrf_fuse(lex.withColumn("rank", rank), vector_scores(spark, d, docs).withColumn("rank", rank), none)
-    return out.withColumn("rrf", F.round("rrf", 6))
+    asked, members = search.distinct_searches(queries(spark, d))
+    lex = search.lexical_match(asked, indexed(docs))
+    order = Window.partitionBy("query_id").orderBy(F.desc("lexical_score"), "product_uid")
+    lex = lex.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= SearchParams().candidate_limit)
+    none = spark.createDataFrame([], "query_id string, product_uid string")
+    out = search.rrf_fuse(lex, search.vector_channel(asked, search.product_index(docs), False), none).withColumnRenamed("query_id", "__sign")
+    return members.join(out, "__sign").select("query_id", "product_uid", F.round("rrf", 6).alias("rrf"))
 
 
 @query("business_score", "sdocs", f"SELECT product_uid, round({BUSINESS}, 6) AS score FROM (SELECT *, 'v7' AS vehicle_slug FROM sdocs)")
