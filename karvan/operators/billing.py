@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from karvan.functions.ids import hmac_sha256
 from karvan.operators import skew
 from karvan.params import HOT_KEY_ROWS, FraudParams
+from karvan.session import cut_lineage
 
 #: User agents that are not people (fixed value).
 BOTS = "(?i)bot|crawler|spider|slurp|headless|facebookexternalhit|bingpreview|curl|wget"
@@ -217,16 +219,16 @@ def ledger_events(clicks: DataFrame, topups: DataFrame, adjustments: DataFrame |
 
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Apply the wallet rules to rows sorted by seller and time; state is one wallet."""
-    seller, balance, active = None, 0, True
+    """Apply the wallet rules to rows sorted by seller, chunk and time; state is one wallet."""
+    at, balance, active = None, 0, True
     for pdf in batches:
         rows = []
-        for key, event, us, kind, amount in zip(
-            pdf["seller_key"], pdf["event_id"], pdf["occurred_us"], pdf["kind"], pdf["amount_toman"],
-            strict=True,
+        for key, chunk, event, us, kind, amount, entry, open_ in zip(
+            pdf["seller_key"], pdf["chunk"], pdf["event_id"], pdf["occurred_us"], pdf["kind"], pdf["amount_toman"],
+            pdf["entry_balance"], pdf["entry_active"], strict=True,
         ):
-            if key != seller:
-                seller, balance, active = key, 0, True
+            if (key, chunk) != at:
+                at, balance, active = (key, chunk), entry, open_
             before, applied, reason = active, 0, None
             if kind == "topup":
                 applied, active = amount, True
@@ -256,30 +258,128 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         )
 
 
-def wallet_charge(events: DataFrame, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+#: Events of one wallet that are summed up in one step, and a balance above all others.
+LEDGER_CHUNK, MOST = 256, 1 << 62
+
+
+class BalanceFunction:
+    """What a run of events does to a wallet, for every balance and state it may start with.
+
+    Pieces of entry balances [lo, hi) with one entry state share a shift of the balance and a
+    state at the end. An event cuts a piece where the balance just suffices for it.
+    """
+
+    def __init__(self) -> None:
+        self.lo, self.hi = np.zeros(2, np.int64), np.full(2, MOST)
+        self.entry, self.active = np.array([True, False]), np.array([True, False])
+        self.shift = np.zeros(2, np.int64)
+
+    def then(self, kind: str, amount: int) -> None:
+        if kind == "topup":
+            self.shift = self.shift + amount
+            self.active = np.ones(len(self.lo), bool)
+            self._merge()
+            return
+        concerned = np.ones(len(self.lo), bool) if kind == "manual" else self.active
+        enough = -amount - self.shift
+        self._cut(np.where(concerned, enough, -1), np.where(concerned, enough + 1, -1))
+        concerned = np.ones(len(self.lo), bool) if kind == "manual" else self.active
+        enough = -amount - self.shift
+        paid, exact = concerned & (self.lo >= enough), concerned & (self.lo == enough) & (self.hi == enough + 1)
+        self.shift = self.shift + np.where(paid, amount, 0)
+        if kind == "manual":
+            self.active = np.where(exact, False, self.active | paid & (amount > 0))
+        else:
+            self.active = self.active & paid & ~exact
+        self._merge()
+
+    def _cut(self, *points: np.ndarray) -> None:
+        inner = [(p > self.lo) & (p < self.hi) for p in points]
+        if not any(i.any() for i in inner):
+            return
+        lo = np.concatenate([self.lo, *[p[i] for p, i in zip(points, inner, strict=True)]])
+        of = np.concatenate([np.arange(len(self.lo)), *[np.flatnonzero(i) for i in inner]])
+        order = np.lexsort((lo, of))
+        lo, of = lo[order], of[order]
+        last = np.r_[of[1:] != of[:-1], True]
+        self.hi = np.where(last, self.hi[of], np.r_[lo[1:], 0])
+        self.lo, self.entry, self.active, self.shift = lo, self.entry[of], self.active[of], self.shift[of]
+
+    def _merge(self) -> None:
+        same = (self.lo[1:] == self.hi[:-1]) & (self.entry[1:] == self.entry[:-1]) & (self.active[1:] == self.active[:-1]) & (self.shift[1:] == self.shift[:-1])
+        if same.any():
+            first = np.flatnonzero(np.r_[True, ~same])
+            self.hi = self.hi[np.r_[first[1:] - 1, len(self.hi) - 1]]
+            self.lo, self.entry, self.active, self.shift = self.lo[first], self.entry[first], self.active[first], self.shift[first]
+
+
+def _entry_states(events: DataFrame, key: str) -> DataFrame:
+    """(seller_key, chunk, entry_balance, entry_active): each chunk of a wallet, where it starts.
+
+    Chunks are summed up as functions of the state they start with, all in parallel; one pass over
+    these functions, a row per chunk, gives the states.
+    """
+    shape = f"seller_key {key}, chunk long, lo array<long>, entry array<boolean>, shift array<long>, active array<boolean>"
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["occurred_us", "prio", "event_id"])
+        fn = BalanceFunction()
+        for kind, amount in zip(pdf["kind"], pdf["amount_toman"], strict=True):
+            fn.then(kind, int(amount))
+        row = {"seller_key": pdf["seller_key"].iloc[0], "chunk": pdf["chunk"].iloc[0]}
+        return pd.DataFrame([row | {"lo": fn.lo, "entry": fn.entry, "shift": fn.shift, "active": fn.active}])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seller, balance, active = None, 0, True
+        for pdf in batches:
+            rows = []
+            for key_, chunk, lo, entry, shift, after in zip(*[pdf[c] for c in ("seller_key", "chunk", "lo", "entry", "shift", "active")], strict=True):
+                if key_ != seller:
+                    seller, balance, active = key_, 0, True
+                rows.append((key_, chunk, balance, active))
+                at = np.flatnonzero(entry == active)
+                at = at[np.searchsorted(lo[at], balance, side="right") - 1]
+                balance, active = int(balance + shift[at]), bool(after[at])
+            yield pd.DataFrame(rows, columns=["seller_key", "chunk", "entry_balance", "entry_active"])
+
+    functions = events.groupBy("seller_key", "chunk").applyInPandas(summed, shape)
+    ordered = functions.repartition("seller_key").sortWithinPartitions("seller_key", "chunk")
+    return ordered.mapInPandas(walk, f"seller_key {key}, chunk long, entry_balance long, entry_active boolean")
+
+
+def wallet_charge(events: DataFrame, hot_rows: int = HOT_KEY_ROWS, chunk_events: int = LEDGER_CHUNK) -> DataFrame:
     """All-or-nothing charging in event order.
 
     While a wallet never runs dry every charge succeeds, so the balance is a plain
-    running sum, computed in parallel even inside one seller. Only sellers whose running
-    sum ever touches zero need the step-by-step fold; it streams each seller's rows with
-    one wallet of state, so memory does not grow with the seller.
+    running sum, computed in parallel even inside one seller. Wallets whose running sum ever
+    touches zero are cut into chunks of ``chunk_events``: every chunk is summed up as a function
+    of the balance it starts with, the starts follow from these functions, and the chunks are
+    then folded by themselves. A wallet of one chunk starts at zero and needs no function.
     """
     order = ["occurred_us", "prio", "event_id"]
-    chunk = F.floor(F.col("occurred_us") / 86_400_000_000)
-    summed = skew.prefix_sum_in_key(
-        events, ["seller_key"], order, F.col("amount_toman"), "before", chunk, hot_rows
-    ).withColumn("balance", F.col("before") + F.col("amount_toman"))
+    day = F.floor(F.col("occurred_us") / 86_400_000_000)
+    summed = skew.prefix_sum_in_key(events, ["seller_key"], order, F.col("amount_toman"), "before", day, hot_rows)
+    summed = summed.withColumn("balance", F.col("before") + F.col("amount_toman"))
     dry = summed.groupBy("seller_key").agg(F.min("balance").alias("lowest")).where("lowest <= 0")
     solvent = summed.join(dry.select("seller_key"), "seller_key", "left_anti").select(
         "seller_key", "event_id", "occurred_us", "kind", "amount_toman",
         F.col("balance").alias("balance_after_toman"), F.lit(True).alias("panel_offers_active"),
         F.lit(False).alias("state_changed"), F.lit(None).cast("string").alias("reason"),
     )
+    drying = events.join(dry.select("seller_key"), "seller_key", "left_semi")
+    numbered = cut_lineage(
+        skew.ordinal_in_key(drying, ["seller_key"], order, "ordinal", day, hot_rows)
+        .withColumn("chunk", F.floor((F.col("ordinal") - 1) / chunk_events))
+    )
+    long = numbered.where(F.col("chunk") > 0).select("seller_key").distinct()
+    starts = _entry_states(numbered.join(long, "seller_key", "left_semi"), events.schema["seller_key"].dataType.simpleString())
     folded = (
-        events.join(dry.select("seller_key"), "seller_key", "left_semi")
-        .repartition("seller_key")
-        .sortWithinPartitions("seller_key", *order)
-        .select("seller_key", "event_id", "occurred_us", "kind", "amount_toman")
+        numbered.join(starts, ["seller_key", "chunk"], "left")
+        .withColumn("entry_balance", F.coalesce("entry_balance", F.lit(0)))
+        .withColumn("entry_active", F.coalesce("entry_active", F.lit(True)))
+        .repartition("seller_key", "chunk")
+        .sortWithinPartitions("seller_key", "chunk", *order)
+        .select("seller_key", "chunk", "event_id", "occurred_us", "kind", "amount_toman", "entry_balance", "entry_active")
         .mapInPandas(_fold, LEDGER_SCHEMA)
     )
     return solvent.unionByName(folded)

@@ -88,8 +88,8 @@ add_view(
 
 
 def members(spark, d):
-    """Active members with trust; the join side holds at most 100 sellers."""
-    trust = F.broadcast(seller_trust(spark, d).select("seller_key", "trust_score", "is_panel"))
+    """Active members with the trust of their seller."""
+    trust = seller_trust(spark, d).select("seller_key", "trust_score", "is_panel")
     return (
         v.offers(spark, d)
         .where("is_active")

@@ -33,7 +33,7 @@ add_view(
 
 
 def rankable(spark, d):
-    trust = F.broadcast(seller_trust(spark, d).select("seller_key", "trust_score"))  # at most 100 rows
+    trust = seller_trust(spark, d).select("seller_key", "trust_score")
     return (
         v.price_state(spark, d)
         .where("is_active")
