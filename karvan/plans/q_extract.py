@@ -36,7 +36,7 @@ def _sql(values) -> str:
 
 
 def listings(spark, d):
-    li = v.table(spark, d, "lineitem")
+    li = v.spread(v.table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_shipdate"))
     pk, sk, ln = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     slot = F.floor(pk / 8) % 8
     code = F.concat(F.lit("PN-"), pk + 10000)

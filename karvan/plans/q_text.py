@@ -18,7 +18,7 @@ DOC = NORMAL.replace("@WS@", WS)
 
 
 def docs(spark, d):
-    return v.table(spark, d, "documents").select("doc_id", "text")
+    return v.spread(v.table(spark, d, "documents").select("doc_id", "text"))
 
 
 @query("normalize_text", "", f"SELECT doc_id, sha256({DOC}) AS h FROM documents")

@@ -23,6 +23,16 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the scan makes fewer tasks than there are.
+
+    For row-local work that costs far more than moving its rows once; a large input already
+    has its splits and stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def as_of(value: str = AS_OF) -> Column:
     return F.lit(value).cast("timestamp")
 
