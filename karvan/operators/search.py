@@ -473,12 +473,8 @@ def facet_counts(hits: DataFrame) -> DataFrame:
     )
 
 
-def suggest(queries: DataFrame, documents: DataFrame, limit: int = 10, longest: int = 12) -> DataFrame:
-    """Prefix suggestions from titles (8), codes (6) and variants (5).
-
-    Prefixes up to ``longest`` characters form an edge table, so matching is an
-    equi-join; longer queries join on that many and are checked in full.
-    """
+def suggestion_words(documents: DataFrame) -> DataFrame:
+    """(product_uid, title, offer_count, w, weight): words of titles (8), codes (6) and variants (5)."""
     fields = F.concat(
         F.transform(F.split(F.lower("title"), " +"), lambda w: F.struct(w.alias("w"), F.lit(8).alias("weight"))),
         F.transform("part_numbers", lambda w: F.struct(F.lower(w).alias("w"), F.lit(6).alias("weight"))),
@@ -487,20 +483,38 @@ def suggest(queries: DataFrame, documents: DataFrame, limit: int = 10, longest:
             lambda w: F.struct(w.alias("w"), F.lit(5).alias("weight")),
         ),
     )
-    words = documents.select("product_uid", "title", "offer_count", F.explode(F.array_distinct(fields)).alias("f")).where("f.w <> ''")
-    edges = words.withColumn(
-        "edge",
-        F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("f.w"), F.lit(longest))), lambda n: F.substring("f.w", F.lit(1), n))),
-    )
-    asked = queries.select("query_id", F.lower("prefix").alias("prefix")).where("prefix <> ''").withColumn(
-        "edge", F.substring("prefix", 1, longest)
-    )
-    hits = (
-        asked.join(edges, "edge").where(F.startswith(F.col("f.w"), F.col("prefix")))
-        .groupBy("query_id", "product_uid", "title", "offer_count").agg(F.max("f.weight").alias("weight"))
-    )
-    best = Window.partitionBy("query_id").orderBy(F.desc("weight"), F.desc("offer_count"), "product_uid")
-    return hits.withColumn("position", F.row_number().over(best)).where(F.col("position") <= limit)
+    words = documents.select("product_uid", "title", "offer_count", F.explode(F.array_distinct(fields)).alias("f"))
+    return words.where("f.w <> ''").select("product_uid", "title", "offer_count", "f.w", "f.weight")
+
+
+def _best_of_prefix(hits: DataFrame, limit: int) -> DataFrame:
+    """Products of every prefix, a product by its best word; the rank filter cuts before the shuffle."""
+    best = Window.partitionBy("prefix").orderBy(F.desc("weight"), F.desc("offer_count"), "product_uid")
+    one = hits.groupBy("prefix", "product_uid", "title", "offer_count").agg(F.max("weight").alias("weight"))
+    return one.withColumn("position", F.row_number().over(best)).where(F.col("position") <= limit)
+
+
+def prefix_table(words: DataFrame, limit: int = 10, longest: int = 12) -> DataFrame:
+    """The best ``limit`` products of every prefix of up to ``longest`` characters."""
+    lengths = F.sequence(F.lit(1), F.least(F.length("w"), F.lit(longest)))
+    edges = words.withColumn("prefix", F.explode(F.transform(lengths, lambda n: F.substring("w", F.lit(1), n))))
+    return _best_of_prefix(edges.drop("w"), limit)
+
+
+def suggest(queries: DataFrame, words: DataFrame, table: DataFrame, limit: int = 10, longest: int = 12) -> DataFrame:
+    """The best products for the prefix of every query.
+
+    Every different prefix reads its rows of ``table`` (``prefix_table`` of the same ``limit`` and
+    ``longest``) once. Longer prefixes look at the words that share their first ``longest``
+    characters.
+    """
+    asked = queries.select("query_id", F.lower("prefix").alias("prefix")).where("prefix <> ''")
+    different = asked.select("prefix").distinct()
+    short = table.join(different.where(F.length("prefix") <= longest), "prefix")
+    long = different.where(F.length("prefix") > longest).withColumn("__edge", F.substring("prefix", 1, longest))
+    begun = words.where(F.length("w") > longest).withColumn("__edge", F.substring("w", 1, longest))
+    hits = long.join(begun, "__edge").where(F.startswith(F.col("w"), F.col("prefix"))).drop("w", "__edge")
+    return asked.join(short.unionByName(_best_of_prefix(hits, limit)), "prefix").drop("prefix")
 
 
 # ------------------------------------------------------------------------- query log

@@ -208,11 +208,23 @@ def embedding_reuse(spark, d):
     return search.embedding_reuse(docs, stored).select("product_uid", "text_hash", "needs_embedding")
 
 
-@query("hashed_embedding")
+@query(
+    "hashed_embedding",
+    "",
+    """
+  WITH t AS (SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS t FROM documents),
+  f AS (SELECT doc_id, 'w:' || w AS f FROM (SELECT doc_id, unnest(string_split(t, ' ')) AS w FROM t) WHERE w <> ''
+    UNION ALL SELECT doc_id, 'c:' || substr(p, CAST(i AS BIGINT), 4) FROM (SELECT doc_id, '  ' || t || '  ' AS p, unnest(range(1, length(t) + 2)) AS i FROM t)),
+  n AS (SELECT doc_id, f, sha256(f) AS d, count(*) AS n FROM f GROUP BY doc_id, f),
+  x AS (SELECT doc_id, CAST('0x' || substr(d, 1, 8) AS BIGINT) % 384 AS i, CAST(sum(CASE WHEN substr(d, 10, 1) IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') THEN n ELSE -n END) AS BIGINT) AS x FROM n GROUP BY ALL),
+  u AS (SELECT doc_id, CAST(sum(x * x) AS DOUBLE) AS sq FROM x GROUP BY doc_id)
+  SELECT doc_id, CAST(i AS BIGINT) AS component, round(x / sqrt(sq), 4) AS value FROM x JOIN u USING (doc_id) WHERE x <> 0""",
+)
 def hashed_embedding(spark, d):
-    """No oracle: a test compares with a plain computation."""
-    docs = v.table(spark, d, "documents")
-    return search.hashed_embedding(docs, "doc_id", "text").select("doc_id", F.size("embedding").alias("dims"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm"))
+    """All components of all vectors that are not zero."""
+    docs = v.spread(v.table(spark, d, "documents").select("doc_id", "text"))
+    rows = search.hashed_embedding(docs, "doc_id", "text").select("doc_id", F.posexplode("embedding").alias("component", "value"))
+    return rows.where("value <> 0").select("doc_id", "component", F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
 @query(
@@ -415,7 +427,8 @@ def suggest(spark, d):
         u.alias("query_id"),
         F.when(u % 4 == 0, "mod").when(u % 4 == 1, F.concat(F.lit("pn10"), u % 9)).when(u % 4 == 2, "pro").otherwise("RING").alias("prefix"),
     ).distinct()
-    return search.suggest(q, documents(spark, d)).select("query_id", "product_uid", "position")
+    words = cut_lineage(search.suggestion_words(documents(spark, d)))
+    return search.suggest(q, words, search.prefix_table(words)).select("query_id", "product_uid", "position")
 
 
 def query_log(spark, d):
