@@ -50,8 +50,8 @@ def successor_chain(successors: DataFrame) -> DataFrame:
     """Follow pointers to the last product of each chain by path doubling.
 
     Every round joins the table with itself on the pointer and doubles the reach, so
-    a chain of length n takes log2(n) rounds; pointers that still move after log2 of
-    their number are a cycle. Columns: ``uid``, ``successor``.
+    a chain of length n takes log2(n) rounds. Pointers that still move after log2 of their
+    number run into a cycle; their ``final`` is null. Columns: ``uid``, ``successor``.
     """
     jump = successors.where(F.col("successor").isNotNull()).select("uid", F.col("successor").alias("final"))
     for _ in range(jump.count().bit_length() + 1):
@@ -65,7 +65,7 @@ def successor_chain(successors: DataFrame) -> DataFrame:
         jump = stepped.select("uid", F.col("next").alias("final"))
         if stepped.where("moved").limit(1).isEmpty():
             return jump
-    raise ValueError("successor pointers form a cycle")
+    return stepped.select("uid", F.when(~F.col("moved"), F.col("next")).alias("final"))
 
 
 def redirect_resolution(slugs: DataFrame, products: DataFrame, finals: DataFrame) -> DataFrame:

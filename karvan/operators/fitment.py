@@ -210,13 +210,21 @@ def risky_family_gate(offers: DataFrame, families: DataFrame, apply_nfkc: bool =
     return joined.withColumn("risky_missing", granularity_missing(text, F.col("required_granularity")))
 
 
-def latest_corrections(decisions: DataFrame) -> DataFrame:
-    """Newest decision per (part, vehicle); a tombstone withdraws, a skip settles nothing.
+#: Verdicts that a human may give (fixed values).
+VERDICTS = ("compatible", "incompatible", "unknown")
+
+
+def latest_corrections(decisions: DataFrame, vehicles: DataFrame | None = None) -> DataFrame:
+    """Newest usable decision per (part, vehicle); a tombstone withdraws, a skip settles nothing.
 
     ``decisions``: part_number, vehicle_slug, decision, status, actor, decided_at,
-    request_uid; a null ``decision`` is the tombstone.
+    request_uid; a null ``decision`` is the tombstone. Approvals that ``invalid_decisions``
+    sorts out settle nothing either: an earlier usable one stays in force.
     """
-    acting = decisions.where("decision IS NULL OR decision = 'approve'")
+    usable = (F.col("decision") == "approve") & F.coalesce(F.col("status").isin(*VERDICTS), F.lit(False))
+    acting = decisions.where(F.col("part_number").isNotNull() & F.col("vehicle_slug").isNotNull() & (F.col("decision").isNull() | usable))
+    if vehicles is not None:
+        acting = acting.join(vehicles.select("vehicle_slug").distinct(), "vehicle_slug", "left_semi")
     newest = acting.groupBy("part_number", "vehicle_slug").agg(
         F.max_by(F.struct("decision", "status", "request_uid"), F.struct("decided_at", "request_uid")).alias("d")
     )
@@ -226,11 +234,18 @@ def latest_corrections(decisions: DataFrame) -> DataFrame:
     )
 
 
-def invalid_decisions(decisions: DataFrame) -> DataFrame:
-    """Approvals without a usable verdict or without a subject: dead letters."""
-    bad_status = ~F.coalesce(F.col("status").isin("compatible", "incompatible", "unknown"), F.lit(False))
-    no_subject = F.col("part_number").isNull() | F.col("vehicle_slug").isNull()
-    return decisions.where((F.col("decision") == "approve") & (bad_status | no_subject))
+def invalid_decisions(decisions: DataFrame, vehicles: DataFrame | None = None) -> DataFrame:
+    """Approvals without a usable verdict, a part or a known vehicle: dead letters with ``reason``."""
+    known = decisions.withColumn("__known", F.lit(True))
+    if vehicles is not None:
+        slugs = vehicles.select("vehicle_slug").distinct().withColumn("__known", F.lit(True))
+        known = decisions.join(slugs, "vehicle_slug", "left")
+    reason = (
+        F.when(F.col("part_number").isNull(), "no_part_number")
+        .when(F.col("vehicle_slug").isNull() | F.col("__known").isNull(), "unknown_vehicle")
+        .when(~F.coalesce(F.col("status").isin(*VERDICTS), F.lit(False)), "unusable_verdict")
+    )
+    return known.where("decision = 'approve'").withColumn("reason", reason).where("reason IS NOT NULL").drop("__known")
 
 
 def offer_fitment_rows(

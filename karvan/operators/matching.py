@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from karvan.functions import ids
+from karvan.functions.text import content_tokens
 from karvan.operators import graph
 from karvan.operators.pricing import median_half_up
 from karvan.params import MatchParams
@@ -216,8 +217,10 @@ def _jaccard(x: Column, y: Column) -> Column:
 def pair_features(pairs: DataFrame, p: DataFrame, crossrefs: DataFrame) -> DataFrame:
     """Everything the ladder looks at, side by side."""
     cols = [*PROFILE_FIELDS, "median_price"]
-    left = p.select(F.col("profile").alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    right = p.select(F.col("profile").alias("b"), *[F.col(c).alias(f"b_{c}") for c in cols])
+    # Content words are taken once per profile, not once per pair.
+    worded = p.withColumn("content", F.array_distinct(content_tokens(F.col("title"))))
+    left = worded.select(F.col("profile").alias("a"), F.col("content").alias("__ca"), *[F.col(c).alias(f"a_{c}") for c in cols])
+    right = worded.select(F.col("profile").alias("b"), F.col("content").alias("__cb"), *[F.col(c).alias(f"b_{c}") for c in cols])
     linked = crossrefs.select(
         F.least("code_a", "code_b").alias("__lo"), F.greatest("code_a", "code_b").alias("__hi")
     ).distinct().withColumn("__x", F.lit(True))
@@ -242,6 +245,7 @@ def pair_features(pairs: DataFrame, p: DataFrame, crossrefs: DataFrame) -> DataF
         *[F.col(f"{s}_{c}") for s in "ab" for c in cols],
         number.alias("number_match"),
         _jaccard(words("a_title"), words("b_title")).alias("title_jaccard"),
+        _jaccard(F.col("__ca"), F.col("__cb")).alias("content_jaccard"),
         (1 - F.levenshtein(ta, tb) / longest).alias("char_similarity"),
         F.col("a_brand").eqNullSafe(F.col("b_brand")).alias("brand_match"),
         F.col("a_part_type").eqNullSafe(F.col("b_part_type")).alias("type_match"),
@@ -252,10 +256,13 @@ def pair_features(pairs: DataFrame, p: DataFrame, crossrefs: DataFrame) -> DataF
     )
 
 
-def pair_rule_judge() -> Column:
-    """struct(is_same, confidence, rule) over the columns of ``pair_features``."""
+def pair_rule_judge(overlap_of: str = "title_jaccard") -> Column:
+    """struct(is_same, confidence, rule) over the columns of ``pair_features``.
+
+    ``overlap_of`` names the share of common words: of all words, or of content words.
+    """
     known = lambda c: F.col(f"a_{c}").isNotNull() & F.col(f"b_{c}").isNotNull()
-    overlap = F.col("title_jaccard")
+    overlap = F.col(overlap_of)
     vehicles = (F.col("a_vehicle_group") != UNMAPPED) & (F.col("b_vehicle_group") != UNMAPPED)
     ladder = [
         (known("brand") & ~F.col("brand_match"), False, F.lit(0.95), "brand"),
@@ -296,7 +303,7 @@ def decision_ladder(features: DataFrame, p: MatchParams = MatchParams()) -> Data
     # Written once: the ladder refers to the features many times, and Catalyst would
     # otherwise copy each feature's whole expression into every reference.
     stored = cut_lineage(features)
-    judged = stored.withColumn("score", pair_score()).withColumn("judge", pair_rule_judge())
+    judged = stored.withColumn("score", pair_score()).withColumn("judge", pair_rule_judge("content_jaccard"))
     exact = (F.col("number_match") == "exact") & F.col("pack_match")
     one_brand_missing = F.col("a_brand").isNull() != F.col("b_brand").isNull()
     wall = F.col("a_brand").isNotNull() & F.col("b_brand").isNotNull() & ~F.col("brand_match")

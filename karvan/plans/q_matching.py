@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from karvan.functions.text import STOP_WORDS
 from karvan.operators import graph, matching
 from karvan.plans import views as v
 from karvan.plans.q_catalog import crossrefs
@@ -82,15 +83,21 @@ add_view(
   SELECT a, b, array_to_string(list_sort(list_distinct(list(channel))), ',') AS channels FROM (
     SELECT a, b, 'composite' AS channel FROM composite_pairs UNION ALL SELECT * FROM number_pairs UNION ALL SELECT * FROM crossref_pairs) GROUP BY a, b""",
 )
+#: Words of a title that say something; these titles hold no phone and no price.
+CONTENT = (
+    r"list_distinct(list_filter(string_split(regexp_replace(title, '[^0-9A-Za-z\x{0600}-\x{06ff}\-./_+]+', ' ', 'g'), ' '), "
+    f"lambda w: length(w) > 1 AND w NOT IN {STOP_WORDS}))"
+)
 add_view(
     "features",
     "candidates profiles crossrefs",
     f"""
-  WITH t AS (SELECT *, list_distinct(string_split(lower(title), ' ')) AS w, CASE WHEN vehicle_group = 'unmapped' THEN [] ELSE string_split(vehicle_group, ',') END AS vg FROM profiles)
+  WITH t AS (SELECT *, list_distinct(string_split(lower(title), ' ')) AS w, {CONTENT} AS cw, CASE WHEN vehicle_group = 'unmapped' THEN [] ELSE string_split(vehicle_group, ',') END AS vg FROM profiles)
   SELECT c.a, c.b, x.brand AS ab, y.brand AS bb, x.part_type AS at_, x.vehicle_group AS avg_, y.vehicle_group AS bvg,
     CASE WHEN x.part_number IS NULL OR y.part_number IS NULL THEN 'none' WHEN x.part_number = y.part_number THEN 'exact'
       WHEN EXISTS (SELECT 1 FROM crossrefs r WHERE least(r.code_a, r.code_b) = least(x.part_number, y.part_number) AND greatest(r.code_a, r.code_b) = greatest(x.part_number, y.part_number)) THEN 'crossref' ELSE 'differ' END AS number_match,
     {JAC.format(x="x.w", y="y.w")} AS title_jaccard,
+    CASE WHEN len(x.cw) = 0 OR len(y.cw) = 0 THEN 0e0 ELSE {JAC.format(x="x.cw", y="y.cw")} END AS content_jaccard,
     1 - levenshtein(lower(x.title), lower(y.title)) / CAST(greatest(length(x.title), length(y.title), 1) AS DOUBLE) AS char_similarity,
     x.brand IS NOT DISTINCT FROM y.brand AS brand_match, x.part_type IS NOT DISTINCT FROM y.part_type AS type_match, x.pack_quantity = y.pack_quantity AS pack_match,
     x.authenticity_claim = y.authenticity_claim OR x.authenticity_claim = 'unknown' OR y.authenticity_claim = 'unknown' AS grade_match,
@@ -104,11 +111,11 @@ add_view(
     """
   SELECT *, CASE rule WHEN 'number_equal' THEN true WHEN 'same_type' THEN true ELSE false END AS is_same,
     CASE rule WHEN 'brand' THEN 0.95e0 WHEN 'grade' THEN 0.9e0 WHEN 'pack' THEN 0.88e0 WHEN 'number_equal' THEN 0.95e0 WHEN 'number_differs' THEN 0.9e0
-      WHEN 'vehicles' THEN 0.7e0 WHEN 'same_type' THEN round_even(least(0.6e0 + title_jaccard / 3, 0.85e0), 2) ELSE round_even(greatest(0.55e0, 0.9e0 - title_jaccard), 2) END AS confidence
+      WHEN 'vehicles' THEN 0.7e0 WHEN 'same_type' THEN round_even(least(0.6e0 + content_jaccard / 3, 0.85e0), 2) ELSE round_even(greatest(0.55e0, 0.9e0 - content_jaccard), 2) END AS confidence
   FROM (SELECT *, CASE WHEN ab IS NOT NULL AND bb IS NOT NULL AND NOT brand_match THEN 'brand' WHEN NOT grade_match THEN 'grade' WHEN NOT pack_match THEN 'pack'
       WHEN number_match = 'exact' THEN 'number_equal' WHEN number_match <> 'none' THEN 'number_differs'
-      WHEN avg_ <> 'unmapped' AND bvg <> 'unmapped' AND fitment_jaccard = 0 AND title_jaccard < 0.75e0 THEN 'vehicles'
-      WHEN at_ IS NOT NULL AND type_match AND title_jaccard >= 0.6e0 THEN 'same_type' ELSE 'no_evidence' END AS rule FROM features)""",
+      WHEN avg_ <> 'unmapped' AND bvg <> 'unmapped' AND fitment_jaccard = 0 AND content_jaccard < 0.75e0 THEN 'vehicles'
+      WHEN at_ IS NOT NULL AND type_match AND content_jaccard >= 0.6e0 THEN 'same_type' ELSE 'no_evidence' END AS rule FROM features)""",
 )
 add_view(
     "decided",
@@ -183,11 +190,11 @@ def candidate_union(spark, d):
 @query(
     "pair_features",
     "features",
-    """SELECT a, b, number_match, round(title_jaccard, 6) AS title_jaccard, round(char_similarity, 6) AS char_similarity, brand_match, type_match, pack_match, grade_match,
+    """SELECT a, b, number_match, round(title_jaccard, 6) AS title_jaccard, round(content_jaccard, 6) AS content_jaccard, round(char_similarity, 6) AS char_similarity, brand_match, type_match, pack_match, grade_match,
     round(fitment_jaccard, 6) AS fitment_jaccard, round(price_log_ratio, 6) AS price_log_ratio FROM features""",
 )
 def pair_features(spark, d):
-    numbers = ("title_jaccard", "char_similarity", "fitment_jaccard", "price_log_ratio")
+    numbers = ("title_jaccard", "content_jaccard", "char_similarity", "fitment_jaccard", "price_log_ratio")
     return features(spark, d).select(
         "a", "b", "number_match", "brand_match", "type_match", "pack_match", "grade_match",
         *[F.round(c, 6).alias(c) for c in numbers],
@@ -196,7 +203,7 @@ def pair_features(spark, d):
 
 @query("pair_rule_judge", "judged", "SELECT a, b, is_same, confidence, rule FROM judged")
 def pair_rule_judge(spark, d):
-    return features(spark, d).withColumn("j", matching.pair_rule_judge()).select("a", "b", "j.is_same", "j.confidence", "j.rule")
+    return features(spark, d).withColumn("j", matching.pair_rule_judge("content_jaccard")).select("a", "b", "j.is_same", "j.confidence", "j.rule")
 
 
 @query(

@@ -74,7 +74,8 @@ def dlq_retry(spark, d):
     rules = [("stock_status", F.col("stock_status").isin(*schemas.STOCK))]
     _, dead = topics.contract_split(rows.select("event_id", "raw", "payload.*"), rules, "offers.enriched", "raw")
     handled = rows.select("event_id").where(F.substring("event_id", 2, 1) >= "8")
-    return topics.dlq_retry(dead.unionByName(dead), handled, "offers.enriched").select("event_id")
+    retried, _ = topics.dlq_retry(dead.unionByName(dead), handled, "offers.enriched")
+    return retried.select("event_id")
 
 
 PAGE_SPEC = html.SourceSpec(title=html.Pick("h1"), url=html.Pick("a", attribute="href"), fragment_tag="title")

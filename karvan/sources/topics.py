@@ -66,11 +66,16 @@ def offer_rules() -> list[tuple[str, Column]]:
     ]
 
 
-def dlq_retry(dead: DataFrame, handled: DataFrame, topic: str) -> DataFrame:
-    """Parse dead letters of a topic again; events handled meanwhile are dropped."""
+def dlq_retry(dead: DataFrame, handled: DataFrame, topic: str) -> tuple[DataFrame, DataFrame]:
+    """Parse dead letters of a topic again: (events to retry, letters that still cannot be read).
+
+    Events handled meanwhile are dropped. Letters without a readable event are never lost.
+    """
     again = dead.where(F.col("topic") == topic).select(F.lit(None).cast("string").alias("key"), F.col("message").alias("value"))
-    rows = read_topic(again, topic).where("NOT is_corrupt")
-    return rows.dropDuplicates(["event_id"]).join(handled.select("event_id"), "event_id", "left_anti")
+    rows = read_topic(again, topic)
+    unreadable = F.col("is_corrupt") | F.col("event_id").isNull()
+    retried = rows.where(~unreadable).dropDuplicates(["event_id"]).join(handled.select("event_id"), "event_id", "left_anti")
+    return retried, rows.where(unreadable)
 
 
 def emit_reference(vehicles: DataFrame, crossrefs: DataFrame) -> DataFrame:
