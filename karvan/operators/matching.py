@@ -490,6 +490,21 @@ def golden_labels(decisions: DataFrame, strata: int = 10) -> DataFrame:
     )
 
 
+def predicted_same(pairs: DataFrame, placed: DataFrame, components: DataFrame) -> DataFrame:
+    """Those of ``(a, b)`` offers that the matcher puts into one cluster.
+
+    ``placed``: (offer_uid, profile) from ``offer_profile``; ``components``: (node, component) of
+    the accepted edges between profiles. Offers of one profile are one cluster from the start;
+    an offer without a profile is in none.
+    """
+    cluster = placed.join(components, F.col("profile") == F.col("node"), "left").select(
+        "offer_uid", F.coalesce("component", "profile").alias("cluster")
+    )
+    a = cluster.select(F.col("offer_uid").alias("a"), F.col("cluster").alias("__a"))
+    b = cluster.select(F.col("offer_uid").alias("b"), F.col("cluster").alias("__b"))
+    return pairs.select("a", "b").join(a, "a").join(b, "b").where(F.col("__a") == F.col("__b")).select("a", "b")
+
+
 def match_evaluate(golden: DataFrame, predicted: DataFrame, gate: float = 0.95) -> DataFrame:
     """Precision, recall, F1 of predicted pairs against golden ones."""
     joined = golden.join(predicted.select("a", "b", F.lit(True).alias("p")), ["a", "b"], "left")
