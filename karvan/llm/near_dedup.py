@@ -31,6 +31,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 10, 3
 #: Documents in a block where those left by a pivot are compared, bytes of such sets in a task's group.
 BLOCK, SLOT_BYTES = 256, 4 << 20
+#: Parts in which the copies of one text are handed the class of the text.
+PARTS = 64
 SIDE = "g int, bucket int, fp binary, df binary"
 SIGNED = "doc_id long, bands array<long>, shingles binary, weights binary, outlying double"
 
@@ -322,7 +324,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     links = written(link_buckets(members, sets, threshold), "near-links")
     if not links.isEmpty():
         classes = connected_components(links)
-        first = first.join(classes, first["first"] == classes["node"], "left").select("doc_id", F.coalesce("component", "first").alias("class_id"))
+        # A text may have any number of copies: each of its parts meets the class of the text once.
+        parted = first.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
+        texts = parted.select("first", "part").distinct().join(classes, F.col("first") == F.col("node"))
+        texts = texts.select(F.col("first").alias("_text"), F.col("part").alias("_part"), "component")
+        same = (F.col("first") == F.col("_text")) & (F.col("part") == F.col("_part"))
+        first = parted.join(texts, same, "left").select("doc_id", F.coalesce("component", "first").alias("class_id"))
     else:
         first = first.withColumnRenamed("first", "class_id")
     return ids.select("doc_id").join(first, "doc_id", "left")
