@@ -48,6 +48,7 @@ class TopK:
         """One bucket, its rows by falling length."""
         length = np.sqrt((x.astype(np.float64) ** 2).sum(1))
         unit = x / np.maximum(length, 1e-300)[:, None]
+        fits = self.most * int(np.abs(x).max(initial=0)) <= LARGEST
         longest = float(length[0])
         for i in range(len(self.ids)):
             t, span = int(self.floor[i]), self.norm[i] * longest
@@ -65,13 +66,12 @@ class TopK:
                     rows = np.arange(np.searchsorted(-length, -t / self.norm[i] * (1 - 1e-9), side="right"))
                 if not len(rows):
                     continue
-            score = self._products(x if rows is None else x[rows], i)
+            some = x if rows is None else x[rows]
+            score = some @ self.q[i] if fits else self._wide_products(some, i)
             self._merge(i, ids if rows is None else ids[rows], score)
 
-    def _products(self, x: np.ndarray, i: int) -> np.ndarray:
+    def _wide_products(self, x: np.ndarray, i: int) -> np.ndarray:
         """Exact products; one outside of 64 bits is the nearest number of 64 bits."""
-        if self.most * int(np.abs(x).max(initial=0)) <= LARGEST:
-            return x @ self.q[i]
         wide = x.astype(object) @ self.q[i].astype(object)
         return np.array([max(-LARGEST, min(LARGEST, v)) for v in wide], np.int64)
 
