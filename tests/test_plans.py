@@ -49,3 +49,10 @@ def test_no_brand_in_two_clusters(spark):
     rows = [("c1", "x"), ("c1", "x"), ("c2", "x"), ("c2", None), ("c3", "x"), ("c3", "y")]
     df = spark.createDataFrame(rows, "cluster_uid string, brand string")
     assert [r["cluster_uid"] for r in matching.brand_wall_violations(df).collect()] == ["c3"]
+
+
+def test_sellers_are_joined_without_a_hint(spark):
+    from karvan.plans import q_catalog
+
+    for frame in (q_ranking.rankable(spark, SF), q_catalog.members(spark, SF)):
+        assert "Hint" not in frame._jdf.queryExecution().analyzed().toString()
