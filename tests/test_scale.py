@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from karvan.functions import text
-from karvan.operators import cdc, fitment, matching, search
+from karvan.operators import cdc, fitment, matching, search, trust
 from karvan.plans import q_streaming
 from karvan.plans import views as v
 from karvan.streaming import jobs
@@ -51,6 +51,27 @@ def test_offers_move_stored_columns_only(spark, market):
         assert "sha2" not in below and "img.example" not in below
 
 
+def test_offers_meet_their_seller_in_stored_columns(spark, market):
+    """Ids and texts of an offer are written after its joins, those of an event after its offer met."""
+    sellers = spark.createDataFrame([(0, 0.5), (1, 0.25), (1, 0.75), (None, 0.0)], "supp_key long, trust_score double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = v.offers(spark, market, sellers)
+        moved = [line for line in plan(got).split("\n") if "Exchange hashpartitioning(" in line]
+        assert not any(name in line for line in moved for name in ("offer_uid", "seller_key", "part_key"))
+        observed = trust.trust_observations(v.offer_lines(spark, market), offer=v.OFFER, describe=v.with_facts)
+        assert "sha2" not in plan(observed).split("Exchange hashpartitioning(l_suppkey", 1)[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    named = sellers.withColumn("seller_key", F.concat(F.lit("s"), "supp_key")).drop("supp_key")
+    want = v.offers(spark, market).join(named, "seller_key").select(*got.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    for hot_rows in (10, 1_000_000):
+        plain = trust.trust_observations(v.price_events(spark, market), hot_rows)
+        lines = trust.trust_observations(v.offer_lines(spark, market), hot_rows, v.OFFER, v.with_facts)
+        assert sorted(map(str, plain.collect())) == sorted(map(str, lines.collect()))
+
+
 def test_codes_are_spelled_once(spark):
     pairs = spark.createDataFrame([("pn-1 0", "PN20", "x", "y"), ("b1", "a1", "x", None), ("b1", "B-1", "x", "y")], "code_a string, code_b string, brand_a string, brand_b string")
     out = fitment.crossref_pair_canonical(pairs, apply_nfkc=False)
