@@ -112,3 +112,21 @@ def test_texts_match_like_all_postings(spark):
             if words and min(best) > 0:
                 want[i, p] = sum(best)
     assert got == want and len(want) > 5
+
+
+def test_searches_of_one_vector_share_a_row(spark, monkeypatch):
+    """A vector is moved once for many searches of it, and the second pass brings only what reaches the threshold."""
+    x = np.random.default_rng(3).integers(-9, 9, (400, 8)).astype(float)
+    index = ivf.build_index(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>"))
+    asked = spark.createDataFrame([(f"q{i}", x[i % 3].tolist()) for i in range(90)], "query_id string, embedding array<double>")
+    bundles = ivf._bundles(ivf.usable(asked).withColumn("threshold", F.lit(-2.0)))
+    assert bundles.count() == 3 and sum(len(r.query_id) for r in bundles.collect()) == 90
+    high = ivf._bundles(ivf.usable(asked).withColumn("threshold", F.lit(0.9)))
+    types = {"query_id": "string", "id": "bigint"}
+    near = ivf._scan(ivf._probe(high, index, 400, False), high, index, types, 400, None, None, 1).collect()
+    assert near and all(r.similarity >= 0.9 - 1e-5 for r in near)
+    best = ivf.search_index(index, asked, 5).collect()
+    want = {i: [j for j, _ in _exact(x, x[i], 5, lambda j: True)] for i in range(3)}
+    for i in range(90):
+        got = [r.id for r in sorted((r for r in best if r.query_id == f"q{i}"), key=lambda r: r.rank)]
+        assert got == want[i % 3]
