@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from karvan.functions import text
 from karvan.operators import cdc, fitment, matching, search, trust
-from karvan.plans import q_streaming
+from karvan.plans import q_matching, q_streaming
 from karvan.plans import views as v
 from karvan.streaming import jobs
 
@@ -72,6 +72,14 @@ def test_offers_meet_their_seller_in_stored_columns(spark, market):
         assert sorted(map(str, plain.collect())) == sorted(map(str, lines.collect()))
 
 
+def test_stored_profiles_hold_what_is_read(spark, market):
+    """Blocking writes no prices and no first offers."""
+    assert q_matching.stored_profiles(spark, market).columns == ["profile", *matching.PROFILE_FIELDS]
+    want = matching.profiles(q_matching.match_offers(spark, market)).select("profile", "median_price")
+    got = q_matching.stored_profiles(spark, market, "median_price").select("profile", "median_price")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_codes_are_spelled_once(spark):
     pairs = spark.createDataFrame([("pn-1 0", "PN20", "x", "y"), ("b1", "a1", "x", None), ("b1", "B-1", "x", "y")], "code_a string, code_b string, brand_a string, brand_b string")
     out = fitment.crossref_pair_canonical(pairs, apply_nfkc=False)
