@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,32 +13,47 @@ from pyspark.sql import functions as F
 HEALTH_RATIO = 0.80
 
 
-def crawl_tiers(observations: DataFrame, signals: DataFrame, now: Column) -> DataFrame:
+def crawl_tiers(
+    observations: DataFrame, signals: DataFrame, now: Column,
+    key: Sequence[str] = ("source", "external_key"), written: dict[str, Column] | None = None,
+) -> DataFrame:
     """(source, url, tier): hot, warm, dormant, cold.
 
     ``observations``: source, external_key, offer_uid, url, raw_price_text,
     observed_at, last_seen_at, id. A url may be hot and warm; cold excludes both by url.
+    ``written`` names columns that follow from the ``key``: they are only spelled for the page that
+    stays, so observations need not carry them.
     """
-    key = ["source", "external_key"]
-    latest = observations.groupBy(*key).agg(
-        F.max_by(F.struct("offer_uid", "url", "last_seen_at"), "id").alias("o")
-    ).select(*key, "o.*")
+    written = written or {}
     week, month = now - F.make_interval(days=F.lit(7)), now - F.make_interval(days=F.lit(30))
-    clicked = signals.where((F.col("count_7d") > 0) & (F.col("updated_at") >= week))
-    hot = latest.join(clicked.select("offer_uid").distinct(), "offer_uid", "left_semi")
-    texts = observations.where(F.col("observed_at") >= week).select(*key, "raw_price_text").distinct()
-    changed = texts.groupBy(*key).agg(F.count("raw_price_text").alias("n")).where("n > 1")
-    seen = F.col("last_seen_at") >= month
-    warm = latest.join(changed.select(*key), key, "left_semi").where(seen)
-    busy = hot.select("source", "url").unionByName(warm.select("source", "url")).distinct()
-    cold = latest.where(seen).join(busy, ["source", "url"], "left_anti")
-    dormant = latest.where(F.col("last_seen_at") < month)
-    tiers = [("hot", hot), ("warm", warm), ("cold", cold), ("dormant", dormant)]
-    out = None
-    for name, rows in tiers:
-        part = rows.select("source", "url", F.lit(name).alias("tier"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    state = [c for c in ("source", "offer_uid", "url", "last_seen_at") if c not in (*key, *written)]
+    recent = F.when(F.col("observed_at") >= week, F.col("raw_price_text"))
+    pages = observations.groupBy(*key).agg(
+        F.max_by(F.struct(*state), "id").alias("o"), F.min(recent).alias("lo"), F.max(recent).alias("hi")
+    )
+    known = reduce(and_, [F.col(k).isNotNull() for k in key])
+    off = F.lit(False)
+    marked = pages.select(
+        *key, "o.*",
+        F.coalesce(known & (F.col("lo") < F.col("hi")), off).alias("changed"),
+        F.coalesce(F.col("o.last_seen_at") >= month, off).alias("seen"),
+        F.coalesce(F.col("o.last_seen_at") < month, off).alias("dormant"),
+    ).drop("last_seen_at")
+    clicked = signals.where((F.col("count_7d") > 0) & (F.col("updated_at") >= week)).select("offer_uid").distinct()
+    named = marked.withColumns({c: e for c, e in written.items() if c == "offer_uid"})
+    met = named.join(clicked.withColumn("hot", F.lit(True)), "offer_uid", "left").withColumns(
+        {c: e for c, e in written.items() if c != "offer_uid"}
+    )
+    hot, warm = F.coalesce("hot", off), F.col("changed") & F.col("seen")
+    # One row per url: how many of its pages are in each tier, and whether one of them is busy.
+    urls = met.groupBy("source", "url").agg(
+        F.count_if(hot).alias("hot"), F.count_if(warm).alias("warm"), F.count_if("seen").alias("seen"),
+        F.count_if("dormant").alias("dormant"), F.max(hot | warm).alias("busy"),
+    )
+    barred = F.col("busy") & F.col("source").isNotNull() & F.col("url").isNotNull()
+    tiers = {"hot": F.col("hot"), "warm": F.col("warm"), "cold": F.when(barred, 0).otherwise(F.col("seen")), "dormant": F.col("dormant")}
+    each = F.flatten(F.array(*[F.array_repeat(F.lit(t), n.cast("int")) for t, n in tiers.items()]))
+    return urls.select("source", "url", F.explode(each).alias("tier"))
 
 
 def adapter_health(runs: DataFrame) -> DataFrame:
