@@ -11,7 +11,7 @@ from karvan import schemas
 from karvan.operators import cdc
 from karvan.plans import views as v
 from karvan.plans.registry import query
-from karvan.session import ensure_checkpoint_dir
+from karvan.session import cut_lineage, ensure_checkpoint_dir
 from karvan.sources import feeds, html, sinks, topics
 
 
@@ -69,11 +69,18 @@ def contract_split(spark, d):
     "SELECT event_id FROM offer_events WHERE event_id >= 'f' AND substr(event_id, 2, 1) < '8'",
 )
 def dlq_retry(spark, d):
-    """Everything dead (twice) is retried; part of it was handled meanwhile."""
+    """Everything dead (twice) is retried; part of it was handled meanwhile.
+
+    What is read of the messages is written once, the whole text only of those that break a rule,
+    so no message is made or parsed again for the events handled meanwhile.
+    """
     rows = topics.read_topic(offer_messages(spark, d), "offers.enriched").where("NOT is_corrupt AND NOT is_tombstone")
-    rules = [("stock_status", F.col("stock_status").isin(*schemas.STOCK))]
-    _, dead = topics.contract_split(rows.select("event_id", "raw", "payload.*"), rules, "offers.enriched", "raw")
-    handled = rows.select("event_id").where(F.substring("event_id", 2, 1) >= "8")
+    valid = F.col("stock_status").isin(*schemas.STOCK)
+    later = F.substring("event_id", 2, 1) >= "8"
+    text = F.when(~F.coalesce(valid, F.lit(False)), F.col("raw")).alias("raw")
+    stored = cut_lineage(rows.select("event_id", "raw", "payload.*").select("event_id", "stock_status", text).where(F.col("raw").isNotNull() | later))
+    _, dead = topics.contract_split(stored, [("stock_status", valid)], "offers.enriched", "raw")
+    handled = stored.select("event_id").where(later)
     retried, _ = topics.dlq_retry(dead.unionByName(dead), handled, "offers.enriched")
     return retried.select("event_id")
 

@@ -13,11 +13,12 @@ def read_topic(messages: DataFrame, topic: str) -> DataFrame:
     """Raw (key, value) messages -> typed rows. Works on batch and stream alike.
 
     Unknown JSON fields are dropped, missing ones are null; a null payload is a
-    tombstone; a value that is no JSON object at all has ``is_corrupt``.
+    tombstone; a value that is no JSON object at all has ``is_corrupt``. A message is parsed once:
+    filters on the parsed columns stay above the ``explode`` instead of parsing it again each.
     """
     text = F.col("value").cast("string")
     parsed = F.from_json(text, schemas.envelope(topic))
-    rows = messages.select(F.col("key").cast("string").alias("key"), text.alias("raw"), parsed.alias("m"))
+    rows = messages.select(F.col("key").cast("string").alias("key"), text.alias("raw"), F.explode(F.array(parsed)).alias("m"))
     return rows.select(
         "key", "raw", "m.*",
         F.col("m.event_id").isNull().alias("is_corrupt"),

@@ -39,3 +39,11 @@ def test_cycles_of_successors_have_no_end(spark):
     rows = [("a", "b"), ("b", "c"), ("c", None), ("x", "y"), ("y", "x"), ("in", "x"), ("me", "me")]
     got = {r.uid: r.final for r in catalog.successor_chain(spark.createDataFrame(rows, "uid string, successor string")).collect()}
     assert got == {"a": "c", "b": "c", "x": None, "y": None, "in": None, "me": None}
+
+
+def test_a_message_is_parsed_once(spark):
+    from karvan.plans import q_sources
+
+    rows = topics.read_topic(q_sources.offer_messages(spark, "/root/testdata/sf0.001"), "offers.enriched").where("NOT is_corrupt AND NOT is_tombstone")
+    text = rows.select("event_id", "payload.stock_status").where("stock_status = 'sold'")._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("from_json(") == 1
