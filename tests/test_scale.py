@@ -51,6 +51,29 @@ def test_offers_move_stored_columns_only(spark, market):
         assert "sha2" not in below and "img.example" not in below
 
 
+def test_documents_read_the_same_offers(spark, market):
+    """What is dealt by product has the rows of the common views, but those of no product."""
+    for got, want in ((v.state_by_product, v.price_state), (v.offers_by_product, v.offers)):
+        got, want = got(spark, market), want(spark, market).where("product_uid IS NOT NULL")
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+
+
+def test_documents_move_lines_once(spark, market):
+    """Neither parts nor titles make the lines of an offer move again."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        titled = v.offers_by_product(spark, market).groupBy("product_uid", "title_normalized").agg(F.max("occurred_at"))
+        stats = v.state_by_product(spark, market).groupBy("product_uid").agg(F.min("price_toman"))
+        for frame, moves in ((titled, 3), (stats, 1)):  # lines, and the parts for either of their joins
+            moved = [line for line in plan(frame).split("\n") if "Exchange hashpartitioning(" in line]
+            assert len(moved) == moves
+            assert sum("l_partkey" in line for line in moved) == 1
+            assert not any("l_suppkey" in line or "title" in line for line in moved)
+            assert "sha2" not in plan(frame).split("Exchange hashpartitioning(concat(p", 1)[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_offers_meet_their_seller_in_stored_columns(spark, market):
     """Ids and texts of an offer are written after its joins, those of an event after its offer met."""
     sellers = spark.createDataFrame([(0, 0.5), (1, 0.25), (1, 0.75), (None, 0.0)], "supp_key long, trust_score double")
