@@ -248,6 +248,36 @@ def test_pieces_round_trip(odd_documents):
     assert sorted((r.doc_id or 0, r.text) for r in rows) == want
 
 
+def test_n_best_of_texts_are_returned(spark):
+    texts = [(1, "the anion, the onion"), (2, ""), (3, None), (4, "é a\n b")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in texts], "doc_id long, text string, others string")
+    rows = {r["doc_id"]: r for r in pieces.encode_texts(docs, ["doc_id", "others"]).collect()}
+    coder = lattice(MODEL, 3)
+    for key, text in texts:
+        got, want = rows[key], coder.n_best(text or "")
+        assert [got["ids"], *got["others"]] == [i.tolist() for _, i in want] and got["scores"] == [s for s, _ in want]
+        assert got["round_trip"] and all(coder.decode(i) == (text or "") for i in got["others"])
+    assert [len(rows[key]["others"]) for key in (1, 2)] == [2, 0]
+
+
+def test_segmentations_of_one_text_are_alike():
+    coder, rng = lattice(MODEL, 3), random.Random(2)
+    for _ in range(200):
+        a, b = (np.array([rng.randrange(300, 310) for _ in range(rng.randint(0, 4))], np.int32) for _ in range(2))
+        assert coder.alike(a, b) == (b"".join(coder.raw[i] for i in a) == b"".join(coder.raw[i] for i in b))
+    for text in ("the anion", "aaaaaaaa", "é\n▁7"):
+        (_, best), *others = coder.n_best(text)
+        assert others and all(coder.alike(best, x) for _, x in others) and not coder.alike(best, best[:-1])
+
+
+def test_long_texts_go_out_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "BATCH_IDS", 4)
+    texts = [(i, "the onion " * (i % 5)) for i in range(40)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = pieces.encode_texts(docs, ["doc_id"]).collect()
+    assert sorted((r["doc_id"], lattice(MODEL, 3).decode([r["ids"], *r["others"]][-1])) for r in rows) == texts
+
+
 def test_cut_vectors_of_passages():
     texts = [b"", b"a " * 130, "é ü".encode()]
     x, count = quality.passages(texts)
