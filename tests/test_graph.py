@@ -90,6 +90,33 @@ def test_embedding_channel_recall(spark):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_embedding_channel_finds_every_pair(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vectors = [[float(x) for x in v] for v in rng.standard_normal((90, 8))]
+    rows = [(i, v) for i, v in enumerate(vectors)] + [(200 + i, vectors[i % 5]) for i in range(12)]
+    rows += [(3, vectors[3]), (4, vectors[60]), (300, [0.0] * 8), (301, None), (302, [1.0, None] * 4), (303, [float("nan")] * 8), (None, vectors[0])]
+    rows += [(304, [1.0, 2.0]), (305, [2.0, 4.0])]
+    want = {}
+    for a, x in rows:
+        for b, y in rows:
+            if None in (a, b) or a >= b or not x or not y or None in x + y or len(x) != len(y):
+                continue
+            x_, y_ = np.array(x), np.array(y)
+            if (cosine := x_ @ y_ / max(1e-300, np.sqrt((x_ @ x_) * (y_ @ y_)))) >= 0.4:
+                want[a, b] = max(cosine, want.get((a, b), -1))
+    assert {(200, 205), (304, 305), (0, 200)} <= want.keys()
+    monkeypatch.setattr(matching, "VECTOR_BLOCK", 16)
+    for kind in ("double", "float"):
+        df = spark.createDataFrame(rows, "id long, embedding array<double>").select("id", F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
+        out = matching.block_embedding(df, 8, 0.4).collect()
+        got = {(r["a"], r["b"]): r["cosine"] for r in out}
+        assert len(got) == len(out) and got.keys() == want.keys()
+        assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    named = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.1])], "id string, embedding array<double>")
+    assert [(r["a"], r["b"]) for r in matching.block_embedding(named, 2, 0.4).collect()] == [("a", "b")]
+    assert matching.block_embedding(df.where("id < 0"), 8, 0.4).collect() == []
+
+
 def test_typo_tokens(spark):
     words = ["brake", "brak", "brakes", "break", "pump", "bump", "lamp", "rbake"]
     vocab = spark.createDataFrame([(w,) for w in words], "token string")
