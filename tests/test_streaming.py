@@ -4,7 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from karvan.plans import q_streaming
+from karvan.plans import q_search, q_streaming
 from karvan.streaming import jobs
 
 TIMES = {"a": datetime(2024, 6, 1), "b": datetime(2024, 7, 20), "late": datetime(2023, 1, 1), "c": datetime(2024, 7, 21)}
@@ -40,3 +40,16 @@ def test_dedupe_query_runs_on_real_times(spark, monkeypatch):
     out = q_streaming.stream_exact_dedupe(spark, "")
     assert sorted(r.event_id for r in out.collect()) == ["a", "b", "c", "late"]
     assert set(seen) == set(TIMES.values()) and out.where(F.col("event_id").isNull()).isEmpty()
+
+
+def test_reindex_all_keeps_every_field(spark, monkeypatch):
+    """What offers, codes, vehicles and synonyms gave a document stands in the rebuilt table."""
+    fields = {
+        "product_uid": "p1", "title": "spare x", "brand": "b", "part_type": "x", "authenticity_dominant": "genuine", "has_image": True, "offer_count": 2,
+        "min_price_toman": 50, "title_variants": ["t1", "t2"], "vehicles_compatible": ["v1", "v2"], "vehicles_incompatible": ["v3"], "part_numbers": ["A", "B"],
+        "part_type_synonyms": ["s"], "price_freshness": 7, "best_seller_trust": 0.25,
+    }
+    monkeypatch.setattr(q_search, "documents", lambda spark, d: spark.createDataFrame([fields]))
+    row = q_streaming.reindex_all(spark, "").first().asDict()
+    want = fields | {"variants": "t1|t2", "vehicles_compatible": "v1,v2", "vehicles_incompatible": "v3", "part_numbers": "A,B", "synonyms": "s", "codes": 2}
+    assert row == {k: v for k, v in want.items() if k not in ("title_variants", "part_type_synonyms")}
