@@ -33,13 +33,11 @@ add_view(
 
 
 def rankable(spark, d):
-    trust = seller_trust(spark, d).select("seller_key", "trust_score")
-    return (
-        v.price_state(spark, d)
-        .where("is_active")
-        .withColumnRenamed("occurred_at", "last_seen_at")
-        .join(trust, "seller_key")
-    )
+    """Active offers in the columns that their ranking reads; sellers meet them on their numbers."""
+    trust = seller_trust(spark, d).select("supp_key", "trust_score")
+    return v.price_state(spark, d, trust).where("is_active").select(
+        "seller_key", F.col("occurred_at").alias("last_seen_at"), "product_uid", "offer_uid", "price_toman", "stock_status", "trust_score",
+    )
 
 
 def ranked(spark, d):

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from karvan.functions import text
-from karvan.operators import cdc, fitment, matching, search, trust
-from karvan.plans import q_matching, q_streaming
+from karvan.operators import cdc, fitment, matching, pricing, search, trust
+from karvan.plans import q_matching, q_ranking, q_streaming
 from karvan.plans import views as v
 from karvan.streaming import jobs
 
@@ -51,6 +51,47 @@ def test_offers_move_stored_columns_only(spark, market):
         assert "sha2" not in below and "img.example" not in below
 
 
+def test_lines_are_packed_and_read_again(spark, market):
+    """What an event says travels as one small number, nulls and unknown words included."""
+    lines = v._lines(spark, market)
+    odd = [(1, None, 5, 1, None, None, None, None, None), (2, 6, 5, 1, 3e5, 5.0, "O", "A", dt.date(2000, 1, 1)), (3, 1, 5, None, -1.0, 6.0, "x", "R", dt.date(2000, 1, 2))]
+    lines = lines.unionByName(spark.createDataFrame(odd, lines.schema))
+    packed = v._packed(lines)
+    assert packed.columns == [*v.LINE, "__price", "__said"] and packed.schema["__said"].dataType.simpleString() == "tinyint"
+    assert sorted(map(str, v._described(packed).collect())) == sorted(map(str, v._described(lines).collect()))
+    near = v.with_facts(v.offer_lines(spark, market)).select(*v.price_events(spark, market).columns)
+    assert sorted(map(str, near.collect())) == sorted(map(str, v.price_events(spark, market).collect()))
+
+
+def test_ranked_offers_meet_sellers_on_numbers(spark, market, monkeypatch):
+    trust_rows = spark.createDataFrame([(f"s{k}", k, k / 10.0) for k in (0, 1, 1, 3)], "seller_key string, supp_key long, trust_score double")
+    monkeypatch.setattr(q_ranking, "seller_trust", lambda spark, d: trust_rows)
+    got = q_ranking.rankable(spark, market)
+    assert "event_id" not in got.columns
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        moved = [line for line in plan(got).split("\n") if "Exchange hashpartitioning(" in line]
+        assert len(moved) == 3 and not any("seller_key" in line or "concat" in line for line in moved)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = v.price_state(spark, market).where("is_active").withColumnRenamed("occurred_at", "last_seen_at").join(trust_rows.drop("supp_key"), "seller_key")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+
+
+def test_price_points_meet_in_stored_columns(spark, market):
+    """Days of an offer are found by its numbers, and give the same series as its texts."""
+    points = cdc.price_change_points(v.offer_lines(spark, market), offer=v.OFFER, describe=v.with_facts)
+    got = pricing.daily_price_series(points, "1999-01-02", "1999-01-20", v.OFFER)
+    moved = [line for line in plan(got).split("\n") if "Exchange hashpartitioning(" in line]
+    assert len(moved) == 2 and "l_suppkey" in moved[1] and not any("offer_uid" in line for line in moved)
+    want = pricing.daily_price_series(cdc.price_change_points(v.price_events(spark, market)), "1999-01-02", "1999-01-20")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+    for hot_rows in (3, 1_000_000):
+        some = cdc.price_change_points(v.offer_lines(spark, market), hot_rows, v.OFFER, v.with_facts).drop(*v.OFFER)
+        same = cdc.price_change_points(v.price_events(spark, market), hot_rows).drop("offer_uid")
+        assert sorted(map(str, some.collect())) == sorted(map(str, same.select(*some.columns).collect()))
+
+
 def test_documents_read_the_same_offers(spark, market):
     """What is dealt by product has the rows of the common views, but those of no product."""
     for got, want in ((v.state_by_product, v.price_state), (v.offers_by_product, v.offers)):
