@@ -90,6 +90,46 @@ def test_embedding_channel_recall(spark):
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_leaves_are_set_aside(spark, monkeypatch):
+    """Of a star only its centre could enter the rounds; loops, nulls and repeated edges change nothing."""
+    seen = []
+    rounds = graph._components_of_core
+    monkeypatch.setattr(graph, "_components_of_core", lambda edges: (seen.append(edges.count()), rounds(edges))[1])
+    star = [("a", f"b{i}") for i in range(20)] + [("b3", "a"), ("z", "z"), (None, "y"), ("m", "c"), ("c", "m")]
+    chain = [("c", "d"), ("d", "e"), ("e", "f"), ("f", "b")]
+    for edges, most in ((star, 0), (star + chain, 5)):
+        df = spark.createDataFrame(edges, "a string, b string")
+        rows = graph.connected_components(df).collect()
+        known = [(x or y, y or x) for x, y in edges]
+        named = [r for r in rows if r["node"] is not None]
+        assert len(named) == len({x for e in known for x in e}) and len(rows) == len(named) + 1
+        assert {r["component"] for r in named} == {min(g) for g in {r["component"]: [s["node"] for s in named if s["component"] == r["component"]] for r in named}.values()}
+        linked = [e for e in known if e[0] != e[1]]
+        assert {r["node"]: r["component"] for r in named if r["node"] not in ("z", "y")} == {n: min(g) for g in map(set, union_find(linked)) for n in g}
+        assert seen[-1] <= most
+
+
+def test_clusters_are_contracted(spark, monkeypatch):
+    """Later rounds of the guarded merge see edges of clusters, not of nodes."""
+    sizes = []
+    best = graph._best_between
+
+    def counted(edges):
+        out = best(edges)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "_best_between", counted)
+    rng = random.Random(9)
+    edges = [(f"n{i:03d}", f"n{rng.randrange(i):03d}", rng.randrange(50) / 50.0) for i in range(1, 80)]
+    walls = [("n000", "n001"), ("n002", "n003"), ("n005", "n004"), ("n007", "n007")]
+    df = spark.createDataFrame(edges, "a string, b string, score double")
+    tied = df.withColumn("tie", F.xxhash64(F.least("a", "b"), F.greatest("a", "b"))).orderBy(F.desc("score"), F.desc("tie")).collect()
+    out = graph.constrained_components(df, spark.createDataFrame(walls, "a string, b string"))
+    assert grouped(out) == union_find([(r["a"], r["b"]) for r in tied], [w for w in walls if w[0] != w[1]])
+    assert len(sizes) > 2 and sizes == sorted(sizes, reverse=True) and sizes[-1] < sizes[0]
+
+
 def test_embedding_channel_finds_every_pair(spark, monkeypatch):
     rng = np.random.default_rng(3)
     vectors = [[float(x) for x in v] for v in rng.standard_normal((90, 8))]
